@@ -1,0 +1,6 @@
+"""Queries of the library's own operators over the driver's tables."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
