@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, simple8b
+from . import bpe, jaccard, langid, mixing, ngram_lm, quality, simple8b
 
 
 def tokenizer(name: str) -> str:
@@ -27,6 +27,17 @@ def id_remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op3_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    trie = ngram_lm.train(docs.filter(id_remainder(10) != 0))
+    out = ngram_lm.score(docs, trie).withColumn("held_out", id_remainder(10) == 0).withColumn("train_tokens", F.lit(trie.total).cast("long"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op4_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compression_quality(documents(spark, sf_dir))
 
@@ -51,6 +62,8 @@ def op10_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_elias_fano_lm": op3_elias_fano_lm,
+    "op4_heavy_light_jaccard": op4_heavy_light_jaccard,
     "op5_compression_bands": op5_compression_bands,
     "op6_source_mix": op6_source_mix,
     "op7_language_bitmask": op7_language_bitmask,
@@ -61,6 +74,19 @@ QUERIES = {
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_heavy_light_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(list_slice(ws, i, i + 4), ' ') END AS g
+            FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 75 * (a.n + b.n - shared)),
+        r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+        c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.x = d.doc_id""",
     "op6_source_mix": rf"""
         WITH d AS (SELECT doc_id, source, {WORDS}::BIGINT AS size, md5('mix|' || doc_id) AS h FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
