@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, mixing, ngram_lm, quality, simple8b
+from . import bpe, jaccard, langid, mixing, ngram_lm, quality, simple8b, suffix
 
 
 def tokenizer(name: str) -> str:
@@ -27,6 +27,10 @@ def id_remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op2_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_bytes(documents(spark, sf_dir))
+
+
 def op3_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     trie = ngram_lm.train(docs.filter(id_remainder(10) != 0))
@@ -62,6 +66,7 @@ def op10_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_prefix_doubling": op2_prefix_doubling,
     "op3_elias_fano_lm": op3_elias_fano_lm,
     "op4_heavy_light_jaccard": op4_heavy_light_jaccard,
     "op5_compression_bands": op5_compression_bands,
