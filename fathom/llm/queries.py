@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, mixing, ngram_lm, quality, simple8b, suffix
+from . import ann, bpe, jaccard, langid, mixing, ngram_lm, quality, simple8b, suffix
 
 
 def tokenizer(name: str) -> str:
@@ -27,6 +27,11 @@ def id_remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return ann.search(rows, rows.filter("vec_id % 20 = 0"))
+
+
 def op2_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_bytes(documents(spark, sf_dir))
 
@@ -66,6 +71,7 @@ def op10_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_kmeans_tree": op1_kmeans_tree,
     "op2_prefix_doubling": op2_prefix_doubling,
     "op3_elias_fano_lm": op3_elias_fano_lm,
     "op4_heavy_light_jaccard": op4_heavy_light_jaccard,
