@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, langid, mixing, ngram_lm, quality, simple8b, suffix
+from . import ann, bpe, jaccard, langid, lines, mixing, ngram_lm, quality, simple8b, suffix
 
 
 def tokenizer(name: str) -> str:
@@ -62,6 +62,11 @@ def op7_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (id_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", "chars_left", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_file_digest(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op5_compression_bands": op5_compression_bands,
     "op6_source_mix": op6_source_mix,
     "op7_language_bitmask": op7_language_bitmask,
+    "op8_segment_edit_join": op8_segment_edit_join,
     "op9_simple8b_files": op9_simple8b_files,
     "op10_bpe_segment_tree": op10_bpe_segment_tree,
 }
