@@ -1,0 +1,51 @@
+"""Tenant-scoped views: semi-joins on membership, latest rows, two-stage top lists, spend."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..schema import SEVERITIES, rank
+
+#: USD per million tokens (in, out); the last is the default. Fixed values.
+PRICES = {"assistant": (3.0, 15.0), "user": (1.0, 5.0)}
+DEFAULT_PRICE = (5.0, 15.0)
+
+
+def visible(rows: DataFrame, memberships: DataFrame, user: Column | int) -> DataFrame:
+    """rows (with org_id) of the organizations that the user belongs to."""
+    return rows.join(memberships.filter(F.col("user_id") == user).select("org_id"), "org_id", "left_semi")
+
+
+def orphans(organizations: DataFrame, memberships: DataFrame) -> DataFrame:
+    return organizations.join(memberships, "org_id", "left_anti")
+
+
+def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key in the order."""
+    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__k = 1").drop("__k")
+
+
+def recent_by_severity(findings: DataFrame, most: int = 200) -> DataFrame:
+    """The most recent rows, then ordered by severity; not a global severity list."""
+    top = findings.orderBy(F.desc("first_seen"), "finding_id").limit(most)
+    return top.orderBy(F.desc(rank(F.col("severity"), SEVERITIES)), F.desc("first_seen"), "finding_id")
+
+
+def top_per_key(findings: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy(F.desc(rank(F.col("severity"), SEVERITIES)), "finding_id")
+    return findings.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+
+
+def clamp_limit(limit, default: int = 25, most: int = 100) -> int:
+    """A page size: default for none or not a number, whole, within 1 and most."""
+    if limit is None or limit != limit:
+        return default
+    return max(1, min(most, int(limit // 1)))
+
+
+def cost(role: Column, tokens: Column) -> Column:
+    price = F.lit(DEFAULT_PRICE[1])
+    for k, (_, out) in PRICES.items():
+        price = F.when(role == k, F.lit(out)).otherwise(price)
+    return tokens / F.lit(1e6) * price

@@ -1,6 +1,389 @@
-"""Queries of the library's own operators over the driver's tables."""
+"""Queries of the library's own operators over the driver's tables, each with its SQL oracle."""
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import bindings as B
+from .functions import scalars as S
+from .operators import admission, correlate, readmodel, routes, scoring, store, web
+from .schema import CONFIDENCES, OPEN, SEVERITIES, SOURCES
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+NOW = dt.datetime(1998, 7, 1)
+OPEN_SQL = "(" + ", ".join(f"'{x}'" for x in OPEN) + ")"
+SEV = B.sql_rank("severity", SEVERITIES)
+CONF = B.sql_rank("confidence", CONFIDENCES)
+SRC = B.sql_rank("source", SOURCES)
+EXACT = (
+    "(round("
+    "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in scoring.WEIGHTS.items()) + " END"
+    " * CASE confidence " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in scoring.FACTORS.items()) + " END"
+    " * (1 + least(1.0::DOUBLE, greatest(0.0::DOUBLE, (epoch_us(TIMESTAMP '1998-07-01') - epoch_us(first_seen)) / 86400000000.0::DOUBLE) / 30) * 0.5::DOUBLE), 6)::DECIMAL(18,6))"
+)
+
+
+def query(sql: str | None = None, views: bool = True):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = f"{B.SQL}{sql}" if views else sql
+        return f
+
+    return add
+
+
+def now():
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
+# --- correlation and scores -------------------------------------------------
+
+ISLANDS = f""", i AS (SELECT *, max(line_end) OVER (PARTITION BY file_path ORDER BY line_start, line_end, finding_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM findings),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR line_start > reach + 2 THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY line_start, line_end, finding_id ROWS UNBOUNDED PRECEDING) AS island FROM i),
+m AS (SELECT *, row_number() OVER (PARTITION BY file_path, island ORDER BY {SRC}, finding_id) AS k FROM g)"""
+
+
+@query(
+    ISLANDS
+    + f"""
+SELECT max(CASE WHEN k = 1 THEN finding_id END) AS finding_id, file_path, min(line_start)::INT AS first_line, max(line_end)::INT AS last_line,
+ ['info','low','medium','high','critical'][max({SEV}) + 1] AS severity,
+ ['low','medium','high','confirmed'][least(3, max({CONF}) + CASE WHEN count(DISTINCT source) >= 2 THEN 1 ELSE 0 END) + 1] AS confidence,
+ array_to_string(list_sort(list(DISTINCT source)), ',') AS detected_by, count(*) AS n_evidence,
+ sha256(concat('correlated::', max(CASE WHEN k = 1 THEN category END), '::', file_path, '::', '', '::', max(CASE WHEN k = 1 THEN line_start END))) AS fingerprint
+FROM m GROUP BY file_path, island"""
+)
+def correlate_(spark: SparkSession, d: str) -> DataFrame:
+    return correlate.correlate(B.findings(spark, d))
+
+
+QUERIES["correlate"] = QUERIES.pop("correlate_")
+ORACLE_SQL["correlate"] = ORACLE_SQL.pop("correlate_")
+
+
+@query(" SELECT finding_id, sha256(concat(source, '::', category, '::', file_path, '::', '::', line_start)) AS fingerprint FROM findings")
+def finding_fingerprint(spark, d):
+    f = B.findings(spark, d)
+    return f.select("finding_id", correlate.fingerprint(F.col("source"), F.col("category"), F.col("file_path"), F.lit(""), F.col("line_start")).alias("fingerprint"))
+
+
+@query(
+    f""" SELECT scan_id, greatest(0, floor(100 - coalesce(sum(CASE WHEN status IN {OPEN_SQL} THEN {EXACT} END), 0)::DOUBLE + 0.5))::INT AS score,
+ sum((status IN {OPEN_SQL})::INT)::BIGINT AS n_open, coalesce(sum(CASE WHEN status IN {OPEN_SQL} THEN {EXACT} END), 0)::DOUBLE AS total_penalty FROM findings GROUP BY scan_id"""
+)
+def security_score(spark, d):
+    return scoring.security_score(B.findings(spark, d), ["scan_id"], now())
+
+
+@query(f" SELECT org_id, severity, count(*) AS n, sum({EXACT})::DOUBLE AS penalty FROM findings JOIN repositories USING (repo_id) WHERE status IN {OPEN_SQL} GROUP BY org_id, severity")
+def score_breakdown(spark, d):
+    return scoring.breakdown(B.findings(spark, d).join(B.repositories(spark, d), "repo_id"), ["org_id"], now())
+
+
+@query(
+    f""", r AS (SELECT repo_id, 'fail_on_open_critical' AS rule, count(*) AS offenders FROM findings WHERE status IN {OPEN_SQL} AND severity = 'critical' GROUP BY 1
+ UNION ALL SELECT repo_id, 'fail_on_confirmed_high', count(*) FROM findings WHERE status = 'confirmed' AND severity IN ('high', 'critical') GROUP BY 1
+ UNION ALL SELECT repo_id, 'fail_on_new_secrets', count(*) FROM findings WHERE status IN {OPEN_SQL} AND source = 'secret_detection' GROUP BY 1
+ UNION ALL SELECT repo_id, 'fail_on_dependency_critical', count(*) FROM findings WHERE status IN {OPEN_SQL} AND source = 'dependency_analysis' AND severity = 'critical' GROUP BY 1) SELECT * FROM r"""
+)
+def policy_eval(spark, d):
+    return scoring.evaluate_policies(B.findings(spark, d), ["repo_id"])
+
+
+@query(
+    f""", u AS (SELECT m.user_id, m.org_id FROM memberships m), r AS (SELECT user_id, count(*) AS n_repositories FROM u JOIN repositories USING (org_id) GROUP BY 1),
+ s AS (SELECT user_id, count(*) AS n_scans FROM u JOIN repositories USING (org_id) JOIN scans USING (repo_id) GROUP BY 1),
+ f AS (SELECT user_id, sum((status IN {OPEN_SQL})::INT)::BIGINT AS n_open, sum((severity = 'critical' AND status IN {OPEN_SQL})::INT)::BIGINT AS n_critical FROM u JOIN repositories USING (org_id) JOIN findings USING (repo_id) GROUP BY 1)
+ SELECT user_id, n_repositories, coalesce(n_scans, 0)::BIGINT AS n_scans, coalesce(n_open, 0)::BIGINT AS n_open, coalesce(n_critical, 0)::BIGINT AS n_critical FROM r LEFT JOIN s USING (user_id) LEFT JOIN f USING (user_id)"""
+)
+def dashboard_summary(spark, d):
+    repo = B.repositories(spark, d)
+    of_repo = B.scans(spark, d).groupBy("repo_id").agg(F.count("*").alias("s"))
+    open_ = scoring.is_open(F.col("status"))
+    # findings are summed per repository before they meet the users
+    found = B.findings(spark, d).groupBy("repo_id").agg(F.sum(open_.cast("long")).alias("o"), F.sum((open_ & (F.col("severity") == "critical")).cast("long")).alias("c"))
+    org = repo.join(of_repo, "repo_id", "left").join(found, "repo_id", "left").groupBy("org_id").agg(F.count("*").alias("r"), *[F.sum(x).alias(x) for x in ("s", "o", "c")])
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return B.memberships(spark, d).join(org, "org_id").groupBy("user_id").agg(zero("r").alias("n_repositories"), zero("s").alias("n_scans"), zero("o").alias("n_open"), zero("c").alias("n_critical"))
+
+
+# --- read model ---------------------------------------------------------------
+
+
+@query(" SELECT finding_id, severity, status FROM findings JOIN repositories USING (repo_id) WHERE org_id IN (SELECT org_id FROM memberships WHERE user_id = 1)")
+def tenant_findings(spark, d):
+    rows = B.findings(spark, d).join(B.repositories(spark, d), "repo_id")
+    return readmodel.visible(rows, B.memberships(spark, d), 1).select("finding_id", "severity", "status")
+
+
+@query(" SELECT org_id, org_name FROM organizations WHERE org_id NOT IN (SELECT org_id FROM memberships WHERE user_id % 2 = 0)")
+def anti_orphans(spark, d):
+    return readmodel.orphans(B.organizations(spark, d), B.memberships(spark, d).filter("user_id % 2 = 0"))
+
+
+@query(" SELECT repo_id, scan_id, created_at FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY created_at DESC, scan_id) AS k FROM scans WHERE scan_status = 'COMPLETED') WHERE k = 1")
+def latest_scan(spark, d):
+    return readmodel.latest(B.scans(spark, d).filter("scan_status = 'COMPLETED'"), ["repo_id"], [F.desc("created_at"), F.col("scan_id")]).select("repo_id", "scan_id", "created_at")
+
+
+@query(f", t AS (SELECT * FROM findings ORDER BY first_seen DESC, finding_id LIMIT 200) SELECT finding_id, severity, first_seen, row_number() OVER (ORDER BY {SEV} DESC, first_seen DESC, finding_id)::INT AS place FROM t")
+def topk_200_then_severity(spark, d):
+    from pyspark.sql import Window
+
+    top = readmodel.recent_by_severity(B.findings(spark, d))
+    order = Window.orderBy(F.desc(readmodel.rank(F.col("severity"), SEVERITIES)), F.desc("first_seen"), "finding_id")
+    return top.select("finding_id", "severity", "first_seen", F.row_number().over(order).alias("place"))
+
+
+@query(" SELECT scan_id, created_at, trigger FROM scans ORDER BY created_at DESC, scan_id LIMIT 100")
+def topk_100_scans(spark, d):
+    return B.scans(spark, d).orderBy(F.desc("created_at"), "scan_id").limit(100).select("scan_id", "created_at", "trigger")
+
+
+@query(f" SELECT scan_id, finding_id, severity, place FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY {SEV} DESC, finding_id)::INT AS place FROM findings) WHERE place <= 5")
+def topk_ai_5(spark, d):
+    return readmodel.top_per_key(B.findings(spark, d), ["scan_id"]).select("scan_id", "finding_id", "severity", "place")
+
+
+@query("SELECT role, count(*) AS n, round(sum(length(text) / 1e6::DOUBLE * CASE role WHEN 'assistant' THEN 15.0::DOUBLE WHEN 'user' THEN 5.0::DOUBLE ELSE 15.0::DOUBLE END), 6) AS cost FROM conversations GROUP BY role", views=False)
+def ai_spend(spark, d):
+    c = B.table(spark, d, "conversations")
+    return c.groupBy("role").agg(F.count("*").alias("n"), F.round(F.sum(readmodel.cost(F.col("role"), F.length("text"))), 6).alias("cost"))
+
+
+@query(f" SELECT scan_id, {', '.join(f'''sum((severity = '{s}')::INT)::BIGINT AS {s}''' for s in SEVERITIES)} FROM findings GROUP BY scan_id")
+def check_run_counts(spark, d):
+    return B.findings(spark, d).groupBy("scan_id").pivot("severity", list(SEVERITIES)).agg(F.count(F.lit(1))).fillna(0)
+
+
+@query(" SELECT r.org_id, f.category, count(*) AS n, count(DISTINCT f.source) AS n_sources FROM findings f JOIN repositories r USING (repo_id) GROUP BY ROLLUP (r.org_id, f.category)")
+def ext_rollup(spark, d):
+    return B.findings(spark, d).join(B.repositories(spark, d), "repo_id").rollup("org_id", "category").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"))
+
+
+# --- anti-joins -----------------------------------------------------------------
+
+SUPPRESSIONS = "SELECT DISTINCT file_path AS s_file, category AS s_rule, line_start AS s_line FROM findings WHERE scan_id % 10 = 0"
+
+
+@query(f", s AS ({SUPPRESSIONS}) SELECT finding_id FROM findings f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s_file = f.file_path AND s_rule = f.category AND s_line IN (f.line_start, f.line_start - 1))")
+def pred_suppressed(spark, d):
+    f = B.findings(spark, d)
+    s = f.filter("scan_id % 10 = 0").select("file_path", "category", F.explode(F.array(F.col("line_start"), F.col("line_start") + 1)).alias("line_start")).distinct()
+    return f.join(s, ["file_path", "category", "line_start"], "left_anti").select("finding_id")
+
+
+@query(", b AS (SELECT DISTINCT category || '::' || file_path || '::' || line_start AS k FROM findings WHERE scan_id % 2 = 0) SELECT scan_id, count(*) AS n_new, max(CASE WHEN severity IN ('high', 'critical') THEN 1 ELSE 0 END)::INT AS exit_code FROM findings WHERE category || '::' || file_path || '::' || line_start NOT IN (SELECT k FROM b) GROUP BY scan_id")
+def pred_baseline(spark, d):
+    f = B.findings(spark, d).withColumn("k", F.concat_ws("::", "category", "file_path", F.col("line_start").cast("string")))
+    new = f.join(f.filter("scan_id % 2 = 0").select("k").distinct(), "k", "left_anti")
+    return new.groupBy("scan_id").agg(F.count("*").alias("n_new"), F.max(scoring.at_or_above(F.col("severity"), "high").cast("int")).alias("exit_code"))
+
+
+# --- routes -----------------------------------------------------------------------
+
+PATH_SQL = r"CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END"
+ROUTES_SQL = rf""" q AS (SELECT page_id AS req_id, {PATH_SQL} AS path FROM pages),
+ p AS (SELECT DISTINCT regexp_replace(path, '/[0-9]+', '/{{id}}', 'g') AS pattern FROM q UNION SELECT path FROM q WHERE req_id % 5 = 0 UNION SELECT '/{{lang}}/{{id}}'),
+ r AS (SELECT pattern, (row_number() OVER (ORDER BY pattern) - 1)::INT AS route_idx FROM p),
+ qs AS (SELECT req_id, i, s, n FROM (SELECT req_id, len(ss) AS n, unnest(ss) AS s, unnest(generate_series(1, len(ss))) AS i FROM (SELECT req_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS ss FROM q))),
+ rs AS (SELECT route_idx, i, s, n FROM (SELECT route_idx, len(ss) AS n, unnest(ss) AS s, unnest(generate_series(1, len(ss))) AS i FROM (SELECT route_idx, list_filter(string_split(pattern, '/'), lambda x: x <> '') AS ss FROM r))),
+ m AS (SELECT req_id, route_idx, sum(CASE WHEN rs.s LIKE '{{%}}' THEN 0 ELSE 1 END)::INT AS literals,
+   coalesce(string_agg(CASE WHEN rs.s LIKE '{{%}}' THEN replace(replace(rs.s, '{{', ''), '}}', '') || '=' || qs.s END, ',' ORDER BY qs.i), '') AS params
+   FROM qs JOIN rs ON qs.n = rs.n AND qs.i = rs.i AND (rs.s LIKE '{{%}}' OR lower(rs.s) = lower(qs.s)) GROUP BY req_id, route_idx, qs.n HAVING count(*) = qs.n),
+ b AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY literals DESC, route_idx) AS k, count(*) OVER (PARTITION BY req_id, literals) - 1 AS ambiguous_with FROM m)"""
+
+
+def _routes(spark, d):
+    from pyspark.sql import Window
+
+    q = B.table(spark, d, "pages").select(F.col("page_id").alias("req_id"), F.lit("GET").alias("method"), web.path_of(F.col("url")).alias("path"))
+    p = q.select(F.regexp_replace("path", "/[0-9]+", "/{id}").alias("pattern")).union(q.filter("req_id % 5 = 0").select("path")).union(spark.createDataFrame([("/{lang}/{id}",)], "pattern string")).distinct()
+    return q, p.select("pattern", F.lit("*").alias("method"), (F.row_number().over(Window.orderBy("pattern")) - 1).alias("route_idx"))
+
+
+@query(f"WITH{ROUTES_SQL} SELECT req_id, route_idx, literals, params, ambiguous_with FROM b WHERE k = 1", views=False)
+def join_route_best(spark, d):
+    return routes.best_matches(*_routes(spark, d))
+
+
+@query(
+    f"""WITH{ROUTES_SQL}, x AS (SELECT CASE WHEN b.req_id IS NULL THEN 'unmatched_runtime' ELSE 'matched' END AS kind FROM q LEFT JOIN (SELECT * FROM b WHERE k = 1) b USING (req_id)
+ UNION ALL SELECT 'unmatched_source' FROM r WHERE route_idx NOT IN (SELECT route_idx FROM b WHERE k = 1)) SELECT kind, count(*) AS n FROM x GROUP BY kind""",
+    views=False,
+)
+def join_route_summary(spark, d):
+    return routes.route_summary(*_routes(spark, d))
+
+
+@query(
+    """SELECT * FROM (VALUES ('GET', '/admin/{id}', 'API-104', 'info'), ('POST', '/users', 'API-102', 'info'), ('DELETE', '/users/{id}', 'API-102', 'info'), ('DELETE', '/users/{id}', 'API-104', 'info'),
+ ('GET', '/admin/{id}', 'API-101', 'low'), ('GET', '/users/{id}', 'API-104', 'info'), ('GET', '/health', 'API-103', 'low')) AS t(method, path, rule, severity)""",
+    views=False,
+)
+def api_inventory_findings(spark, d):
+    declared = spark.createDataFrame([("GET", "/users/{id}", ["bearer"]), ("POST", "/users", None), ("DELETE", "/users/{id}", ["bearer"]), ("GET", "/health", [])], "method string, path string, security array<string>")
+    observed = spark.createDataFrame([("GET", "/users/{id}"), ("GET", "/health"), ("GET", "/admin/{id}")], "method string, pattern string")
+    return routes.api_findings(routes.inventory(declared, observed))
+
+
+# --- web ---------------------------------------------------------------------------
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"'']*)["'']', 1))::INT AS n_links, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"'']*)["'']', 1))), ' ') AS links, len(regexp_extract_all(html, '(?i)<script', 0))::INT AS n_scripts FROM pages""", views=False)
+def html_links(spark, d):
+    p = B.table(spark, d, "pages")
+    found = web.links(F.col("html"))
+    return p.select("page_id", F.size(found).alias("n_links"), F.array_join(F.array_sort(F.array_distinct(found)), " ").alias("links"), F.size(F.regexp_extract_all("html", F.lit("(?i)(<script)"), 1)).alias("n_scripts"))
+
+
+@query("SELECT * FROM (VALUES ('/login', 'POST', 'user,pass'), ('', 'GET', 'q')) AS t(action, method, fields)", views=False)
+def html_forms(spark, d):
+    html = "<form action='/login' method=\"post\"><input name='user'><input name=\"pass\"><input name='user'></form><p><form><select name='q'></select></form>"
+    f = spark.createDataFrame([(html,)], "html string").select(F.explode(web.forms(F.col("html"))).alias("f"))
+    return f.select(F.coalesce("f.action", F.lit("")).alias("action"), "f.method", F.array_join("f.fields", ",").alias("fields"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('https://a/', 'WEB-001', 'high'), ('https://b/', 'WEB-001', 'info'), ('http://c/', 'WEB-001', 'medium'), ('https://a/', 'WEB-002', 'medium'), ('https://a/', 'WEB-003', 'medium'),
+ ('https://b/', 'WEB-002', 'low'), ('http://c/', 'WEB-003', 'info'), ('https://b/', 'WEB-006', 'low'), ('http://c/', 'WEB-004', 'medium')) AS t(url, rule, severity)""",
+    views=False,
+)
+def scan_url(spark, d):
+    r = spark.createDataFrame(
+        [
+            ("https://a/", 200, ["session=1; Path=/"], "https://evil", "https://evil", "true", "max-age=1", "ok"),
+            ("https://b/", 200, ["theme=x; HttpOnly"], "https://evil", "*", None, None, "ok"),
+            ("http://c/", 500, ["theme=x; Secure"], "https://evil", "*", "true", None, "Traceback (most recent call last)"),
+        ],
+        "url string, status int, set_cookie array<string>, probe_origin string, allow_origin string, allow_credentials string, hsts string, body string",
+    )
+    out = [web.cors_findings(r), web.cookie_findings(r), web.hsts_findings(r), web.debug_findings(r)]
+    whole = out[0].select("url", "rule", "severity")
+    for x in out[1:]:
+        whole = whole.unionByName(x.select("url", "rule", "severity"))
+    return whole
+
+
+EDGES_SQL = ", e AS (SELECT DISTINCT l_partkey AS src, l_suppkey * 17 % 200 + 1 AS dst FROM lineitem WHERE l_linenumber <= 2)"
+
+
+@query(
+    EDGES_SQL + ", c AS (SELECT 1::BIGINT AS page, 0 AS depth UNION SELECT e.dst, c.depth + 1 FROM c JOIN e ON e.src = c.page WHERE c.depth < 2) SELECT page, min(depth)::INT AS depth FROM c GROUP BY page"
+)
+def bfs_crawl(spark, d):
+    li = B.table(spark, d, "lineitem")
+    e = li.filter("l_linenumber <= 2").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 17 % 200 + 1).alias("dst")).distinct()
+    return web.crawl(e, spark.range(1, 2).withColumnRenamed("id", "page"))
+
+
+# --- admission ------------------------------------------------------------------------
+
+
+@query("SELECT source, count(*) AS n_files, sum(n_chars)::BIGINT AS n_bytes FROM (SELECT *, max(trip) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS out FROM (SELECT *, CASE WHEN coalesce(sum(CASE WHEN doc_id % 11 <> 0 THEN n_chars END) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n_chars > 40000 THEN 1 ELSE 0 END AS trip FROM documents)) WHERE out = 0 AND doc_id % 11 <> 0 GROUP BY source", views=False)
+def budget_prefix(spark, d):
+    f = B.table(spark, d, "documents").select("doc_id", "source", F.col("n_chars").alias("size"), (F.col("doc_id") % 11 == 0).alias("is_binary"))
+    return admission.budget_prefix(f, ["source"], [F.col("doc_id")], 40_000).groupBy("source").agg(F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"))
+
+
+@query()
+def rate_limit(spark, d):
+    e = B.table(spark, d, "events").select((F.col("user_id") % 64).alias("run_id"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    return admission.rate_limit(e)
+
+
+@query(", o AS (SELECT user_id AS scan_id, event_id AS seq, round(abs(value), 2) AS cost, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), c AS (SELECT scan_id, seq, cost, k, cost <= 300 AS admitted, CASE WHEN cost <= 300 THEN cost ELSE 0 END AS total FROM o WHERE k = 1 UNION ALL SELECT o.scan_id, o.seq, o.cost, o.k, c.total + o.cost <= 300, c.total + CASE WHEN c.total + o.cost <= 300 THEN o.cost ELSE 0 END FROM c JOIN o ON o.scan_id = c.scan_id AND o.k = c.k + 1) SELECT scan_id, seq, cost, admitted FROM c")
+def budget_guard(spark, d):
+    e = B.table(spark, d, "events").select(F.col("user_id").alias("scan_id"), F.col("event_id").alias("seq"), F.round(F.abs("value"), 2).alias("cost"))
+    return admission.budget_guard(e, 300.0)
+
+
+@query(", o AS (SELECT event_id % 500 AS delivery_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_id % 500 ORDER BY ts, event_id) AS k FROM events), c AS (SELECT delivery_id, event_id, t AS last, k, true AS kept FROM o WHERE k = 1 UNION ALL SELECT o.delivery_id, o.event_id, CASE WHEN o.t >= c.last + 86400000000 THEN o.t ELSE c.last END, o.k, o.t >= c.last + 86400000000 FROM c JOIN o ON o.delivery_id = c.delivery_id AND o.k = c.k + 1) SELECT delivery_id, event_id FROM c WHERE kept")
+def delivery_dedup(spark, d):
+    return admission.delivery_dedup(B.table(spark, d, "events").select((F.col("event_id") % 500).alias("delivery_id"), "event_id", "ts"))
+
+
+# --- writes -----------------------------------------------------------------------------
+
+
+def _snapshot(f: DataFrame) -> DataFrame:
+    return readmodel.latest(f, ["file_path", "category"], [F.desc("scan_id"), F.col("finding_id")]).select("file_path", "category", "severity", "confidence", "status", F.col("scan_id").alias("last_scan"))
+
+
+SNAP = "SELECT file_path, category, severity, confidence, status, scan_id AS last_scan FROM (SELECT *, row_number() OVER (PARTITION BY file_path, category ORDER BY scan_id DESC, finding_id) AS k FROM findings WHERE scan_id % 3 {}) WHERE k = 1"
+
+
+@query(
+    f", o AS ({SNAP.format('<> 0')}), n AS ({SNAP.format('= 0')}) SELECT coalesce(o.file_path, n.file_path) AS file_path, coalesce(o.category, n.category) AS category, coalesce(n.severity, o.severity) AS severity,"
+    " coalesce(n.confidence, o.confidence) AS confidence, coalesce(o.status, n.status) AS status, coalesce(n.last_scan, o.last_scan) AS last_scan FROM o FULL JOIN n ON o.file_path = n.file_path AND o.category = n.category"
+)
+def upsert_finding(spark, d):
+    f = B.findings(spark, d)
+    return store.upsert(_snapshot(f.filter("scan_id % 3 <> 0")), _snapshot(f.filter("scan_id % 3 = 0")), ["file_path", "category"], ["severity", "confidence", "last_scan"])
+
+
+@query(" SELECT scan_id, finding_id FROM findings WHERE scan_id % 4 <> 0 OR scan_id % 8 = 0")
+def replace_children(spark, d):
+    f = B.findings(spark, d).select("scan_id", "finding_id")
+    old, new = f.filter("scan_id % 4 <> 0 or scan_id % 8 = 0"), f.filter("scan_id % 8 = 0")
+    return store.replace_children(old, new, "scan_id")
+
+
+@query(" SELECT scan_id, repo_id FROM scans WHERE scan_id % 5 < 3")
+def insert_skip_dup(spark, d):
+    s = B.scans(spark, d).select("scan_id", "repo_id")
+    return store.insert_skip_duplicates(s.filter("scan_id % 5 < 2"), s.filter("scan_id % 5 in (1, 2)"), ["scan_id"])
+
+
+# --- scalars ------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT c_custkey, CASE WHEN length(c_name) <= 9 THEN '[redacted]' ELSE substr(c_name, 1, 3) || repeat('*', least(8, length(c_name) - 6)::INT) || right(c_name, 3) END AS masked,"
+    " regexp_replace(regexp_replace(lower(c_name || ' & Co.'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM customer",
+    views=False,
+)
+def scalars_text(spark, d):
+    c = B.table(spark, d, "customer")
+    return c.select("c_custkey", S.mask_secret(F.col("c_name")).alias("masked"), S.slugify(F.concat("c_name", F.lit(" & Co."))).alias("slug"))
+
+
+_LOW = [(S._int(a), S._int(a) + (1 << (32 - b)) - 1) for a, b in S.BLOCKED_IPV4]
+
+
+@query(
+    "SELECT event_id, ip, coalesce("
+    + " OR ".join(f"(n BETWEEN {a} AND {b})" for a, b in _LOW)
+    + ", true) AS blocked FROM (SELECT *, (event_id * 7919 % 256) * 16777216 + (event_id * 31 % 256) * 65536 + (user_id % 256) * 256 + event_id % 300 AS n0, CASE WHEN event_id % 300 < 256 THEN n0 END AS n, (event_id * 7919 % 256) || '.' || (event_id * 31 % 256) || '.' || (user_id % 256) || '.' || (event_id % 300) AS ip FROM events)",
+    views=False,
+)
+def pred_blocked_ipv4(spark, d):
+    e = B.table(spark, d, "events")
+    ip = F.concat_ws(".", *[x.cast("string") for x in (F.col("event_id") * 7919 % 256, F.col("event_id") * 31 % 256, F.col("user_id") % 256, F.col("event_id") % 300)])
+    return e.select("event_id", ip.alias("ip")).select("event_id", "ip", S.blocked_ipv4(F.col("ip")).alias("blocked"))
+
+
+@query("SELECT doc_id, array_to_string(list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in S.INJECTIONS) + "], lambda x: x IS NOT NULL)), ',') AS labels FROM documents WHERE regexp_matches(text, '" + "|".join(p.replace("(?i)", "") for _, p in S.INJECTIONS) + "', 'i')", views=False)
+def injection_scan(spark, d):
+    x = B.table(spark, d, "documents").select("doc_id", S.injection_labels(F.col("text")).alias("l")).filter(F.size("l") > 0)
+    return x.select("doc_id", F.array_join("l", ",").alias("labels"))
+
+
+@query("SELECT * FROM (VALUES ('src/auth/login.ts', 'auth'), ('package.json', 'dependency_manifest'), ('.github/workflows/ci.yml', 'ci_cd'), ('db/migrations/1.sql', 'database'), ('src/session.guard.ts', 'auth,authorization'), ('README.md', '')) AS t(path, categories)", views=False)
+def classify_changed_file(spark, d):
+    rows = [(x,) for x in ("src/auth/login.ts", "package.json", ".github/workflows/ci.yml", "db/migrations/1.sql", "src/session.guard.ts", "README.md")]
+    return spark.createDataFrame(rows, "path string").select("path", F.array_join(S.change_categories(F.col("path")), ",").alias("categories"))
+
+
+# --- extensions: event time ---------------------------------------------------------------
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", views=False)
+def ext_tumbling_counts(spark, d):
+    e = B.table(spark, d, "events")
+    return e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").alias("window_start"), "n", "total")
