@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from . import bindings as B
 from .functions import scalars as S
-from .operators import admission, correlate, readmodel, routes, scoring, store, web
+from .operators import admission, correlate, guard, readmodel, routes, scoring, store, taint, web
 from .schema import CONFIDENCES, OPEN, SEVERITIES, SOURCES
+from .sources import reports
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -387,3 +388,92 @@ def classify_changed_file(spark, d):
 def ext_tumbling_counts(spark, d):
     e = B.table(spark, d, "events")
     return e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").alias("window_start"), "n", "total")
+
+
+@query("SELECT user_id, min(ts) AS window_start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s", views=False)
+def ext_session_counts(spark, d):
+    e = B.table(spark, d, "events")
+    return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("window_start"), "n")
+
+
+# --- reports ---------------------------------------------------------------------------------
+
+DRAFT_SQL = "title, category, cwe, severity, confidence, source, file_path, line_start, line_end, evidence"
+
+
+def _drafts(rows: str) -> str:
+    return f"SELECT title, category, cwe, severity, confidence, source, file_path, line_start::INT AS line_start, line_end::INT AS line_end, evidence FROM (VALUES {rows}) AS t({DRAFT_SQL})"
+
+
+@query(_drafts("('eval', 'js.lang.eval', 'CWE-95', 'high', 'high', 'static_analysis', 'a.ts', 3, 4, 'eval(x)'), ('log', 'js.log', 'CWE-1', 'low', 'medium', 'static_analysis', 'b.ts', 7, 7, NULL), ('odd', 'odd', NULL, 'medium', 'medium', 'static_analysis', 'c.ts', 1, 1, NULL)"), views=False)
+def src_pattern_report(spark, d):
+    doc = """{"results":[{"check_id":"js.lang.eval","path":"a.ts","start":{"line":3},"end":{"line":4},"extra":{"severity":"ERROR","lines":"eval(x)","metadata":{"confidence":"HIGH","cwe":["CWE-95","CWE-96"]}}},
+    {"check_id":"js.log","path":"b.ts","start":{"line":7},"end":{"line":7},"extra":{"severity":"INFO","metadata":{"cwe":"CWE-1"}}},
+    {"check_id":"odd","path":"c.ts","start":{"line":1},"end":{"line":1},"extra":{}}]}"""
+    return reports.pattern_report(spark.createDataFrame([(doc,), ("not json",)], "json string")).select(*reports.DRAFT)
+
+
+@query(_drafts("('Key', 'aws', 'CWE-798', 'critical', 'medium', 'secret_detection', 'k.ts', 2, 2, 'AKI********890'), ('Short', 'pw', 'CWE-798', 'critical', 'medium', 'secret_detection', 'k.ts', 5, 5, '[redacted]')"), views=False)
+def src_secret_report(spark, d):
+    doc = '[{"RuleID":"aws","Description":"Key","StartLine":2,"EndLine":2,"Secret":"AKIA1234567890","File":"k.ts"},{"RuleID":"pw","Description":"Short","StartLine":5,"EndLine":5,"Secret":"hunter2","File":"k.ts"}]'
+    return reports.secret_report(spark.createDataFrame([(doc,)], "json string")).select(*reports.DRAFT)
+
+
+@query(_drafts("('V-1 in left', 'V-1', NULL, 'medium', 'confirmed', 'dependency_analysis', 'lock.json', NULL, NULL, 'left@1.0 fixed in 1.2'), ('V-2 in left', 'V-2', NULL, 'critical', 'confirmed', 'dependency_analysis', 'lock.json', NULL, NULL, 'left@1.0')"), views=False)
+def src_dependency_report(spark, d):
+    doc = """{"results":[{"source":{"path":"lock.json"},"packages":[{"package":{"name":"left","version":"1.0","ecosystem":"npm"},"vulnerabilities":[
+    {"id":"V-1","affected":[{"ranges":[{"events":[{"introduced":"0"},{"fixed":"1.2"}]}]},{"database_specific":{"severity":"MODERATE"}}]},
+    {"id":"V-2","database_specific":{"severity":"CRITICAL"}}]}]},{"source":{"path":"empty"}}]}"""
+    return reports.dependency_report(spark.createDataFrame([(doc,)], "json string")).select(*reports.DRAFT)
+
+
+@query("SELECT * FROM (VALUES ('GET', '/u/{id}', 'bearer', 'id:path:true,q:query:false'), ('POST', '/u/{id}', '', 'id:path:true'), ('GET', '/h', 'bearer', '')) AS t(method, path, security, parameters)", views=False)
+def src_openapi_endpoints(spark, d):
+    doc = """{"security":[{"bearer":[]}],"paths":{"/u/{id}":{"parameters":[{"name":"id","in":"path"}],"get":{"parameters":[{"name":"q","in":"query"},{"in":"query"}]},"post":{"security":[]}},"/h":{"get":{}}}}"""
+    e = reports.openapi_endpoints(spark.createDataFrame([(doc,), ("broken",)], "json string"))
+    return e.select("method", "path", F.array_join("security", ",").alias("security"), F.array_join(F.transform("parameters", lambda x: F.concat_ws(":", x["name"], x["in"], x["required"].cast("string"))), ",").alias("parameters"))
+
+
+@query(" SELECT scan_id, count(*) AS n_results, sum((severity IN ('critical', 'high'))::INT)::BIGINT AS n_error FROM findings GROUP BY scan_id")
+def sink_sarif(spark, d):
+    s = reports.sarif_results(B.findings(spark, d))
+    levels = F.from_json("sarif", "results array<struct<ruleId:string, level:string>>")["results"]
+    return s.select("scan_id", F.size(levels).cast("long").alias("n_results"), F.size(F.filter(levels, lambda x: x["level"] == "error")).cast("long").alias("n_error"))
+
+
+# --- decisions and taint ------------------------------------------------------------------------
+
+
+@query(
+    """SELECT * FROM (VALUES (1, 'ok', true), (2, 'no_matching_authorization', false), (3, 'unsupported_scheme', false), (4, 'blocked_hostname', false), (5, 'revoked', false), (6, 'expired', false),
+ (7, 'not_verified', false), (8, 'tier_not_allowed', false), (9, 'blocked_address', false), (10, 'invalid_url', false), (11, 'ok', true)) AS t(req_id, reason, allowed)""",
+    views=False,
+)
+def pred_scope_guard(spark, d):
+    urls = ["https://a.io/x", "https://z.io/", "ftp://a.io/", "http://localhost/", "https://r.io/", "https://e.io/", "https://n.io/", "https://a.io/", "https://a.io/", "::", "http://A.io:8080/p"]
+    rows = [(k + 1, u, 3 if k == 7 else 1, ["10.1.2.3"] if k == 8 else ["8.8.8.8"]) for k, u in enumerate(urls)]
+    requests = spark.createDataFrame(rows, "req_id int, url string, tier int, resolved array<string>")
+    late, past = dt.datetime(1999, 1, 1), dt.datetime(1998, 7, 1)
+    a = [(0, "https", "a.io", 443, late, None, past), (1, "https", "r.io", 443, late, past, past), (2, "https", "r.io", 443, late, None, past), (3, "https", "e.io", 443, past, None, past), (4, "https", "n.io", 443, late, None, None), (5, "http", "a.io", 8080, late, None, past)]
+    auth = spark.createDataFrame([(*x[:4], 2, *x[4:]) for x in a], "idx int, scheme string, host string, port int, max_tier int, expires_at timestamp_ntz, revoked_at timestamp_ntz, verified_at timestamp_ntz")
+    return guard.decide(requests, auth, now())
+
+
+@query("SELECT * FROM (VALUES (1, 'INJ-002', 'critical', 0), (3, 'SSRF-001', 'high', 1)) AS t(call_id, rule, severity, depth)", views=False)
+def taint_rules(spark, d):
+    seeds = spark.createDataFrame([(1, "req.query.id")], "fn_id int, name string")
+    assigns = spark.createDataFrame([(1, 1, "id", "req.query.id"), (1, 2, "sql", "id"), (1, 9, "late", "id"), (1, 3, "num", "id"), (2, 1, "url", "p")], "fn_id int, seq int, target string, source string")
+    calls = spark.createDataFrame([(1, 1, 4, "query", "sql", None), (2, 1, 5, "query", "late", None), (3, 2, 2, "fetch", "url", None), (4, 1, 6, "helper", "id", 2), (5, 1, 7, "exec", "num", None), (6, 1, 8, "query", "id", None)], "call_id int, fn_id int, seq int, name string, argument string, callee int")
+    params = spark.createDataFrame([(2, "p")], "fn_id int, name string")
+    rules = spark.createDataFrame([("INJ-002", "query", "critical"), ("SSRF-001", "fetch", "high"), ("INJ-001", "exec", "critical")], "rule string, sink string, severity string")
+    clean = spark.createDataFrame([(1, "num", "exec")], "fn_id int, name string, sink string")
+    quiet = spark.createDataFrame([("INJ-002", 6)], "rule string, call_id int")
+    return taint.sink_findings(taint.propagate(seeds, assigns, calls, params), calls, rules, clean, quiet)
+
+
+@query(", e AS (SELECT DISTINCT l_partkey AS a, l_suppkey * 31 % 2000 + 1 AS b FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 10) SELECT kind, count(*) AS n FROM (SELECT 'CALLS' AS kind, a, b FROM e UNION SELECT 'NODE', a, a FROM e UNION SELECT 'NODE', b, b FROM e) GROUP BY kind")
+def graph_kind_counts(spark, d):
+    e = B.table(spark, d, "lineitem").filter("l_linenumber = 1 and l_quantity < 10").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") * 31 % 2000 + 1).alias("b"))
+    edges = e.select(F.lit("CALLS").alias("kind"), "a", "b")
+    nodes = e.select(F.explode(F.array("a", "b")).alias("a")).select(F.lit("NODE").alias("kind"), "a", F.col("a").alias("b"))
+    return edges.union(nodes).distinct().groupBy("kind").agg(F.count("*").alias("n"))
