@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bindings as B
+from .functions import addresses as A
 from .functions import scalars as S
-from .operators import admission, correlate, guard, readmodel, routes, scoring, store, taint, web
+from .operators import admission, correlate, graph, guard, readmodel, routes, scoring, store, taint, web
 from .schema import CONFIDENCES, OPEN, SEVERITIES, SOURCES
 from .sources import reports
 
@@ -477,3 +478,95 @@ def graph_kind_counts(spark, d):
     edges = e.select(F.lit("CALLS").alias("kind"), "a", "b")
     nodes = e.select(F.explode(F.array("a", "b")).alias("a")).select(F.lit("NODE").alias("kind"), "a", F.col("a").alias("b"))
     return edges.union(nodes).distinct().groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# --- addresses -----------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, split_part(url, ':', 1) AS scheme, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) = (SELECT regexp_extract(min(url), '^([a-z]+://[^/?#]*)', 1) FROM pages) AS same FROM pages", views=False)
+def pred_same_origin(spark, d):
+    p = B.table(spark, d, "pages")
+    first = p.agg(F.min("url").alias("first"))
+    return p.crossJoin(F.broadcast(first)).select("page_id", A.host(F.col("url")).alias("host"), A.scheme(F.col("url")).alias("scheme"), A.same_origin(F.col("url"), F.col("first")).alias("same"))
+
+
+@query("SELECT * FROM (VALUES ('::1', true), ('fe80::1', true), ('fd00::2', true), ('2001:db8::1', false), ('::ffff:10.0.0.1', true), ('::ffff:8.8.8.8', false), ('', false)) AS t(ip, blocked)", views=False)
+def pred_blocked_ipv6(spark, d):
+    rows = spark.createDataFrame([(x,) for x in ("::1", "fe80::1", "fd00::2", "2001:db8::1", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "")], "ip string")
+    return rows.select("ip", A.blocked_ipv6(F.col("ip")).alias("blocked"))
+
+
+@query("SELECT * FROM (VALUES ('a/b/../c', 'a/c'), ('../x', NULL), ('./a//b', 'a/b'), ('a/../../b', NULL), ('', '')) AS t(path, inside)", views=False)
+def pred_path_within(spark, d):
+    rows = spark.createDataFrame([(x,) for x in ("a/b/../c", "../x", "./a//b", "a/../../b", "")], "path string")
+    return rows.select("path", A.normalized_path(F.col("path")).alias("inside"))
+
+
+@query("SELECT * FROM (VALUES (' HTTPS://App.Example.COM./x', 'app.example.com', 'example.com'), ('10.0.0.1', NULL, NULL), ('bad_host', NULL, NULL), ('a.b.co:8080', 'a.b.co', 'b.co')) AS t(given, host, apex)", views=False)
+def normalize_host(spark, d):
+    rows = spark.createDataFrame([(x,) for x in (" HTTPS://App.Example.COM./x", "10.0.0.1", "bad_host", "a.b.co:8080")], "given string")
+    return rows.select("given", A.normalize_host(F.col("given")).alias("host")).withColumn("apex", S.guess_apex(F.col("host")))
+
+
+@query("SELECT * FROM (VALUES ('/admin/x', true), ('/public', false), ('/tmp', true), ('/bot', false)) AS t(path, blocked)", views=False)
+def src_robots(spark, d):
+    text = "User-agent: bot\nDisallow: /bot\nUser-agent: *\nDisallow: /admin\nDisallow:\nDisallow: /tmp\n"
+    rows = spark.createDataFrame([(x, text) for x in ("/admin/x", "/public", "/tmp", "/bot")], "path string, robots string")
+    return rows.select("path", A.disallowed(F.col("path"), A.disallowed_paths(F.col("robots"))).alias("blocked"))
+
+
+@query("SELECT * FROM (VALUES ('https://a/1'), ('https://a/2')) AS t(url)", views=False)
+def src_sitemap(spark, d):
+    rows = spark.createDataFrame([("<urlset><url><loc>https://a/1</loc></url><url><LOC> https://a/2 </LOC></url></urlset>",)], "xml string")
+    return rows.select(F.explode(A.sitemap_urls(F.col("xml"))).alias("url"))
+
+
+# --- graph, nested results, more joins ----------------------------------------------------------------
+
+
+@query(" SELECT kind || ':' || file_path || ':' || name || ':' || line AS id, finding_id FROM (SELECT *, row_number() OVER (PARTITION BY kind, file_path, name, line ORDER BY finding_id) AS k FROM (SELECT 'FUNCTION' AS kind, file_path, category AS name, line_start AS line, finding_id FROM findings)) WHERE k = 1")
+def graph_build(spark, d):
+    n = B.findings(spark, d).select(F.lit("FUNCTION").alias("kind"), "file_path", F.col("category").alias("name"), F.col("line_start").alias("line"), "finding_id")
+    return graph.first_by(graph.node_ids(n), ["id"], [F.col("finding_id")]).select("id", "finding_id")
+
+
+@query(", fn AS (SELECT finding_id AS fn_id, file_path, line_start AS first, line_start + 25 AS last FROM findings WHERE scan_id % 7 = 0) SELECT call_id, fn_id FROM (SELECT c.finding_id AS call_id, fn.fn_id, row_number() OVER (PARTITION BY c.finding_id ORDER BY fn.first DESC, fn.fn_id DESC) AS k FROM findings c JOIN fn ON fn.file_path = c.file_path AND fn.first <= c.line_start AND c.line_start <= fn.last WHERE c.scan_id % 7 = 1) WHERE k = 1")
+def join_scope(spark, d):
+    f = B.findings(spark, d)
+    fn = f.filter("scan_id % 7 = 0").select(F.col("finding_id").alias("fn_id"), "file_path", F.col("line_start").alias("first"), (F.col("line_start") + 25).alias("last"))
+    return graph.enclosing(f.filter("scan_id % 7 = 1").select(F.col("finding_id").alias("call_id"), "file_path", F.col("line_start").alias("pos")), fn)
+
+
+@query("SELECT * FROM (VALUES (1, 'AUTHZ-001', 'high', 85), (5, 'AUTHZ-001', 'medium', 70)) AS t(call_id, rule, severity, score)", views=False)
+def rule_object_access(spark, d):
+    ids = lambda *x: spark.createDataFrame([(k,) for k in x], "call_id int")
+    flows = spark.createDataFrame([(1, "Invoice"), (2, "user"), (3, "user"), (4, "user"), (5, "post")], "call_id int, model string")
+    return graph.object_access(flows, ids(2), ids(3), ids(1, 2, 3, 5))
+
+
+@query("SELECT * FROM (VALUES (1, 'created'), (2, 'updated'), (3, 'skipped_type'), (4, 'skipped_not_eligible'), (5, 'skipped_revoked')) AS t(scope_id, outcome)", views=False)
+def join_scope_sync(spark, d):
+    e = spark.createDataFrame([(1, "URL", True), (2, "DOMAIN", True), (3, "APP", True), (4, "URL", False), (5, "WILDCARD", True)], "scope_id int, kind string, eligible boolean")
+    return graph.scope_sync(e, spark.createDataFrame([(2, False), (5, True)], "scope_id int, revoked boolean"))
+
+
+@query(" SELECT org_id, org_name, string_agg(repo_name, ',' ORDER BY repo_name) AS repositories FROM organizations JOIN repositories USING (org_id) GROUP BY org_id, org_name")
+def proj_include(spark, d):
+    r = B.repositories(spark, d).groupBy("org_id").agg(F.array_sort(F.collect_list(F.struct("repo_name", "repo_id"))).alias("repositories"))
+    return B.organizations(spark, d).join(r, "org_id").select("org_id", "org_name", F.array_join(F.col("repositories.repo_name"), ",").alias("repositories"))
+
+
+@query(" SELECT finding_id, least(95, greatest(5, 35 + CASE WHEN severity = 'high' THEN 20 ELSE 0 END + CASE WHEN status = 'confirmed' THEN 25 ELSE 0 END + CASE WHEN source = 'web_security' THEN -40 ELSE 0 END))::INT AS score FROM findings")
+def confidence_score(spark, d):
+    signals = F.array(F.when(F.col("severity") == "high", 20), F.when(F.col("status") == "confirmed", 25), F.when(F.col("source") == "web_security", -40))
+    return B.findings(spark, d).select("finding_id", S.confidence_score(signals).alias("score"))
+
+
+@query(" SELECT date_trunc('month', created_at)::TIMESTAMP AS month, scan_status, count(*) AS n FROM scans GROUP BY 1, 2")
+def scans_by_month(spark, d):
+    return B.scans(spark, d).groupBy(F.date_trunc("month", "created_at").cast("timestamp_ntz").alias("month"), "scan_status").agg(F.count("*").alias("n"))
+
+
+@query(" SELECT DISTINCT org_id FROM memberships WHERE user_id < 20 UNION SELECT org_id FROM organizations WHERE org_id % 2 = 0")
+def union_distinct(spark, d):
+    return B.memberships(spark, d).filter("user_id < 20").select("org_id").union(B.organizations(spark, d).filter("org_id % 2 = 0").select("org_id")).distinct()
