@@ -39,9 +39,13 @@ from pyspark.sql import functions as F
 
 from .eliasfano import load, save
 from .shared import local_path, settle, shared_folder, write_file
-from .textkit import BYTE_CODE, U64, chunks, mix64, powers, text_buffer
+from .textkit import BYTE_CODE, U64, chunks, mix64, powers, release, text_buffer
 
 PREFIX = 32
+#: Bytes whose anchors, or whose fringe, are worked on at once.
+PIECE = 1 << 19
+#: Bytes of text whose entries are sent together; repeats among them are dropped first.
+GROUP = 12 << 20
 LEAST = np.iinfo(np.int64).min
 ENTRY = (("g", "<u4"), ("c", "<u8"), ("d", "<u4"), ("s", "<u4"), ("n", "<u1"))
 PACKED = "key int, g binary, c binary, d binary, s binary, n binary, docs binary, ties binary"
@@ -92,7 +96,8 @@ def anchors(x: np.ndarray, offs: np.ndarray, length: int):
     with np.errstate(over="ignore"):
         c = (p[stop - 1 + length] - p[first]) * down[first]
         c = mix64(c + (a - first).astype(U64) * U64(0x9E3779B97F4A7C15) + (stop - first).astype(U64) * U64(0xD6E8FEB86659FD93))
-    return g[a], c, np.searchsorted(offs, first, "right") - 1, first, stop - first
+    # the smallest hashes crowd at the low end: mixed again they spread over the shards
+    return mix64(g[a]), c, np.searchsorted(offs, first, "right") - 1, first, stop - first
 
 
 def _deal(key: np.ndarray, shards: int, parts: list[np.ndarray]) -> tuple[np.ndarray, list[list[bytes]]]:
@@ -121,45 +126,52 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("tie"), "text")
 
 
+def _packed_entries(data, offs, doc, tie, length: int, shards: int):
+    """Spans and entries of some documents."""
+    parts = []
+    for i, j in chunks(offs, PIECE):
+        g, c, d, s, n = anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length)
+        parts.append((g, c, d + i, s - (offs[d + i] - offs[i]), n))
+    if not parts:
+        return
+    g, c, d, s, n = (np.concatenate(x) for x in zip(*parts))
+    # of equal contexts in this batch only the earliest competes; the others repeat it
+    order = np.lexsort((s, tie[d], doc[d], c, g))
+    g, c, d, s, n = (x[order] for x in (g, c, d, s, n))
+    again = np.zeros(len(g), bool)
+    again[1:] = (g[1:] == g[:-1]) & (c[1:] == c[:-1])
+    if again.any():
+        # rows that repeat id, text and place are one
+        same = np.zeros(len(g), bool)
+        same[1:] = again[1:] & (s[1:] == s[:-1]) & (doc[d[1:]] == doc[d[:-1]]) & (tie[d[1:]] == tie[d[:-1]])
+        lead = np.maximum.accumulate(np.where(again, -1, np.arange(len(g))))
+        real = again & ~((s == s[lead]) & (doc[d] == doc[d[lead]]) & (tie[d] == tie[d[lead]]))
+        real &= ~same
+        yield _span_rows(doc[d[real]], tie[d[real]], s[real], n[real] + length - 1, shards)
+        g, c, d, s, n = (x[~again] for x in (g, c, d, s, n))
+    order = np.argsort(d, kind="stable")  # neighbours compress well
+    g, c, d, s, n = (x[order] for x in (g, c, d, s, n))
+    shard = ((g >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[order], np.arange(shards + 1))
+    own = np.flatnonzero(np.diff(cut))
+    cols: list[list[bytes]] = [[] for _ in range(7)]
+    for k in own:
+        o = order[cut[k] : cut[k + 1]]
+        used, back = np.unique(d[o], return_inverse=True)
+        for col, x in zip(cols, (g[o].astype("<u4"), c[o], back.astype("<u4"), s[o].astype("<u4"), n[o].astype("<u1"), doc[used], tie[used])):
+            col.append(np.ascontiguousarray(x).tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(x, pa.binary()) for x in cols)], names=[c.split()[0] for c in PACKED.split(", ")])
+
+
 def _entries(docs: DataFrame, length: int, shards: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             doc, tie = (batch.column(k).to_numpy().astype(np.int64) for k in range(2))
             data, offs = text_buffer(batch.column(2))
-            parts = []
-            for i, j in chunks(offs):
-                g, c, d, s, n = anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length)
-                parts.append((g, c, d + i, s - (offs[d + i] - offs[i]), n))
-            if not parts:
-                continue
-            g, c, d, s, n = (np.concatenate(x) for x in zip(*parts))
-            # of equal contexts in this batch only the earliest competes; the others repeat it
-            order = np.lexsort((s, tie[d], doc[d], c, g))
-            g, c, d, s, n = (x[order] for x in (g, c, d, s, n))
-            again = np.zeros(len(g), bool)
-            again[1:] = (g[1:] == g[:-1]) & (c[1:] == c[:-1])
-            if again.any():
-                # rows that repeat id, text and place are one
-                same = np.zeros(len(g), bool)
-                same[1:] = again[1:] & (s[1:] == s[:-1]) & (doc[d[1:]] == doc[d[:-1]]) & (tie[d[1:]] == tie[d[:-1]])
-                lead = np.maximum.accumulate(np.where(again, -1, np.arange(len(g))))
-                real = again & ~((s == s[lead]) & (doc[d] == doc[d[lead]]) & (tie[d] == tie[d[lead]]))
-                real &= ~same
-                yield _span_rows(doc[d[real]], tie[d[real]], s[real], n[real] + length - 1, shards)
-                g, c, d, s, n = (x[~again] for x in (g, c, d, s, n))
-            order = np.argsort(d, kind="stable")  # neighbours compress well
-            g, c, d, s, n = (x[order] for x in (g, c, d, s, n))
-            shard = ((g >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            own = np.flatnonzero(np.diff(cut))
-            cols: list[list[bytes]] = [[] for _ in range(7)]
-            for k in own:
-                o = order[cut[k] : cut[k + 1]]
-                used, back = np.unique(d[o], return_inverse=True)
-                for col, x in zip(cols, (g[o].astype("<u4"), c[o], back.astype("<u4"), s[o].astype("<u4"), n[o].astype("<u1"), doc[used], tie[used])):
-                    col.append(np.ascontiguousarray(x).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(x, pa.binary()) for x in cols)], names=[c.split()[0] for c in PACKED.split(", ")])
+            for begin, end in chunks(offs, GROUP):
+                yield from _packed_entries(data, offs[begin : end + 1], doc[begin:end], tie[begin:end], length, shards)
+                release()
 
     return _keyed(docs).mapInArrow(run, PACKED)
 
@@ -189,6 +201,7 @@ def _ranked(packed: DataFrame, length: int, files: int) -> DataFrame:
         group = np.cumsum(fresh_g) - 1
         fringe = fresh & (np.bincount(group[fresh], minlength=group[-1] + 1)[group] > 1)
         spans = _span_rows(doc[again], tie[again], s[again], n[again] + length - 1, files)
+        release()
         doc, tie, s, n, g = doc[fringe], tie[fringe], s[fringe], n[fringe], g[fringe].astype(U64) | (U64(key) << U64(32))
         own, (gs, ss, ns, ds, ts) = _deal(_file_of(doc, tie, files), files, [g, s, n, doc, tie])
         none = [b""] * len(own)
@@ -228,6 +241,7 @@ def _side_files(rows: DataFrame, folder: str, name: str, union: bool) -> dict[in
             arrays["g"] = g[order]
         path = f"{root}/{name}-{key + (1 << 20):07d}.fef"
         write_file(path, save(arrays))
+        release()
         return pa.table({"key": pa.array([key], pa.int32()), "path": [path]})
 
     return {r["key"]: r["path"] for r in rows.groupBy("key").applyInArrow(run, "key int, path string").collect()}  # a row per file
@@ -321,31 +335,50 @@ def double(x: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, n
     return live[order], rank[live[order]]
 
 
+def _later(x: np.ndarray, start: np.ndarray, doc: np.ndarray, tie: np.ndarray, s: np.ndarray, length: int):
+    """(context, place in its document, number) of runs of positions whose string also is at an earlier place."""
+    at, rank = double(x, start, length)
+    if not len(at):
+        return at, at, at
+    own = np.searchsorted(start, at, "right") - 1
+    place = s[own] + at - start[own]
+    order = np.lexsort((place, tie[own], doc[own], rank))
+    own, place, rank = own[order], place[order], rank[order]
+    lead = np.maximum.accumulate(np.where(np.concatenate([[True], rank[1:] != rank[:-1]]), np.arange(len(rank)), 0))
+    # rows that repeat id and text bring a context more than once: that is one place
+    later = (doc[own] != doc[own[lead]]) | (tie[own] != tie[own[lead]]) | (place != place[lead])
+    own, place = own[later], place[later]
+    order = np.lexsort((place, own))
+    own, place = own[order], place[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1)
+    k = np.flatnonzero(new)
+    return own[k], place[k], np.diff(np.append(k, len(own)))
+
+
 def _doubled(packed: DataFrame, length: int, files: int) -> DataFrame:
     """Step 3: spans of the fringe's repeated strings, packed by file."""
 
     def run(table: pa.Table) -> pa.Table:
         doc, tie, s, n, g = (_joined(table, x) for x in ("docs", "ties", "s", "n", "g"))
         x = np.frombuffer(b"".join(table.column("c").to_pylist()), np.uint8)
-        start = np.concatenate([[0], np.cumsum(n + length - 1)])
-        # equal ids and texts from different batches count once
-        at, rank = double(x, start, length)
-        if not len(at):
-            return pa.Table.from_batches([_span_rows(doc[:0], tie[:0], s[:0], n[:0], files)])
-        own = np.searchsorted(start, at, "right") - 1
-        place = s[own] + at - start[own]
-        order = np.lexsort((place, tie[own], doc[own], rank))
-        own, place, rank = own[order], place[order], rank[order]
-        lead = np.maximum.accumulate(np.where(np.concatenate([[True], rank[1:] != rank[:-1]]), np.arange(len(rank)), 0))
-        later = (doc[own] != doc[own[lead]]) | (tie[own] != tie[own[lead]]) | (place != place[lead])
-        own, place = own[later], place[later]
-        order = np.lexsort((place, own))
-        own, place = own[order], place[order]
-        new = np.ones(len(own), bool)
-        new[1:] = (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1)
-        k = np.flatnonzero(new)
-        run_size = np.diff(np.append(k, len(own))) if len(k) else k
-        return pa.Table.from_batches([_span_rows(doc[own[k]], tie[own[k]], place[k], run_size + length - 1, files)])
+        size = n + length - 1
+        begin = np.cumsum(size) - size
+        # contexts of one anchor stand together; a piece holds whole anchors and about PIECE bytes
+        order = np.argsort(g, kind="stable")
+        ends = np.flatnonzero(np.append(g[order][1:] != g[order][:-1], True)) + 1 if len(g) else []
+        out, a, held = [_span_rows(doc[:0], tie[:0], s[:0], n[:0], files)], 0, np.cumsum(size[order])
+        for b in ends:
+            if b < len(order) and held[b - 1] - (held[a - 1] if a else 0) < PIECE:
+                continue
+            own = order[a:b]
+            a = b
+            start = np.concatenate([[0], np.cumsum(size[own])])
+            place = np.arange(start[-1]) + np.repeat(begin[own] - start[:-1], size[own])
+            row, at, run_size = _later(x[place], start, doc[own], tie[own], s[own], length)
+            out.append(_span_rows(doc[own][row], tie[own][row], at, run_size + length - 1, files))
+        release()
+        return pa.Table.from_batches(out)
 
     return packed.groupBy("key").applyInArrow(run, PACKED)
 
