@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .eliasfano import load, save
-from .jaccard import candidate_lists, classes_linked, entry_rows, packed_entries
-from .shared import local_path, settle, shared_folder, write_file
+from .classfiles import class_files, found_in
+from .jaccard import candidate_lists, classes_linked, entry_rows, packed_entries, sketch
+from .shared import settle, shared_folder
 from .textkit import U64, chunks, mix64, powers, text_buffer
 
 LEAST = np.iinfo(np.int64).min
@@ -73,6 +73,11 @@ class Lines:
         return self.points[self.start[k] : self.end[k]].tobytes().decode("utf-32-le", "surrogatepass")
 
 
+def line_sketch(points: np.ndarray) -> bytes:
+    """Parities of a line's neighbouring pairs of code points."""
+    return sketch((points[:-1].astype(U64) << U64(32)) | points[1:].astype(U64), len(points))
+
+
 def segments(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, size) of segment i of lines of such lengths: the later ones are longer by one where parts don't divide."""
     base, more = length // parts, length % parts
@@ -189,40 +194,6 @@ def _first_of_batch(batch, rules: LineRules):
         yield ls, order[at], doc, tie, np.diff(np.append(at, len(h)))
 
 
-def _file_key(files: int):
-    return F.shiftrightunsigned(F.shiftrightunsigned(F.col("class"), 32) * files, 32).cast("int")
-
-
-def _class_files(rows: DataFrame, folder: str, name: str, files: int) -> dict[int, str]:
-    """Sorted files of (class, doc, tie, place) by the class's high half."""
-    root = local_path(folder)
-
-    def run(table: pa.Table) -> pa.Table:
-        key = table.column("file")[0].as_py()
-        arrays = {c: table.column(c).to_numpy() for c in ("class", "doc", "tie", "place")}
-        order = np.argsort(arrays["class"])
-        path = f"{root}/{name}-{key:07d}.fef"
-        write_file(path, save({c: x[order] for c, x in arrays.items()}))
-        return pa.table({"file": pa.array([key], pa.int32()), "path": [path]})
-
-    made = rows.select(_file_key(files).alias("file"), "class", "doc", "tie", "place").groupBy("file").applyInArrow(run, "file int, path string")
-    return {r["file"]: r["path"] for r in made.collect()}  # a row per file
-
-
-def _found(paths: dict[int, str], h: np.ndarray, files: int):
-    """(indices of hashes that a file holds, places in it, its arrays) for each file."""
-    at = (((h >> U64(32)) * U64(files)) >> U64(32)).astype(np.int64)
-    for k in np.unique(at):
-        if int(k) in paths:
-            f = load(paths[int(k)])
-            own = np.flatnonzero(at == k)
-            v = h[own].view(np.int64)
-            e = np.searchsorted(f["class"], v)
-            e[e == len(f["class"])] = 0
-            hit = f["class"][e] == v
-            yield own[hit], e[hit], f
-
-
 def repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[dict[int, str], int]:
     """Files with the earliest line of each class that has more than one line, and their number's base."""
     spark = docs.sparkSession
@@ -247,22 +218,28 @@ def repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[dic
                     yield packed_entries(*line_entries(ls, own, t), shards)
 
     lists = settle(candidate_lists(keyed.mapInArrow(post, "shard int, blob binary"), 0), "lists")
-    wanted = lists.select(F.explode("classes").alias("class")).distinct().select("class", *[F.lit(0).cast("long").alias(c) for c in ("doc", "tie", "place")])
-    wanted = _class_files(wanted, folder, "wanted", files)
+    wanted = lists.select(F.explode("classes").alias("class")).distinct()
+    wanted = class_files(wanted, folder, "wanted", files)
 
     def texts(batches):
         for batch in batches:
             for ls, own, *_ in _first_of_batch(batch, rules):
-                hit = np.sort(np.concatenate([own[o] for o, _, _ in _found(wanted, ls.hash[own], files)] or [own[:0]]))
-                yield pa.RecordBatch.from_arrays([pa.array(ls.hash[hit].view(np.int64)), pa.array([ls.text(k) for k in hit], pa.string())], names=["class", "text"])
-
-    text = settle(keyed.mapInArrow(texts, "class long, text string").groupBy("class").agg(F.first("text").alias("text")), "texts")
-    found = classes_linked(lists, text, 0, edit_matcher(rules))
+                hit = np.sort(np.concatenate([own[o] for o, _, _ in found_in(wanted, ls.hash[own], files)] or [own[:0]]))
+                points = [ls.points[ls.start[k] : ls.end[k]] for k in hit]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ls.hash[hit].view(np.int64)), pa.array([ls.text(k) for k in hit], pa.string()), pa.array(map(len, points), pa.int64()), pa.array(map(line_sketch, points), pa.binary())],
+                    names=["class", "text", "n", "sketch"],
+                )
+
+    made = keyed.mapInArrow(texts, "class long, text string, n long, sketch binary")
+    text = settle(made.groupBy("class").agg(*[F.first(c).alias(c) for c in ("text", "n", "sketch")]), "texts")
+    # an edit changes two pairs of neighbours for two others at most
+    found = classes_linked(lists, lambda pairs: text.select("class", "text"), 0, edit_matcher(rules), text.select("class", "n", "sketch"), lambda n_a, n_b, diff: diff <= 4 * t)
     named = first.join(found.withColumnRenamed("node", "class"), "class", "left")
     least = named.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc", "tie", "place")).alias("at"))
     linked = named.filter("component is not null").select("class", "component").join(least, "component").select("class", "at.*")
     alone = named.filter("component is null and n > 1").select("class", "doc", "tie", "place")
-    return _class_files(linked.union(alone), folder, "kept", files), files
+    return class_files(linked.union(alone), folder, "kept", files), files
 
 
 def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -279,7 +256,7 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
             gone: dict[int, set] = {}
             for i, j in chunks(offs):
                 ls = Lines(data, offs, i, j, rules)
-                for k, e, f in _found(kept, ls.hash, files):
+                for k, e, f in found_in(kept, ls.hash, files):
                     d, p = ls.doc[k], ls.place[k]
                     drop = (f["doc"][e] != doc[d]) | (f["tie"][e] != tie[d]) | (f["place"][e] != p)
                     for x, y in zip(d[drop].tolist(), p[drop].tolist()):
