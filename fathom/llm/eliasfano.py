@@ -1,8 +1,9 @@
 """Elias-Fano sequences over memory-mapped arrays, with vectorised access and successor search.
 
 A monotone sequence of m values below u keeps its low bits packed and its
-high bits in unary: value i sets bit (v_i >> low) + i. Sampled positions of
-set and clear bits make selection a few word reads.
+high bits in unary: value i sets bit (v_i >> low) + i. Counts of set and clear
+bits before every few words make selection a binary search and a few word
+reads, also where runs of either are long.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 U64 = np.uint64
-SAMPLE = 64
+#: Words of high bits for each count in the directories.
+SPAN = 8
 
 
 def _select_in_word(w: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -28,7 +30,7 @@ def _select_in_word(w: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """Arrays: head (m, low, u), lows (bytes), bits (words), ones and zeros (sampled positions)."""
+    """Arrays: head (m, low, u), lows (bytes), bits (words), ones and zeros (bits of either kind before each span of words)."""
 
     NAMES = ("head", "lows", "bits", "ones", "zeros")
 
@@ -46,12 +48,14 @@ class EliasFano:
         low = max(0, (u // max(m, 1)).bit_length() - 1)
         high = (v >> U64(low)).astype(np.int64)
         n_bits = m + (u >> low) + 1
-        marks = np.zeros(-(-(n_bits + 64) // 64) * 64, np.uint8)
+        span = 64 * SPAN
+        marks = np.zeros(-(-(n_bits + 64) // span) * span, np.uint8)
         at = high + np.arange(m)
         marks[at] = 1
         bits = np.packbits(marks, bitorder="little").view("<u8")
-        ones = at[::SAMPLE]
-        zeros = np.flatnonzero(marks[:n_bits] == 0)[::SAMPLE]
+        count = np.bitwise_count(bits).reshape(-1, SPAN).sum(axis=1).astype(np.int64)
+        ones = np.cumsum(count) - count
+        zeros = np.arange(len(count)) * span - ones
         lows = np.zeros(0, np.uint8)
         if low:
             planes = np.zeros((m, low), np.uint8)
@@ -59,16 +63,15 @@ class EliasFano:
                 planes[:, k] = (v >> U64(k)) & U64(1)
             lows = np.concatenate([np.packbits(planes.reshape(-1), bitorder="little"), np.zeros(8, np.uint8)])
         head = np.array([m, low, u], np.int64)
-        return {f"{prefix}.{k}": a for k, a in zip(EliasFano.NAMES, (head, lows, bits, ones.astype(np.int64), zeros.astype(np.int64)))}
+        return {f"{prefix}.{k}": a for k, a in zip(EliasFano.NAMES, (head, lows, bits, ones, zeros))}
 
-    def _select(self, k: np.ndarray, sampled: np.ndarray, flip: bool) -> np.ndarray:
-        pos = sampled[k // SAMPLE]
-        rest = k % SAMPLE
-        word = pos >> 6
+    def _select(self, k: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
+        block = np.searchsorted(before, k, "right") - 1
+        rest = k - before[block]
+        word = block * SPAN
         w = self.bits[word]
         if flip:
             w = ~w
-        w = w & (~U64(0) << (pos & 63).astype(U64))
         c = np.bitwise_count(w).astype(np.int64)
         more = np.flatnonzero(rest >= c)
         while len(more):
@@ -102,19 +105,22 @@ class EliasFano:
         v = v[live]
         h = (v >> U64(self.low)).astype(np.int64)
         low = v & U64((1 << self.low) - 1)
-        # elements of bucket h follow the clear bit number h - 1
-        pos = np.zeros(len(h), np.int64)
+        # elements of bucket h lie between the clear bits h - 1 and h
+        lo = np.zeros(len(h), np.int64)
         some = np.flatnonzero(h > 0)
-        pos[some] = self._select(h[some] - 1, self.zeros, True) + 1
-        while len(live):
-            i = pos - h
-            one = (self.bits[pos >> 6] >> (pos & 63).astype(U64)) & U64(1) == 1
-            live, pos, h, low, i = live[one], pos[one], h[one], low[one], i[one]
-            got = self._lows(i)
-            hit = got == low
-            out[live[hit]] = i[hit]
-            on = got < low
-            live, pos, h, low = live[on], pos[on] + 1, h[on], low[on]
+        lo[some] = self._select(h[some] - 1, self.zeros, True) + 1 - h[some]
+        hi = self._select(h, self.zeros, True) - h
+        at, stop = lo, hi.copy()
+        on = np.flatnonzero(at < stop)
+        while len(on):
+            mid = (at[on] + stop[on]) >> 1
+            less = self._lows(mid) < low[on]
+            at[on] = np.where(less, mid + 1, at[on])
+            stop[on] = np.where(less, stop[on], mid)
+            on = on[at[on] < stop[on]]
+        own = np.flatnonzero(at < hi)
+        hit = own[self._lows(at[own]) == low[own]]
+        out[live[hit]] = at[hit]
         return out
 
 

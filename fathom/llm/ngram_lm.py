@@ -31,8 +31,12 @@ from pyspark.sql import functions as F
 
 from .eliasfano import EliasFano, load, save
 from .shared import local_path, settle, shared_folder, write_file
-from .textkit import U64, Words, chunks, mix64, text_buffer
+from .textkit import U64, Words, chunks, mix64, release, text_buffer
 
+#: n-grams that a task holds before it sums and sends them
+HELD = 2_000_000
+#: bytes of text whose n-grams are looked up together
+WALKED = 3 << 20
 STEP = 4096.0  # quantisation: steps per unit of log10
 END = 0  # the end token's id; its hash is reserved
 
@@ -140,7 +144,13 @@ def _sum_runs(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray],
     """Sums n over equal keys; keys ascend by the first, then the second, ..."""
     if not len(n):
         return keys, n
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    if len(keys) == 2 and max(int(k.max()) for k in keys) < 1 << 32 and min(int(k.min()) for k in keys) >= 0:
+        (pair,), n = _sum_runs([(keys[0].astype(U64) << U64(32)) | keys[1].astype(U64)], n)
+        return [(pair >> U64(32)).astype(np.int64), (pair & U64(0xFFFFFFFF)).astype(np.int64)], n
+    if len(keys) == 1 and n[0] == 1 and not (n != 1).any():
+        key, n = np.unique(keys[0], return_counts=True)
+        return [key], n
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     keys, n = [k[order] for k in keys], n[order]
     new = np.ones(len(n), bool)
     new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
@@ -244,8 +254,15 @@ class Model:
         """(node or -1, its log probability, the context's back-off) at a level from 2."""
         files, first, rows = self.levels[level - 2]
         node, prob, back = np.full(len(ctx), -1, np.int64), np.zeros(len(ctx)), np.zeros(len(ctx))
-        if not files:
+        if not files or not len(ctx):
             return node, prob, back
+        if ctx.max() < 1 << 32 and word.max() < 1 << 32:
+            # each pair once and in order: repeats cost nothing, and reads go forward
+            pair, place = np.unique((ctx.astype(U64) << U64(32)) | word.astype(U64), return_inverse=True)
+            ctx, word = (pair >> U64(32)).astype(np.int64), (pair & U64(0xFFFFFFFF)).astype(np.int64)
+            node, prob, back = node[: len(ctx)], prob[: len(ctx)], back[: len(ctx)]
+        else:
+            place = np.arange(len(ctx))
         part = np.searchsorted(first, ctx, "right") - 1
         for k in np.unique(part):
             own = np.flatnonzero(part == k)
@@ -255,7 +272,7 @@ class Model:
             hit = at >= 0
             node[own[hit]] = at[hit] + rows[k][3]
             prob[own[hit]] = dequantise(f.prob[at[hit]])
-        return node, prob, back
+        return node[place], prob[place], back[place]
 
     def node_counts(self, level: int, nodes: np.ndarray) -> np.ndarray:
         if level == 1:
@@ -351,8 +368,8 @@ def _level(training: DataFrame, folder: str, shards: int, trie: Trie, level: int
         m = opened(trie)
         for batch in batches:
             data, offs = text_buffer(batch.column(0))
-            cs, ws, ns = [], [], []
-            for i, j in chunks(offs):
+            cs, ws, held = [], [], 0
+            for i, j in chunks(offs, WALKED):
                 ids, n, _, first = m.tokens(data, offs, i, j)
                 node, _ = m.walk(ids, n, first, level - 1)
                 ctx = np.concatenate([[-1], node[:-1]])
@@ -361,19 +378,18 @@ def _level(training: DataFrame, folder: str, shards: int, trie: Trie, level: int
                 use = (ctx >= 0) & (ids >= 0) & (n >= least)
                 if level == 2:
                     use &= np.concatenate([[0], n[:-1]]) >= least
-                (c, w), k = _sum_runs([ctx[use], ids[use]], np.ones(int(use.sum()), np.int64))
-                cs.append(c), ws.append(w), ns.append(k)
-            if not cs:
-                continue
-            (c, w), k = _sum_runs([np.concatenate(cs), np.concatenate(ws)], np.concatenate(ns))
-            if not len(k):
-                continue
-            with np.errstate(over="ignore"):
-                shard = shard_of(mix64(c.astype(U64) * U64(0x9E3779B97F4A7C15) + w.astype(U64)), shards)
-            yield pa.RecordBatch.from_arrays(_blobs([c.astype(kind_c), w.astype(kind_w), _small(k)], shard, shards), names=["shard", "c", "w", "n"])
+                cs.append(ctx[use]), ws.append(ids[use])
+                held += len(cs[-1])
+                if held >= HELD or (j == len(offs) - 1 and held):
+                    (c, w), k = _sum_runs([np.concatenate(cs), np.concatenate(ws)], np.ones(held, np.int64))
+                    with np.errstate(over="ignore"):
+                        shard = shard_of(mix64(c.astype(U64) * U64(0x9E3779B97F4A7C15) + w.astype(U64)), shards)
+                    yield pa.RecordBatch.from_arrays(_blobs([c.astype(kind_c), w.astype(kind_w), _small(k)], shard, shards), names=["shard", "c", "w", "n"])
+                    cs, ws, held = [], [], 0
+                    release()
 
     packed = training.select("text").mapInArrow(count, "shard int, c binary, w binary, n binary")
-    files = max(1, shards // 8)
+    files = max(1, shards // 2)
     span = -(-max(contexts, 1) // files)
 
     def merge(table: pa.Table) -> pa.Table:
@@ -385,6 +401,7 @@ def _level(training: DataFrame, folder: str, shards: int, trie: Trie, level: int
         keep = n >= least
         c, w, n = c[keep], w[keep], n[keep]
         cols = _blobs([c, w, n], c // span, files)
+        release()
         k = len(cols[0])
         return pa.Table.from_arrays([pa.concat_arrays([cols[0], pa.array([-1], pa.int32())]), *(pa.concat_arrays([x, pa.array([b""], pa.binary())]) for x in cols[1:]), pa.array([0] * k + [once]), pa.array([0] * k + [twice])], names=["part", "c", "w", "n", "once", "twice"])
 
@@ -412,7 +429,8 @@ def _level(training: DataFrame, folder: str, shards: int, trie: Trie, level: int
             wn[w > END] = m.vocabulary.counts(w[w > END])
             lower = 10 ** m.unigram(wn)
         else:
-            lower = 10 ** m.lower(level - 1, c, w)
+            step = 1 << 18
+            lower = 10 ** np.concatenate([m.lower(level - 1, c[k : k + step], w[k : k + step]) for k in range(0, len(c), step)] or [np.zeros(0)])
         prob = (n - discount) / total[c - lo] + back[c - lo] * lower
         start = np.searchsorted(c, np.arange(lo, lo + size + 1))
         # ids from 1, raised by the last value of the range before
@@ -425,6 +443,7 @@ def _level(training: DataFrame, folder: str, shards: int, trie: Trie, level: int
         write_file(path, save(arrays))
         # what building the next level asks: each node's context and word
         write_file(f"{path}.side", save({"context": c.astype(kind_c), "word": w.astype(kind_w)}))
+        release()
         return pa.table({"part": pa.array([part], pa.int32()), "path": [path], "size": pa.array([size], pa.int64()), "nodes": pa.array([len(c)], pa.int64())})
 
     # every range has a file, if only an empty one
@@ -466,7 +485,7 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
         m = opened(trie)
         for batch in batches:
             data, offs = text_buffer(batch.column(1))
-            for i, j in chunks(offs):
+            for i, j in chunks(offs, WALKED):
                 ids, n, doc, first = m.tokens(data, offs, i, j)
                 _, prob = m.walk(ids, n, first, trie.rules.order)
                 k = j - i
