@@ -10,7 +10,7 @@ relative to its context.
 
 Smoothing: absolute discounting with Ney's estimate, interpolated down to the
 add-0.1 unigram. N-grams of order two and up are kept from ``min_count``
-occurrences; what they give up goes to the back-off, so probabilities of a
+occurrences, by default all; what they give up goes to the back-off, so probabilities of a
 context still sum to one (up to quantisation). Counts cover all training
 documents; the blobs that are shuffled grow with the input.
 
@@ -44,7 +44,7 @@ END = 0  # the end token's id; its hash is reserved
 @dataclass(frozen=True)
 class LmRules:
     order: int = 3
-    min_count: int = 2
+    min_count: int = 1
     add: float = 0.1
 
 
@@ -362,7 +362,8 @@ def opened(trie: Trie) -> Model:
 def _level(training: DataFrame, folder: str, shards: int, trie: Trie, level: int, contexts: int) -> None:
     """Counts and writes one level; contexts: nodes of the level below (ids from 0)."""
     root, least = local_path(folder), trie.rules.min_count
-    kind_c, kind_w = _kind(contexts), _kind(trie.distinct)
+    kind_c, kind_w, kind_n = _kind(contexts), _kind(trie.distinct), _kind(trie.total)
+    last_level = level == trie.rules.order
 
     def count(batches):
         m = opened(trie)
@@ -400,7 +401,7 @@ def _level(training: DataFrame, folder: str, shards: int, trie: Trie, level: int
         once, twice = int((n == 1).sum()), int((n == 2).sum())
         keep = n >= least
         c, w, n = c[keep], w[keep], n[keep]
-        cols = _blobs([c, w, n], c // span, files)
+        cols = _blobs([c.astype(kind_c), w.astype(kind_w), n.astype(kind_n)], c // span, files)
         release()
         k = len(cols[0])
         return pa.Table.from_arrays([pa.concat_arrays([cols[0], pa.array([-1], pa.int32())]), *(pa.concat_arrays([x, pa.array([b""], pa.binary())]) for x in cols[1:]), pa.array([0] * k + [once]), pa.array([0] * k + [twice])], names=["part", "c", "w", "n", "once", "twice"])
@@ -413,7 +414,7 @@ def _level(training: DataFrame, folder: str, shards: int, trie: Trie, level: int
     def build(table: pa.Table) -> pa.Table:
         m = opened(trie)
         part = table.column("part")[0].as_py()
-        c, w, n = (np.frombuffer(b"".join(table.column(x).to_pylist()), "<i8") for x in ("c", "w", "n"))
+        c, w, n = (np.frombuffer(b"".join(table.column(x).to_pylist()), kind).astype(np.int64) for x, kind in (("c", kind_c), ("w", kind_w), ("n", kind_n)))
         order = np.lexsort((w, c))
         c, w, n = c[order], w[order], n[order]
         lo = part * span
@@ -438,11 +439,11 @@ def _level(training: DataFrame, folder: str, shards: int, trie: Trie, level: int
         lifts = np.concatenate([[0], np.cumsum(w[last] + 1)])[:-1] if len(last) else np.zeros(0, int)
         value = w + 1 + np.repeat(lifts, np.diff(np.concatenate([[-1], last])))
         arrays = EliasFano.build(start, "pointers") | EliasFano.build(value, "words")
-        arrays |= {"prob": quantise(np.log10(prob)), "back": quantise(np.log10(back)), "count": n.astype(np.int64), "base": np.array([lo], np.int64)}
+        arrays |= {"prob": quantise(np.log10(prob)), "back": quantise(np.log10(back)), "count": n[:0] if last_level else n.astype(kind_n), "base": np.array([lo], np.int64)}
         path = f"{root}/level{level}-{part:06d}.fef"
         write_file(path, save(arrays))
-        # what building the next level asks: each node's context and word
-        write_file(f"{path}.side", save({"context": c.astype(kind_c), "word": w.astype(kind_w)}))
+        if not last_level:  # what building the next level asks: each node's context and word
+            write_file(f"{path}.side", save({"context": c.astype(kind_c), "word": w.astype(kind_w)}))
         release()
         return pa.table({"part": pa.array([part], pa.int32()), "path": [path], "size": pa.array([size], pa.int64()), "nodes": pa.array([len(c)], pa.int64())})
 
