@@ -3,7 +3,10 @@
 Zstandard ratios (compressed bytes over bytes) of the whole document and of
 each of its fixed chunks are held against limits that depend on the length:
 a ratio under the band's lower limit means repetitive text, over the upper
-limit incompressible text. One pass, no shuffle.
+limit incompressible text. A last chunk too short for the chunk limits is
+judged twice: with what stands before it, as the last ``chunk_bytes`` of the
+document, and alone against limits for its length (with the bytes before it up
+to ``MIN_JUDGED``). One pass, no shuffle.
 
 Defined cases: null or empty text has no words and fails the base rule; its
 ratios are null. Texts under ``MIN_JUDGED`` bytes get no compression verdict,
@@ -22,7 +25,7 @@ from .textkit import Words, chunks, ngram_hashes, text_buffer
 
 #: (from this many bytes, lowest whole ratio, highest whole ratio)
 BANDS = (
-    (96, 0.45, 2.0),
+    (96, 0.45, 1.05),
     (256, 0.48, 0.90),
     (512, 0.46, 0.80),
     (1024, 0.44, 0.72),
@@ -33,6 +36,10 @@ BANDS = (
     (65536, 0.35, 0.63),
 )
 MIN_JUDGED = 96
+#: (bytes, lowest ratio, highest ratio) of a short piece, linear in between: prose of sf0.1 stays within, base64 over.
+SHORT = ((96, 0.55, 1.05), (128, 0.52, 0.99), (192, 0.49, 0.91), (256, 0.47, 0.86), (384, 0.45, 0.80), (512, 0.43, 0.76), (768, 0.40, 0.72), (1024, 0.36, 0.70))
+#: Whole texts under this have the upper limit of SHORT.
+SHORT_WHOLE = 256
 
 
 @dataclass(frozen=True)
@@ -40,7 +47,7 @@ class CompressionRules:
     bands: tuple = field(default=BANDS)
     level: int = 3
     chunk_bytes: int = 2048
-    #: A last chunk shorter than this is judged only with the whole.
+    #: A last chunk shorter than this is judged by its own length's limits.
     least_chunk: int = 1024
     chunk_low: float = 0.36
     chunk_high: float = 0.70
@@ -106,6 +113,11 @@ def _repeat_words(w: Words, width: int) -> np.ndarray:
     return np.bincount(w.doc[covered], minlength=w.n_docs)
 
 
+def short_limits(n: int) -> tuple[float, float]:
+    at, low, high = zip(*SHORT)
+    return float(np.interp(n, at, low)), float(np.interp(n, at, high))
+
+
 def _measure(data, offs, i, j, rules: CompressionRules, packer):
     w = Words(data, offs, i, j)
     n = w.n_docs
@@ -128,24 +140,31 @@ def _measure(data, offs, i, j, rules: CompressionRules, packer):
             reason.append("base"), kept.append(False)
             continue
         r = len(packer.compress(b)) / len(b)
-        cs = []
+        cs, tail = [], None
         if len(b) > rules.chunk_bytes:
             for k in range(0, len(b), rules.chunk_bytes):
                 piece = b[k : k + rules.chunk_bytes]
                 if len(piece) >= rules.least_chunk:
                     cs.append(len(packer.compress(piece)) / len(piece))
+                else:
+                    cs.append(len(packer.compress(b[-rules.chunk_bytes :])) / rules.chunk_bytes)
+                    tail = b[-max(len(piece), MIN_JUDGED) :]
         lo, hi = min(cs, default=r), max(cs, default=r)
         why = "base" if base[d] else None
         k = int(np.searchsorted(starts, len(b), "right")) - 1
         if why is None and k >= 0:
             _, least, most = rules.bands[k]
+            if len(b) < SHORT_WHOLE:
+                most = min(most, short_limits(len(b))[1])
+            tail_low, tail_high = short_limits(len(tail)) if tail else (0.0, 0.0)
+            tail_ratio = len(packer.compress(tail)) / len(tail) if tail else 0.0
             if r < least:
                 why = "whole_repetitive"
             elif r > most:
                 why = "whole_incompressible"
-            elif cs and lo < rules.chunk_low:
+            elif cs and (lo < rules.chunk_low or tail_ratio < tail_low):
                 why = "chunk_repetitive"
-            elif cs and hi > rules.chunk_high:
+            elif cs and (hi > rules.chunk_high or tail_ratio > tail_high):
                 why = "chunk_incompressible"
         whole.append(r), low.append(lo), high.append(hi)
         reason.append(why), kept.append(why is None)
