@@ -1,12 +1,13 @@
 """Line de-duplication by a segment-partition edit join.
 
-Lines of at least ``min_chars`` code points within ``threshold`` edits of each
-other form classes; of each class the earliest line (smallest doc_id, then
-place) stays. A line is cut into threshold + 1 even segments. Two lines within
-the threshold share one of the shorter line's segments, at a place of the
-longer line that the length difference bounds, so each line posts its segments
-and probes the substrings that can meet a segment of a line as long or up to
-threshold shorter. Candidates are verified with a banded bit-parallel edit
+Equal lines form classes, and so do lines within as many edits of each other
+as the shorter one allows: one for each ``chars_per_edit`` of its code points,
+up to ``threshold``. Of each class the earliest line (smallest doc_id, then
+place) stays. A line that allows t edits is cut into t + 1 even segments. Two
+lines within t edits share one of the shorter line's segments, at a place of
+the longer line that the length difference bounds, so each line posts its
+segments and probes the substrings that can meet a segment of a line as long
+or up to t shorter. Candidates are verified with a banded bit-parallel edit
 distance, many pairs in lockstep.
 
 Equal lines are one from the start: a batch posts each distinct line once.
@@ -14,7 +15,9 @@ Long lists of candidates compare neighbours first and, after components, what
 lies between different ones (see jaccard), so near copies in thousands cost in
 proportion to their number.
 
-Defined cases: a null text stays null; shorter lines always stay; rows that
+Defined cases: a null text stays null; empty lines and short ones without a
+word always stay (from threshold * chars_per_edit code points on, lines without
+a word are judged too); lines that allow no edit only meet equal ones; rows that
 repeat id and text are one and both keep a class's earliest line; a null
 doc_id comes first.
 """
@@ -39,7 +42,12 @@ LEAST = np.iinfo(np.int64).min
 @dataclass(frozen=True)
 class LineRules:
     threshold: int = 2
-    min_chars: int = 20
+    min_chars: int = 1
+    chars_per_edit: int = 10
+
+    def edits(self, size):
+        """The edits that a pair is allowed whose shorter line has size code points."""
+        return np.minimum(self.threshold, size // self.chars_per_edit)
 
 
 class Lines:
@@ -56,7 +64,9 @@ class Lines:
         per = 1 + np.bincount(np.searchsorted(own, nl, "right") - 1, minlength=j - i)[: j - i]
         doc = np.repeat(np.arange(i, j), per)
         place = np.arange(len(start)) - np.repeat(np.cumsum(per) - per, per)
-        use = end - start >= rules.min_chars
+        word = np.concatenate([[0], np.cumsum((self.points != 32) & ((self.points < 9) | (self.points > 13)))])
+        size = end - start
+        use = (size >= rules.min_chars) & ((word[end] > word[start]) | (size >= rules.threshold * rules.chars_per_edit))
         self.start, self.end, self.doc, self.place = start[use], end[use], doc[use], place[use]
         up, down = powers(len(self.points) + 1)
         with np.errstate(over="ignore"):
@@ -84,7 +94,7 @@ def segments(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.nda
     return i * base + np.maximum(0, i - (parts - more)), base + (i >= parts - more)
 
 
-def line_entries(lines: Lines, own: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+def line_entries(lines: Lines, own: np.ndarray, rules: LineRules) -> tuple[np.ndarray, np.ndarray]:
     """(signatures, entries) of the lines: own segments, and substrings that may be a segment of a shorter line."""
     start, size, cls = lines.start[own], lines.end[own] - lines.start[own], lines.hash[own].view(np.int64)
     sigs, rows = [], []
@@ -95,16 +105,18 @@ def line_entries(lines: Lines, own: np.ndarray, t: int) -> tuple[np.ndarray, np.
         sigs.append(sig)
         rows.append(entry_rows(sig, size[keep], cls[keep], index))
 
-    for i in range(t + 1):
-        at, n = segments(size, i, t + 1)
-        post(at, n, size, i, np.ones(len(own), bool), True)
-        for less in range(t + 1):
-            length = size - less
-            at, n = segments(length, i, t + 1)
-            # i edits at most before the segment, and t - i after it
-            for move in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1):
-                if less or move:
-                    post(at + move, n, length, i, (at + move >= 0) & (at + move + n <= size) & (n > 0), False)
+    # the shorter line's length, which is part of the signature, tells the edits
+    for t in range(1, rules.threshold + 1):
+        for i in range(t + 1):
+            at, n = segments(size, i, t + 1)
+            post(at, n, size, i, rules.edits(size) == t, True)
+            for less in range(t + 1):
+                length = size - less
+                at, n = segments(length, i, t + 1)
+                # i edits at most before the segment, and t - i after it
+                for move in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1):
+                    if less or move:
+                        post(at + move, n, length, i, (rules.edits(length) == t) & (at + move >= 0) & (at + move + n <= size) & (n > 0), False)
     return np.concatenate(sigs), np.concatenate(rows)
 
 
@@ -171,7 +183,12 @@ def _distance(x: np.ndarray, y: np.ndarray) -> int:
 def edit_matcher(rules: LineRules):
     def matches(t: pa.Table, a: list, b: list) -> np.ndarray:
         points = {c: np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") for c, x in zip(t.column("class").to_pylist(), t.column("text").to_pylist())}
-        return edits_within([points[x] for x in a], [points[x] for x in b], rules.threshold)
+        allowed = rules.edits(np.array([min(len(points[x]), len(points[y])) for x, y in zip(a, b)], np.int64))
+        out = np.zeros(len(a), bool)
+        for t in range(1, rules.threshold + 1):
+            own = np.flatnonzero(allowed == t)
+            out[own] = edits_within([points[a[k]] for k in own], [points[b[k]] for k in own], t)
+        return out
 
     return matches
 
@@ -200,7 +217,6 @@ def repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[dic
     folder = shared_folder(spark)
     shards = files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = docs.select(*_keyed(docs))
-    t = rules.threshold
 
     def firsts(batches):
         for batch in batches:
@@ -215,7 +231,7 @@ def repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[dic
         for batch in batches:
             for ls, own, *_ in _first_of_batch(batch, rules):
                 if len(own):
-                    yield packed_entries(*line_entries(ls, own, t), shards)
+                    yield packed_entries(*line_entries(ls, own, rules), shards)
 
     lists = settle(candidate_lists(keyed.mapInArrow(post, "shard int, blob binary"), 0), "lists")
     wanted = lists.select(F.explode("classes").alias("class")).distinct()
@@ -234,7 +250,7 @@ def repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[dic
     made = keyed.mapInArrow(texts, "class long, text string, n long, sketch binary")
     text = settle(made.groupBy("class").agg(*[F.first(c).alias(c) for c in ("text", "n", "sketch")]), "texts")
     # an edit changes two pairs of neighbours for two others at most
-    found = classes_linked(lists, lambda pairs: text.select("class", "text"), 0, edit_matcher(rules), text.select("class", "n", "sketch"), lambda n_a, n_b, diff: diff <= 4 * t)
+    found = classes_linked(lists, lambda pairs: text.select("class", "text"), 0, edit_matcher(rules), text.select("class", "n", "sketch"), lambda n_a, n_b, diff: diff <= 4 * rules.edits(np.minimum(n_a, n_b)))
     named = first.join(found.withColumnRenamed("node", "class"), "class", "left")
     least = named.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc", "tie", "place")).alias("at"))
     linked = named.filter("component is not null").select("class", "component").join(least, "component").select("class", "at.*")
