@@ -316,6 +316,15 @@ class LibraryPieces:
             start = start[np.cumsum(inside)[start] == 0]
         end = np.append(start[1:], len(data)) if len(start) else start
         h = span_hashes(data, start, end) | U64(1)
+        raw = data.tobytes()
+        # a slice has no more distinct pieces than the table takes
+        parts = [self._ids(raw, start[k : k + KEPT], end[k : k + KEPT], h[k : k + KEPT]) for k in range(0, max(len(h), 1), KEPT)]
+        stop = np.cumsum(np.concatenate([size for _, size in parts]))
+        cut = np.concatenate([[0], stop])[np.searchsorted(start, offs)]
+        return np.concatenate([ids for ids, _ in parts]), np.diff(cut)
+
+    def _ids(self, raw: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each piece) of at most KEPT pieces."""
         number = self._find(h)
         new = np.flatnonzero(number < 0)
         if len(new):
@@ -324,17 +333,13 @@ class LibraryPieces:
                 self._clear()
                 u, first = np.unique(h, return_index=True)
                 new = np.arange(len(h))
-            if len(u) > KEPT:
-                raise ValueError("a chunk holds more pieces than a worker keeps")
-            raw = data.tobytes()
             self._insert(u, [raw[start[k] : end[k]] for k in new[first]])
             number[new] = self._find(h[new])
         size = self.at[number + 1] - self.at[number]
         stop = np.cumsum(size)
         total = int(stop[-1]) if len(stop) else 0
         place = np.arange(total) + np.repeat(self.at[number] - (stop - size), size)
-        cut = np.concatenate([[0], stop])[np.searchsorted(start, offs)]
-        return self.pool[place], np.diff(cut)
+        return self.pool[place], size
 
 
 @lru_cache(maxsize=2)
