@@ -12,21 +12,21 @@ import numpy as np
 
 U64 = np.uint64
 #: Words of high bits for each count in the directories.
-SPAN = 8
+SPAN = 4
+_EACH, _TOP = U64(0x0101010101010101), U64(0x8080808080808080)
+#: Position of the k-th set bit of a byte, at k * 256 + byte.
+_IN_BYTE = np.array([([p for p in range(8) if b >> p & 1] + [0] * 8)[k] for k in range(8) for b in range(256)], np.int64)
 
 
 def _select_in_word(w: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Position of the k-th set bit (from 0) of each word."""
-    pos = np.zeros(len(w), np.int64)
-    w, k = w.copy(), k.copy()
-    for width in (32, 16, 8, 4, 2, 1):
-        low = w & U64((1 << width) - 1)
-        c = np.bitwise_count(low).astype(np.int64)
-        up = k >= c
-        k -= np.where(up, c, 0)
-        pos += np.where(up, width, 0)
-        w = np.where(up, w >> U64(width), low)
-    return pos
+    """Position of the k-th set bit (from 0) of each word, by sums of its bytes' counts."""
+    s = w - ((w >> U64(1)) & U64(0x5555555555555555))
+    s = (s & U64(0x3333333333333333)) + ((s >> U64(2)) & U64(0x3333333333333333))
+    s = ((s + (s >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * _EACH
+    # bytes whose count up to their end doesn't reach beyond k
+    passed = np.bitwise_count(((k.astype(U64) * _EACH | _TOP) - s) & _TOP).astype(U64) << U64(3)
+    rest = k - (((s << U64(8)) >> passed) & U64(0xFF)).astype(np.int64)
+    return passed.astype(np.int64) + _IN_BYTE[(rest << 8) | ((w >> passed) & U64(0xFF)).astype(np.int64)]
 
 
 class EliasFano:
@@ -37,8 +37,10 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], prefix: str):
         self.m, self.low, self.u = (int(x) for x in arrays[f"{prefix}.head"])
         self.lows, self.bits, self.ones, self.zeros = (arrays[f"{prefix}.{x}"] for x in self.NAMES[1:])
-        # a word at every byte, for low bits at any position
-        self.windows = np.ndarray((max(len(self.lows) - 7, 0),), "<u8", self.lows.data if len(self.lows) else b"", 0, (1,)) if self.low else None
+        self.spans = self.bits.reshape(-1, SPAN)
+        # a word at every byte, for bits from any position on
+        self.windows = _windows(self.lows) if self.low else None
+        self.high_windows = _windows(self.bits.view(np.uint8))
 
     @staticmethod
     def build(v: np.ndarray, prefix: str) -> dict[str, np.ndarray]:
@@ -56,6 +58,8 @@ class EliasFano:
         count = np.bitwise_count(bits).reshape(-1, SPAN).sum(axis=1).astype(np.int64)
         ones = np.cumsum(count) - count
         zeros = np.arange(len(count)) * span - ones
+        if n_bits < 1 << 32:
+            ones, zeros = ones.astype(np.uint32), zeros.astype(np.uint32)
         lows = np.zeros(0, np.uint8)
         if low:
             planes = np.zeros((m, low), np.uint8)
@@ -66,22 +70,16 @@ class EliasFano:
         return {f"{prefix}.{k}": a for k, a in zip(EliasFano.NAMES, (head, lows, bits, ones, zeros))}
 
     def _select(self, k: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
-        block = np.searchsorted(before, k, "right") - 1
+        block = np.searchsorted(before, k.astype(before.dtype), "right") - 1
         rest = k - before[block]
-        word = block * SPAN
-        w = self.bits[word]
+        words = self.spans[block]
         if flip:
-            w = ~w
-        c = np.bitwise_count(w).astype(np.int64)
-        more = np.flatnonzero(rest >= c)
-        while len(more):
-            rest[more] -= c[more]
-            word[more] += 1
-            x = self.bits[word[more]]
-            w[more] = ~x if flip else x
-            c[more] = np.bitwise_count(w[more])
-            more = more[rest[more] >= c[more]]
-        return (word << 6) + _select_in_word(w, rest)
+            words = ~words
+        upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+        word = (rest[:, None] >= upto[:, :-1]).sum(axis=1)
+        row = np.arange(len(k))
+        rest = rest - np.where(word > 0, upto[row, word - 1], 0)
+        return ((block * SPAN + word) << 6) + _select_in_word(words[row, word], rest)
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -106,10 +104,15 @@ class EliasFano:
         h = (v >> U64(self.low)).astype(np.int64)
         low = v & U64((1 << self.low) - 1)
         # elements of bucket h lie between the clear bits h - 1 and h
-        lo = np.zeros(len(h), np.int64)
+        begin = np.zeros(len(h), np.int64)
         some = np.flatnonzero(h > 0)
-        lo[some] = self._select(h[some] - 1, self.zeros, True) + 1 - h[some]
-        hi = self._select(h, self.zeros, True) - h
+        begin[some] = self._select(h[some] - 1, self.zeros, True) + 1
+        w = self.high_windows[begin >> 3] >> (begin & 7).astype(U64)
+        run = np.bitwise_count(w ^ (w + U64(1))).astype(np.int64) - 1
+        lo = begin - h
+        hi = lo + run
+        far = np.flatnonzero(run > 48)  # the run may go on beyond the window
+        hi[far] = self._select(h[far], self.zeros, True) - h[far]
         at, stop = lo, hi.copy()
         on = np.flatnonzero(at < stop)
         while len(on):
@@ -124,6 +127,10 @@ class EliasFano:
         return out
 
 
+def _windows(raw: np.ndarray) -> np.ndarray:
+    return np.ndarray((max(len(raw) - 7, 0),), "<u8", raw.data if len(raw) else b"", 0, (1,))
+
+
 def save(arrays: dict[str, np.ndarray]) -> bytes:
     """Arrays one after another, 64-byte aligned, behind a table of contents."""
     import json

@@ -139,6 +139,25 @@ def ngram_hashes(h: np.ndarray, n: int, first: np.ndarray) -> tuple[np.ndarray,
     return g, ok
 
 
+def pack(parts: list[np.ndarray], kind: np.dtype) -> bytes:
+    """Parallel arrays, the first ascending, as compressed planes of bytes."""
+    import zstandard
+
+    first = np.diff(parts[0].astype(np.int64), prepend=0)
+    planes = [np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes() for x in (first, *parts[1:])]
+    return len(first).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(blob: bytes, count: int, kind: np.dtype) -> list[np.ndarray]:
+    import zstandard
+
+    n, width = int.from_bytes(blob[:8], "little"), kind.itemsize
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:], max(1, count * n * width)), np.uint8)
+    out = [np.ascontiguousarray(raw[k * n * width : (k + 1) * n * width].reshape(width, n).T).view(kind).reshape(-1) for k in range(count)]
+    out[0] = np.cumsum(out[0], dtype=kind)
+    return out
+
+
 def release() -> None:
     """Hands memory of dropped arrays back to the system: workers stay alive between tasks and share an executor's limit."""
     import ctypes
