@@ -16,13 +16,14 @@ import gc
 import hashlib
 import json
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkit import chunks, text_buffer
+from .shared import small_batches
+from .textkit import chunks, release, text_buffer
 
 #: A leaf or root without a pair. In lockstep a pair is rank * 256 + position.
 NONE = np.int32(np.iinfo(np.int32).max)
@@ -30,8 +31,8 @@ NONE = np.int32(np.iinfo(np.int32).max)
 LOCKSTEP = 256
 #: Trees' cells held at once in lockstep.
 CELLS = 1 << 17
-#: Pieces whose encodings a worker keeps in each of two generations.
-KEPT = 250_000
+#: Pieces whose encodings a worker keeps in each of two generations, some 400 bytes each.
+KEPT = 80_000
 #: Bytes of text encoded together, so that new words share their lockstep.
 ENCODE_BYTES = 4 << 20
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -61,6 +62,8 @@ class WordBpe:
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.space = regex.compile(f"[{WHITE}]+")
         self.odd = regex.compile("[\x1c-\x1f]")
+        self.path = path
+        self.unassigned = regex.compile(f"[{_unassigned()}]")
         self.inner = np.array([vocab.get(c, -1) for c in byte_symbols()], np.int64)
         self.last = np.array([vocab.get(c + suffix, -1) for c in byte_symbols()], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
@@ -110,8 +113,18 @@ class WordBpe:
         # str.split() also cuts at four separators that the pattern keeps as symbols
         return text.split() if self.odd.search(text) is None else [x for x in self.space.split(text) if x]
 
+    @cached_property
+    def lib(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _words(self, unit: str) -> list[str]:
         if not unit.isascii():
+            if self.unassigned.search(unit):
+                # code points that this Python's tables don't know: their case and kind are the library's to tell
+                unit = self.lib.normalizer.normalize_str(unit)
+                return [unit[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(unit)]
             # lower case goes by single characters: a final sigma isn't special
             unit = unicodedata.normalize("NFC", unit).replace("\u03a3", "\u03c3")
         unit = unit.lower()
@@ -289,6 +302,20 @@ class WordBpe:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
+@lru_cache(maxsize=1)
+def _unassigned() -> str:
+    """Ranges, for a character class, of the code points that Python's tables call unassigned."""
+    out, begin = [], None
+    for c in range(0x80, 0x110001):
+        free = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
+        if free and begin is None:
+            begin = c
+        elif not free and begin is not None:
+            out.append(f"\\U{begin:08x}-\\U{c - 1:08x}")
+            begin = None
+    return "".join(out)
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     return WordBpe(path)
@@ -300,6 +327,8 @@ COLUMNS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text): token count, digests of ids and decoded text, and, if asked, the ids."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         bpe = load(tokenizer)
         gc.set_threshold(200_000, 50, 100)  # the caches hold no cycles
@@ -324,5 +353,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) ->
                     cols.append(pa.array(lists, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+                del cut, parts, cols, sizes, ids, texts, lists
+                release()
 
     return docs.select("doc_id", "text").mapInArrow(run, COLUMNS + (", ids array<int>" if with_ids else ""))

@@ -6,12 +6,15 @@ contain it. A document's n-grams are popcounted per language, the expected
 false positives are taken off, and the largest share decides.
 
 Fitting uses a bounded sample: about ``docs_per_lang`` labelled documents of
-each language, chosen by a hash of the document id, and the ``grams_per_lang``
-most frequent n-grams of each. The model's size follows from these bounds.
+each language, chosen by a hash of the document id, the ``grams_per_lang``
+most frequent n-grams of each, and the ``most_langs`` most frequent labels.
+The model's size, which is sent to all tasks, follows from these bounds.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0,
 as is every text if nothing was learned. Equal shares go to the language with
-more labelled documents, then to the smaller name.
+more labelled documents, then to the smaller name. Rows that repeat are judged
+alike; an empty table gives no rows. Columns of the results' names are
+replaced; others are carried as they are.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import chunks, text_buffer
+from .shared import column, small_batches
+from .textkit import chunks, release, text_buffer
 
 GRAM = 4
 _C = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -66,16 +70,16 @@ def _grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g, ok
 
 
-def fit(labelled: DataFrame, docs_per_lang: int = 3000, grams_per_lang: int = 30_000, bits: int = 20, hashes: int = 2) -> LangModel:
+def fit(labelled: DataFrame, docs_per_lang: int = 3000, grams_per_lang: int = 30_000, most_langs: int = 256, bits: int = 20, hashes: int = 2) -> LangModel:
     """labelled: doc_id, text, lang; rows with a null text or lang are left out."""
     rows = labelled.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     langs = sorted(sizes, key=lambda x: (-sizes[x], x))
     if not langs:
         return LangModel([], bits, hashes, np.zeros((1 << bits, 1), np.uint8), np.zeros(0))
     share = F.create_map(*[F.lit(x) for name in langs for x in (name, min(1.0, docs_per_lang / sizes[name]))])
     unit = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1))) / F.lit(float(1 << 30))
-    sample = rows.filter(unit < share[F.col("lang")]).select("lang", "text")
+    sample = rows.filter(unit < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -130,30 +134,33 @@ def _scores(model: LangModel, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.clip(out, 0, 1)
 
 
-def predict(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame:
-    """All columns of docs and lang_pred string, score double (the winner's share)."""
-    fields = docs.select(F.col(text).alias("__text"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+def predict(docs: DataFrame, model: LangModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs and, under names, the language (string) and the winner's share (double).
+
+    Only texts go to Python, once and in one direction; the other columns stay where they are.
+    """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    @F.arrow_udf("struct<lang: string, share: double>")
+    def judged(col: pa.Array) -> pa.Array:
         import regex
 
-        letter = regex.compile(r"\p{L}")
         m = shared.value
-        for batch in batches:
-            data, offs = _prepare(batch.column(0))
-            raw = batch.column(0).to_pylist()
-            names, best = [], []
-            for i, j in chunks(offs):
-                s = _scores(m, data[offs[i] : offs[j]], offs[i : j + 1])
-                win = s.argmax(axis=1) if m.langs else np.zeros(j - i, int)
-                for k in range(j - i):
-                    known = bool(m.langs) and raw[i + k] is not None and letter.search(raw[i + k]) is not None
-                    names.append(m.langs[win[k]] if known else "und")
-                    best.append(float(s[k, win[k]]) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(names, pa.string()), pa.array(best, pa.float64())], names=["__row", "lang_pred", "score"])
-
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    out = StructType([StructField("__row", fields.schema["__row"].dataType), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return fields.mapInArrow(run, out).select("__row.*", "lang_pred", "score")
+        data, offs = _prepare(col)
+        letter = regex.compile(r"\p{L}")
+        known = [bool(m.langs) and x.is_valid and letter.search(x.as_py()) is not None for x in col]
+        langs, best = [], []
+        for i, j in chunks(offs):
+            s = _scores(m, data[offs[i] : offs[j]], offs[i : j + 1])
+            win = s.argmax(axis=1) if m.langs else np.zeros(j - i, int)
+            for k in range(j - i):
+                langs.append(m.langs[win[k]] if known[i + k] else "und")
+                best.append(float(s[k, win[k]]) if known[i + k] else 0.0)
+        del data
+        release()
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(best, pa.float64())], ["lang", "share"])
+
+    own = [column(c) for c in docs.columns if c not in names]
+    held = docs.select(*own, judged(column(text)).alias("__judged"))
+    return held.select(*[column(c) for c in docs.columns if c not in names], *[F.col("__judged").getField(f).alias(name) for f, name in zip(("lang", "share"), names)])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Has Spark drop a query's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "12m"
 #: Bytes of input, as stored, that a hash range of a packed shuffle takes.
 RANGE_BYTES = 256 << 20
 
@@ -42,6 +43,12 @@ def local_path(uri: str) -> str:
     return parts.path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of BATCH_BYTES: an executor holds several at once, outside its heap and in its workers."""
+    if spark.conf.get(BATCH).lower() in ("64mb", "64m", str(64 << 20), f"{64 << 20}b"):  # as Spark comes; another choice stays
+        spark.conf.set(BATCH, BATCH_BYTES)
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession):
     """Queries that run inside leave no shuffle files behind: what they wrote is all that is read later."""
@@ -60,6 +67,7 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage and shuffle files end here, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
+    small_batches(spark)
     with shuffles_dropped(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
