@@ -33,9 +33,14 @@ def class_files(rows: DataFrame, folder: str, name: str, files: int) -> dict[int
     return {r["file"]: r["path"] for r in made.collect()}  # a row per file
 
 
+def file_of(h: np.ndarray, files: int) -> np.ndarray:
+    """The file of each class (unsigned)."""
+    return (((h >> U64(32)) * U64(files)) >> U64(32)).astype(np.int64)
+
+
 def found_in(paths: dict[int, str], h: np.ndarray, files: int):
     """For each file: indices of the classes (unsigned) that it holds, their places in it, its arrays."""
-    at = (((h >> U64(32)) * U64(files)) >> U64(32)).astype(np.int64)
+    at = file_of(h, files)
     for k in np.unique(at):
         if int(k) in paths:
             f = load(paths[int(k)])

@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .classfiles import class_files, found_in
-from .jaccard import candidate_lists, classes_linked, entry_rows, packed_entries, sketch
-from .shared import settle, shared_folder
+from .jaccard import candidate_lists, candidates, classes_linked, entry_rows, packed_entries, pairs_between, sketch, verified
+from .shared import discard, ranges_for, settle, shared_folder
 from .textkit import U64, chunks, mix64, powers, text_buffer
 
 LEAST = np.iinfo(np.int64).min
@@ -215,7 +215,7 @@ def repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[dic
     """Files with the earliest line of each class that has more than one line, and their number's base."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    shards = files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = files = ranges_for(docs)
     keyed = docs.select(*_keyed(docs))
 
     def firsts(batches):
@@ -250,12 +250,24 @@ def repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[dic
     made = keyed.mapInArrow(texts, "class long, text string, n long, sketch binary")
     text = settle(made.groupBy("class").agg(*[F.first(c).alias(c) for c in ("text", "n", "sketch")]), "texts")
     # an edit changes two pairs of neighbours for two others at most
-    found = classes_linked(lists, lambda pairs: text.select("class", "text"), 0, edit_matcher(rules), text.select("class", "n", "sketch"), lambda n_a, n_b, diff: diff <= 4 * rules.edits(np.minimum(n_a, n_b)))
+    sketches, bound = text.select("class", "n", "sketch"), lambda n_a, n_b, diff: diff <= 4 * rules.edits(np.minimum(n_a, n_b))
+    tested = candidates(lists, 0, sketches, bound)
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, text.select("class", "text"), edit_matcher(rules))
+
+    def between(few: int | None):
+        """First the nearest pairs between each two components, at last all."""
+        return lambda members: judge(settle(pairs_between(members.join(sketches.select("class", "sketch"), "class"), 0, bound, few).join(tested, ["a", "b"], "left_anti"), "rest"))
+
+    found = classes_linked(lists, tested, judge, [between(2), between(None)])
     named = first.join(found.withColumnRenamed("node", "class"), "class", "left")
     least = named.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc", "tie", "place")).alias("at"))
     linked = named.filter("component is not null").select("class", "component").join(least, "component").select("class", "at.*")
     alone = named.filter("component is null and n > 1").select("class", "doc", "tie", "place")
-    return class_files(linked.union(alone), folder, "kept", files), files
+    kept = class_files(linked.union(alone), folder, "kept", files)
+    discard(lists, text, first, found, tested)
+    return kept, files
 
 
 def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
