@@ -2,8 +2,8 @@
 
 Every string of ``length`` bytes that also starts earlier (smaller doc_id, or
 same document, earlier start) has its bytes removed. Doubling over all
-positions at once would sort many times the input, so positions that one look
-settles leave first:
+positions at once would sort many times the input, so positions that a first
+sort settles leave before:
 
 1. Rank by a prefix of ``PREFIX`` bytes, at the positions where content puts
    the smallest hash of each window: two equal strings have the same such
@@ -11,21 +11,24 @@ settles leave first:
 2. Rerank by the anchor's whole context (all its windows at once). A context
    that occurred before is wholly repeated; its first occurrence goes on
    only if the anchor has other contexts.
-3. What is left, a few per cent, gets prefix doubling proper: (rank at p,
-   rank at p + offset) pairs are sorted at growing offsets, reranked, unique
-   ones dropped, until they cover the length; then all but the earliest of
-   each rank are repeats.
-
-Ranks are 64-bit hashes or their order. Rows are packed by hash range, so a
-shuffle moves bytes; a task first drops repeats within its own batch, so a
-passage in a third of all documents adds one entry a batch. Fringe and spans
-reach the documents as sorted, memory-mapped files in the shared folder: texts
-are never shuffled.
+3. What is left, a few per cent, is sorted by document and place, cut into
+   blocks, and doubled: in each round Spark deals the pairs (rank at p, rank at
+   p + offset) of all positions by hash range and sorts them; a pair that
+   is unique leaves, the others get a new rank, which goes back to the blocks.
+   Offsets grow (25, 50 for 100 bytes) until ranks cover the length; then all
+   but the earliest of each rank are repeats.
+
+The ranks that the doubling begins with are 64-bit hashes, as is a pair's key.
+Rows are packed by hash range, so a shuffle moves bytes; a task first drops
+repeats within its own batch or block, so a passage in a third of all documents
+adds one entry a batch. Fringe and spans reach the documents as sorted,
+memory-mapped files in the shared folder: texts are never shuffled, but for
+the contexts of the fringe.
 
 Defined cases: a null text is empty; texts under ``length`` bytes lose
 nothing; rows sharing a doc_id are told apart by their text's hash and ordered
 by it; rows that repeat id and text get the same result; a null doc_id comes
-first.
+first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,16 +41,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .eliasfano import load, save
-from .shared import local_path, settle, shared_folder, write_file
-from .textkit import BYTE_CODE, U64, chunks, mix64, powers, release, text_buffer
+from .shared import discard, local_path, ranges_for, settle, shared_folder, write_file
+from .textkit import BYTE_CODE, U64, chunks, mix64, pack, powers, release, text_buffer, unpack
 
 PREFIX = 32
+#: The doubling's first ranks cover so many bytes at least.
+LEAST_SEED = 24
+#: Bytes of a block of the fringe.
+BLOCK = 1 << 17
+#: Positions that a hash range of a round gets, about.
+RANGE_POSITIONS = 2 << 20
 #: Bytes whose anchors, or whose fringe, are worked on at once.
 PIECE = 1 << 19
 #: Bytes of text whose entries are sent together; repeats among them are dropped first.
 GROUP = 12 << 20
 LEAST = np.iinfo(np.int64).min
-ENTRY = (("g", "<u4"), ("c", "<u8"), ("d", "<u4"), ("s", "<u4"), ("n", "<u1"))
+ENTRY = (("g", "<u4"), ("c", "<u8"), ("d", "<u4"), ("s", "<u4"))
 PACKED = "key int, g binary, c binary, d binary, s binary, n binary, docs binary, ties binary"
 
 
@@ -59,18 +68,28 @@ def _prefix_sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p, down
 
 
+def _prefix(length: int) -> int:
+    return min(PREFIX, -(-length // 3))
+
+
+def _count_kind(length: int) -> np.dtype:
+    """The type for the number of windows that share an anchor."""
+    return np.min_scalar_type(length - _prefix(length) + 1).newbyteorder("<")
+
+
 def anchors(x: np.ndarray, offs: np.ndarray, length: int):
     """(anchor rank, context rank, document, first window, windows) of each anchor's run of windows.
 
     x: documents end to end; starts count from the buffer's begin.
     """
     none = np.zeros(0, np.int64)
-    m, width = len(x) - length + 1, length - PREFIX + 1
+    prefix = _prefix(length)
+    m, width = len(x) - length + 1, length - prefix + 1
     if m <= 0:
         return none.astype(U64), none.astype(U64), none, none, none
     p, down = _prefix_sums(x)
     with np.errstate(over="ignore"):
-        g = mix64((p[PREFIX:] - p[:-PREFIX]) * down[: len(x) - PREFIX + 1])
+        g = mix64((p[prefix:] - p[:-prefix]) * down[: len(x) - prefix + 1])
     # the leftmost smallest hash of each window, by doubling window sizes
     low = ((g >> U64(32)) << U64(32)) | np.arange(len(g), dtype=U64)
     size = 1
@@ -159,7 +178,7 @@ def _packed_entries(data, offs, doc, tie, length: int, shards: int):
     for k in own:
         o = order[cut[k] : cut[k + 1]]
         used, back = np.unique(d[o], return_inverse=True)
-        for col, x in zip(cols, (g[o].astype("<u4"), c[o], back.astype("<u4"), s[o].astype("<u4"), n[o].astype("<u1"), doc[used], tie[used])):
+        for col, x in zip(cols, (g[o].astype("<u4"), c[o], back.astype("<u4"), s[o].astype("<u4"), n[o].astype(_count_kind(length)), doc[used], tie[used])):
             col.append(np.ascontiguousarray(x).tobytes())
     yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(x, pa.binary()) for x in cols)], names=[c.split()[0] for c in PACKED.split(", ")])
 
@@ -184,7 +203,7 @@ def _ranked(packed: DataFrame, length: int, files: int) -> DataFrame:
         if key < 0:
             return table
         cols = {name: table.column(name).to_pylist() for name in table.column_names if name != "key"}
-        e = {name: np.frombuffer(b"".join(cols[name]), kind) for name, kind in ENTRY}
+        e = {name: np.frombuffer(b"".join(cols[name]), kind) for name, kind in (*ENTRY, ("n", _count_kind(length)))}
         docs, ties = (np.frombuffer(b"".join(cols[x]), "<i8") for x in ("docs", "ties"))
         shift = np.concatenate([[0], np.cumsum([len(b) // 8 for b in cols["docs"]])])[:-1]
         d = e["d"].astype(np.int64) + np.repeat(shift, [len(b) // 4 for b in cols["d"]])
@@ -202,10 +221,10 @@ def _ranked(packed: DataFrame, length: int, files: int) -> DataFrame:
         fringe = fresh & (np.bincount(group[fresh], minlength=group[-1] + 1)[group] > 1)
         spans = _span_rows(doc[again], tie[again], s[again], n[again] + length - 1, files)
         release()
-        doc, tie, s, n, g = doc[fringe], tie[fringe], s[fringe], n[fringe], g[fringe].astype(U64) | (U64(key) << U64(32))
-        own, (gs, ss, ns, ds, ts) = _deal(_file_of(doc, tie, files), files, [g, s, n, doc, tie])
+        doc, tie, s, n = doc[fringe], tie[fringe], s[fringe], n[fringe]
+        own, (ss, ns, ds, ts) = _deal(_file_of(doc, tie, files), files, [s, n, doc, tie])
         none = [b""] * len(own)
-        cols = [pa.array(own.astype(np.int32)), *(pa.array(x, pa.binary()) for x in (gs, none, none, ss, ns, ds, ts))]
+        cols = [pa.array(own.astype(np.int32)), *(pa.array(x, pa.binary()) for x in (none, none, none, ss, ns, ds, ts))]
         return pa.Table.from_batches([spans, pa.RecordBatch.from_arrays(cols, names=spans.schema.names)])
 
     return packed.groupBy("key").applyInArrow(run, PACKED)
@@ -216,12 +235,12 @@ def _joined(table: pa.Table, name: str) -> np.ndarray:
 
 
 def _side_files(rows: DataFrame, folder: str, name: str, union: bool) -> dict[int, str]:
-    """One sorted file for each key, of fields doc, tie, start, size, g; with union, spans merged. A path for each key."""
+    """One sorted file for each key, of fields doc, tie, start, size; with union, spans merged. A path for each key."""
     root = local_path(folder)
 
     def run(table: pa.Table) -> pa.Table:
         key = table.column("key")[0].as_py()
-        doc, tie, start, size, g = (_joined(table, x) for x in ("docs", "ties", "s", "n", "g"))
+        doc, tie, start, size = (_joined(table, x) for x in ("docs", "ties", "s", "n"))
         order = np.lexsort((start, tie, doc))
         doc, tie, start, size = (x[order] for x in (doc, tie, start, size))
         arrays = {"doc": doc, "tie": tie, "start": start, "size": size}
@@ -237,8 +256,6 @@ def _side_files(rows: DataFrame, folder: str, name: str, union: bool) -> dict[in
             at = np.flatnonzero(split)
             end = np.append(reach[at[1:] - 1], reach[-1]) - lift[at]
             arrays = {"doc": doc[at], "tie": tie[at], "start": start[at], "size": end - start[at]}
-        elif not union:
-            arrays["g"] = g[order]
         path = f"{root}/{name}-{key + (1 << 20):07d}.fef"
         write_file(path, save(arrays))
         release()
@@ -264,8 +281,8 @@ def _look(paths: dict[int, str], doc: np.ndarray, tie: np.ndarray, files: int):
         yield row[right], entry[right], f
 
 
-def _fringe_texts(docs: DataFrame, paths: dict[int, str], length: int, shards: int, files: int) -> DataFrame:
-    """The fringe's contexts, packed by their anchor's shard."""
+def _contexts(docs: DataFrame, paths: dict[int, str], length: int, files: int) -> DataFrame:
+    """The fringe's contexts: (doc, tie, start, text), a row each."""
 
     def run(batches):
         for batch in batches:
@@ -273,114 +290,199 @@ def _fringe_texts(docs: DataFrame, paths: dict[int, str], length: int, shards: i
             # rows that repeat id and text bring their contexts once
             _, once = np.unique(np.stack([doc, tie]), axis=1, return_index=True) if len(doc) else (None, np.zeros(0, int))
             data, offs = text_buffer(batch.column(2))
-            found = [(once[r], f["start"][e], f["size"][e], f["g"][e]) for r, e, f in _look(paths, doc[once], tie[once], files)]
-            if not found:
-                continue
-            row, s, n, g = (np.concatenate(x) for x in zip(*found))
-            if not len(row):
-                continue
-            order = np.argsort((g.view(U64) >> U64(32)).astype(np.int64), kind="stable")
-            row, s, n, g = (x[order] for x in (row, s, n, g))
-            shard = (g.view(U64) >> U64(32)).astype(np.int64)
-            cut = np.searchsorted(shard, np.arange(shards + 1))
-            own = np.flatnonzero(np.diff(cut))
-            cols: list[list[bytes]] = [[] for _ in range(7)]
-            for k in own:
-                a, b = cut[k], cut[k + 1]
-                begin = offs[row[a:b]] + s[a:b]
-                size = n[a:b] + length - 1
-                place = np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
-                for col, x in zip(cols, (g[a:b], data[place], np.zeros(0, np.int64), s[a:b], n[a:b], doc[row[a:b]], tie[row[a:b]])):
-                    col.append(np.ascontiguousarray(x).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(x, pa.binary()) for x in cols)], names=[c.split()[0] for c in PACKED.split(", ")])
+            for r, e, f in _look(paths, doc[once], tie[once], files):
+                row, s = once[r], f["start"][e]
+                begin = offs[row] + s
+                texts = [data[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + f["size"][e] + length - 1).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(tie[row]), pa.array(s.astype(np.int64)), pa.array(texts, pa.binary())], names=["doc", "tie", "start", "text"])
 
-    return _keyed(docs).mapInArrow(run, PACKED)
+    return _keyed(docs).mapInArrow(run, "doc long, tie long, start long, text binary")
 
 
-def double(x: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix doubling over the positions of strings end to end in x.
+#: What a block's rows in a round carry of its contexts.
+LAYOUT = np.dtype([("size", "<u4"), ("start", "<i8"), ("doc", "<i8"), ("tie", "<i8")])
 
-    start: where each string begins, and the end. Returns (positions, ranks):
-    those whose length bytes, within one string, are found at another position.
-    """
-    seed = length
-    rounds = 0
-    while seed % 2 == 0 and seed > 8:
-        seed //= 2
-        rounds += 1
-    n = len(x)
+
+def _blocks(contexts: DataFrame) -> DataFrame:
+    """Contexts sorted by document and place, in blocks of about BLOCK bytes: (block, layout, text). Blocks ascend in that order."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        base, last = TaskContext.get().partitionId() << 32, None
+        held, texts, size = [], [], 0
+
+        def block():
+            sizes = [len(t) for t in texts]
+            layout = np.empty(len(held), LAYOUT)
+            layout["size"] = sizes
+            for k, name in enumerate(("doc", "tie", "start")):
+                layout[name] = [h[k] for h in held]
+            return pa.RecordBatch.from_arrays([pa.array([base]), pa.array([layout.tobytes()]), pa.array([b"".join(texts)])], names=["block", "layout", "text"])
+
+        for batch in batches:
+            for *at, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if at == last:
+                    continue  # rows that repeat id and text, in other batches
+                last = at
+                held.append(at), texts.append(text)
+                size += len(text)
+                if size >= BLOCK:
+                    yield block()
+                    held, texts, size, base = [], [], 0, base + 1
+        if held:
+            yield block()
+
+    parts = ranges_for(contexts)
+    return contexts.repartitionByRange(parts, "doc", "tie", "start").sortWithinPartitions("doc", "tie", "start").mapInArrow(run, "block long, layout binary, text binary")
+
+
+def doubling_sizes(length: int) -> list[int]:
+    """Bytes that ranks cover, round by round: each at most twice the one before."""
+    k = 1
+    while -(-length >> (k + 1)) >= LEAST_SEED:
+        k += 1
+    return [-(-length >> i) for i in range(k, -1, -1)]
+
+
+STATE = "block long, layout binary, at binary, rank binary"
+SENT = "key int, block long, a binary, b binary"
+
+
+def _seeded(layout: bytes, text: bytes, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's positions with their first ranks, hashes of as many bytes as the seed says."""
+    x = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero(_room(layout) >= seed)
     p, down = _prefix_sums(x)
     with np.errstate(over="ignore"):
-        first = mix64((p[seed:] - p[:-seed]) * down[: n - seed + 1])
-    room = np.repeat(start[1:], np.diff(start)) - np.arange(n)  # bytes left in the string
-    rank = np.full(n, -1, np.int64)
-    live = np.flatnonzero(room >= seed)
-    rank[live] = np.unique(first[live], return_inverse=True)[1]
-    size = seed
-    for _ in range(rounds):
-        live = live[room[live] >= 2 * size]
-        live = live[rank[live + size] >= 0]  # a unique half makes a unique whole
-        pair = rank[live] * np.int64(n + 1) + rank[live + size]
-        order = np.argsort(pair, kind="stable")
-        s = pair[order]
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
-        group = np.cumsum(new) - 1
-        many = np.bincount(group)[group] > 1 if len(s) else new
-        live, group = live[order[many]], group[many]
-        rank = np.full(n, -1, np.int64)
-        rank[live] = group
-        size *= 2
-    order = np.argsort(live)
-    return live[order], rank[live[order]]
-
-
-def _later(x: np.ndarray, start: np.ndarray, doc: np.ndarray, tie: np.ndarray, s: np.ndarray, length: int):
-    """(context, place in its document, number) of runs of positions whose string also is at an earlier place."""
-    at, rank = double(x, start, length)
-    if not len(at):
-        return at, at, at
-    own = np.searchsorted(start, at, "right") - 1
-    place = s[own] + at - start[own]
-    order = np.lexsort((place, tie[own], doc[own], rank))
-    own, place, rank = own[order], place[order], rank[order]
-    lead = np.maximum.accumulate(np.where(np.concatenate([[True], rank[1:] != rank[:-1]]), np.arange(len(rank)), 0))
-    # rows that repeat id and text bring a context more than once: that is one place
-    later = (doc[own] != doc[own[lead]]) | (tie[own] != tie[own[lead]]) | (place != place[lead])
-    own, place = own[later], place[later]
-    order = np.lexsort((place, own))
-    own, place = own[order], place[order]
-    new = np.ones(len(own), bool)
-    new[1:] = (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1)
-    k = np.flatnonzero(new)
-    return own[k], place[k], np.diff(np.append(k, len(own)))
-
-
-def _doubled(packed: DataFrame, length: int, files: int) -> DataFrame:
-    """Step 3: spans of the fringe's repeated strings, packed by file."""
+        return at, mix64((p[at + seed] - p[at]) * down[at])
+
+
+def _room(layout: bytes) -> np.ndarray:
+    """Bytes from each position of a block to its context's end."""
+    size = np.frombuffer(layout, LAYOUT)["size"].astype(np.int64)
+    return np.repeat(np.cumsum(size), size) - np.arange(int(size.sum()))
+
+
+def _pairs(state: DataFrame, size: int, after: int, shards: int) -> DataFrame:
+    """SENT rows of a round, of STATE or, in the first, of the blocks themselves: by hash range, a block's distinct pairs (key, with its earliest position and whether it has more); with key < 0, its layout and the other positions of such pairs."""
+
+    def run(batches):
+        for batch in batches:
+            for block, layout, *held in zip(*(c.to_pylist() for c in batch.columns)):
+                at, rank = _seeded(layout, *held, size) if len(held) == 1 else (np.frombuffer(held[0], U4).astype(np.int64), np.frombuffer(held[1], U64))
+                room = _room(layout)
+                place = np.full(len(room) + 1, -1, np.int64)
+                place[at] = np.arange(len(at))
+                own = np.flatnonzero(room[at] >= after)
+                other = place[at[own] + after - size]
+                own, other = own[other >= 0], other[other >= 0]  # a unique half makes a unique whole
+                with np.errstate(over="ignore"):
+                    key = mix64(rank[own] * U64(0x9E3779B97F4A7C15) + mix64(rank[other] + U64(1)))
+                at = at[own]
+                u, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                earliest = at[first][back]
+                more = earliest != at
+                shard = ((u >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
+                order = np.lexsort((first, shard))
+                u, lead, many, shard = u[order], at[first][order], n[order] > 1, shard[order]
+                cut = np.searchsorted(shard, np.arange(shards + 1))
+                rows = [(k, block, u[cut[k] : cut[k + 1]].tobytes(), pack([lead[cut[k] : cut[k + 1]], many[cut[k] : cut[k + 1]]], U4)) for k in np.flatnonzero(np.diff(cut)).tolist()]
+                rows.append((-1 - block % shards, block, layout, pack([at[more], earliest[more]], U4)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=[c.split()[0] for c in SENT.split(", ")])
+                release()
+
+    return state.mapInArrow(run, SENT)
+
+
+U4 = np.dtype("<u4")
+
+
+def _reranked(sent: DataFrame, last: bool) -> DataFrame:
+    """SENT rows by block: positions whose pair isn't unique with the number of their rank in the range; in the last round, those whose pair is found earlier."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, tie, s, n, g = (_joined(table, x) for x in ("docs", "ties", "s", "n", "g"))
-        x = np.frombuffer(b"".join(table.column("c").to_pylist()), np.uint8)
-        size = n + length - 1
-        begin = np.cumsum(size) - size
-        # contexts of one anchor stand together; a piece holds whole anchors and about PIECE bytes
-        order = np.argsort(g, kind="stable")
-        ends = np.flatnonzero(np.append(g[order][1:] != g[order][:-1], True)) + 1 if len(g) else []
-        out, a, held = [_span_rows(doc[:0], tie[:0], s[:0], n[:0], files)], 0, np.cumsum(size[order])
-        for b in ends:
-            if b < len(order) and held[b - 1] - (held[a - 1] if a else 0) < PIECE:
-                continue
-            own = order[a:b]
-            a = b
-            start = np.concatenate([[0], np.cumsum(size[own])])
-            place = np.arange(start[-1]) + np.repeat(begin[own] - start[:-1], size[own])
-            row, at, run_size = _later(x[place], start, doc[own], tie[own], s[own], length)
-            out.append(_span_rows(doc[own][row], tie[own][row], at, run_size + length - 1, files))
+        shard = table.column("key")[0].as_py()
+        if shard < 0:
+            return table
+        table = table.sort_by("block")  # blocks ascend by document and place
+        keys = [np.frombuffer(b, U64) for b in table.column("a").to_pylist()]
+        at, many = zip(*(unpack(b, 2, U4) for b in table.column("b").to_pylist()))
+        at, many, size = np.concatenate(at), np.concatenate(many) > 0, [len(k) for k in keys]
+        key = np.concatenate(keys)
+        del keys
+        _, first, rank, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        keep = np.arange(len(key)) != first[rank] if last else many | (n[rank] > 1)
+        cut = np.concatenate([[0], np.cumsum(size)])
+        a, b = [], []
+        for i, j in zip(cut[:-1], cut[1:]):
+            own = keep[i:j]
+            a.append(at[i:j][own].tobytes()), b.append(rank[i:j][own].astype("<u4").tobytes())
         release()
-        return pa.Table.from_batches(out)
+        return pa.Table.from_arrays([table.column("key"), table.column("block"), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=table.column_names)
 
-    return packed.groupBy("key").applyInArrow(run, PACKED)
+    return sent.groupBy("key").applyInArrow(run, SENT)
+
+
+def _gathered(table: pa.Table) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's (layout, positions, ranks, other positions of their pairs, whose earliest)."""
+    layout, at, rank, more = b"", [np.zeros(0, U4)], [np.zeros(0, U64)], None
+    for key, a, b in zip(*(table.column(c).to_pylist() for c in ("key", "a", "b"))):
+        if key < 0:
+            layout, more = a, unpack(b, 2, U4)
+        else:
+            at.append(np.frombuffer(a, U4))
+            rank.append(np.frombuffer(b, U4).astype(U64) | U64(key << 32))
+    return layout, np.concatenate(at), np.concatenate(rank), *more
+
+
+def _next_state(ranked: DataFrame) -> DataFrame:
+    """STATE after a round: the positions that are left, each with its pair's new rank."""
+
+    def run(table: pa.Table) -> pa.Table:
+        layout, at, rank, more, lead = _gathered(table)
+        place = np.zeros(len(_room(layout)), np.int64)
+        place[at] = np.arange(len(at))
+        every, ranks = np.concatenate([at, more]), np.concatenate([rank, rank[place[lead]]])
+        order = np.argsort(every)
+        return pa.table({"block": table.column("block").slice(0, 1), "layout": pa.array([layout]), "at": pa.array([every[order].tobytes()]), "rank": pa.array([ranks[order].tobytes()])})
+
+    return ranked.groupBy("block").applyInArrow(run, STATE)
+
+
+def _repeats(ranked: DataFrame, length: int, files: int) -> DataFrame:
+    """Spans, packed by file, of the positions that the last round found to be repeats: all but each rank's earliest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        layout, at, _, more, _ = _gathered(table)
+        own = np.frombuffer(layout, LAYOUT)
+        begin = np.concatenate([[0], np.cumsum(own["size"].astype(np.int64))])
+        at = np.sort(np.concatenate([at, more])).astype(np.int64)
+        row = np.searchsorted(begin, at, "right") - 1
+        new = np.ones(len(at), bool)
+        new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+        k = np.flatnonzero(new)
+        n = np.diff(np.append(k, len(at)))
+        row = row[k]
+        return pa.Table.from_batches([_span_rows(own["doc"][row], own["tie"][row], own["start"][row] + at[k] - begin[row], n + length - 1, files)])
+
+    return ranked.groupBy("block").applyInArrow(run, PACKED)
+
+
+def _doubled(contexts: DataFrame, length: int, files: int) -> DataFrame:
+    """Step 3: spans of the fringe's repeated strings, packed by file."""
+    blocks = settle(_blocks(contexts), "blocks")
+    discard(contexts)
+    total = blocks.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    shards = max(files, -(-total // RANGE_POSITIONS))
+    sizes = doubling_sizes(length)
+    state = blocks
+    for size, after in zip(sizes, sizes[1:]):
+        ranked = _reranked(_pairs(state, size, after, shards), after == length)
+        made = settle(_repeats(ranked, length, files) if after == length else _next_state(ranked), f"rank{after}")
+        discard(state)
+        state = made
+    return state
 
 
 COLUMNS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -391,11 +493,12 @@ def dedup_bytes(docs: DataFrame, length: int = 100, with_text: bool = False) ->
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     folder = shared_folder(spark)
-    shards = files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = files = ranges_for(docs)
     ranked = settle(_ranked(_entries(docs, length, shards), length, files), "ranked")
     fringe = _side_files(ranked.filter("key >= 0"), folder, "fringe", False)
-    extra = settle(_doubled(_fringe_texts(docs, fringe, length, shards, files), length, files), "doubled")
+    extra = _doubled(settle(_contexts(docs, fringe, length, files), "contexts"), length, files)
     spans = _side_files(ranked.filter("key < 0").union(extra), folder, "spans", True)
+    discard(ranked, extra)
 
     def run(batches):
         for batch in batches:
