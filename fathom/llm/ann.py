@@ -8,14 +8,19 @@ is calibrated: for a bounded set of queries the true neighbours are found
 against all rows in blocks, and visits widen until the leaves visited hold the
 wanted share of them (all leaves, if need be).
 
-Visits are a join on (leaf, part): large leaves are split into parts of rows
-and of queries, so identical vectors in one leaf don't meet in one task.
-Scores are exact double-precision inner products of the original vectors.
+Neighbouring leaves make bundles of a few thousand rows, large leaves are
+split into parts. A query goes once to each bundle with a leaf that it visits,
+with the set of those leaves, and meets the rows of those leaves only.
+Bundles that many queries visit split these into parts, so identical
+vectors don't meet in one task. Scores are exact double-precision inner
+products of the original vectors: blocked products only choose which pairs are
+worth one.
 
 Defined cases: vectors that are null, zero or hold null or non-finite
 components take no part, nor do those of another length than the most frequent
 one; null ids take no part; rows that share a query's id aren't its
-candidates, a repeated query id is asked once; ties go to the smaller id.
+candidates, a repeated query id is asked once, with its least vector; ties go
+to the smaller id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,20 +34,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import settle
+from .textkit import release
 
 
 @dataclass(frozen=True)
 class AnnRules:
     k: int = 20
-    recall: float = 0.97
+    recall: float = 0.93
     #: Vectors that the tree is fitted on, about, and queries that visits are calibrated with.
-    sample: int = 20_000
+    sample: int = 65_536
     calibrate: int = 256
-    branch: int = 12
-    leaf_sample: int = 24
+    branch: int = 16
+    leaf_sample: int = 14
     rounds: int = 8
+    #: Rows of a bundle of leaves and of a part of a large one, queries of a part.
     rows_a_part: int = 4096
-    queries_a_part: int = 1024
+    queries_a_part: int = 4096
     seed: int = 7
 
 
@@ -101,16 +108,17 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng) -> list | None:
     for _ in range(rounds):
         own = ((centres * centres).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
         n = np.bincount(own, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
-        have = n > 0
-        centres[have] = sums[have] / n[have, None]
+        have = np.flatnonzero(n)
+        sums = np.add.reduceat(x[np.argsort(own, kind="stable")], (np.cumsum(n) - n)[have])
+        centres[have] = sums / n[have, None]
     own = ((centres * centres).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
     parts = [(centres[j], x[own == j]) for j in range(k) if (own == j).any()]
     return parts if len(parts) > 1 else None
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
     return np.asarray(col.flatten()).astype(np.float64).reshape(-1, dim)
 
 
@@ -124,16 +132,26 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return own[np.lexsort((ids[own], -scores[own]))[:k]]
 
 
-def _block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int):
-    """(query ids, ids, scores) of the best k for each query in a block of rows."""
+def _block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, near=None):
+    """(query ids, ids, scores) of the best k for each query in a block of rows.
+
+    near(a, b): approximate products of queries [a, b) and all rows, -inf for rows that don't count; by default all do.
+    """
     out = []
-    for a in range(0, len(q), 64):
-        # no blocked product: equal vectors must score equal to the last bit
-        s = np.einsum("qd,xd->qx", q[a : a + 64], x)
-        for r in range(len(s)):
-            other = np.flatnonzero(ids != q_ids[a + r])
-            best = other[_best(s[r][other], ids[other], k)]
-            out.append((np.full(len(best), q_ids[a + r]), ids[best], s[r][best]))
+    size = np.abs(x).sum(axis=1).max(initial=0.0)
+    for a in range(0, len(q), 128):
+        b = min(a + 128, len(q))
+        products = q[a:b] @ x.T if near is None else near(a, b)
+        products[q_ids[a:b, None] == ids[None, :]] = -np.inf
+        for r, row in enumerate(products):
+            edge = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+            # a blocked product may round otherwise than the exact one
+            slack = 1e-12 * size * np.abs(q[a + r]).max(initial=0.0)
+            own = np.flatnonzero((row >= edge - slack) & (row > -np.inf))
+            # equal vectors must score equal to the last bit
+            score = np.einsum("xd,d->x", x[own], q[a + r])
+            best = _best(score, ids[own], k)
+            out.append((np.full(len(best), q_ids[a + r]), ids[own][best], score[best]))
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
 
@@ -162,6 +180,8 @@ def search(vectors: DataFrame, queries: DataFrame, rules: AnnRules = AnnRules(),
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n, most = int(sizes[0]["dim"]), int(sizes[0]["n"]), float(sizes[0]["m"])
     rows = rows.filter(F.size("v") == dim)
+    # rows that share an id: a query's own aren't its candidates
+    most_rows = int(rows.groupBy("vec_id").count().agg(F.max("count")).first()[0])
     asked = clean(queries).filter(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     def lifted(x: np.ndarray) -> np.ndarray:
@@ -171,8 +191,8 @@ def search(vectors: DataFrame, queries: DataFrame, rules: AnnRules = AnnRules(),
         return F.xxhash64(F.lit(salt), "vec_id").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
 
     share = min(1.0, rules.sample / n)
-    sample = rows.filter(hashed("fit") < share).orderBy("vec_id").limit(2 * rules.sample).select("v").toPandas()["v"]
-    x = lifted(np.array(sample.tolist(), np.float64).reshape(-1, dim))
+    sample = rows.filter(hashed("fit") < share).orderBy("vec_id").limit(2 * rules.sample).select("v").toArrow()
+    x = lifted(_matrix(sample.column("v").combine_chunks(), dim))
     tree = Tree(x, rules, rules.leaf_sample)
     shared = spark.sparkContext.broadcast(tree)  # bounded by the sample
 
@@ -187,39 +207,73 @@ def search(vectors: DataFrame, queries: DataFrame, rules: AnnRules = AnnRules(),
     trial = asked.filter(hashed("trial") < min(1.0, rules.calibrate / n_asked)).orderBy(hashed("trial"), "vec_id").limit(2 * rules.calibrate).toPandas()
     visits = _calibrated(placed, trial, tree, counts, dim, rules)
 
+    # leaves in the tree's order, so that those of a bundle are near each other
+    bundle = np.zeros(tree.leaves, np.int64)
+    first, rows_in = [], []
+    for leaf in range(tree.leaves):
+        if not first or rows_in[-1] + counts.get(leaf, 0) > rules.rows_a_part:
+            first.append(leaf), rows_in.append(0)
+        bundle[leaf] = len(first) - 1
+        rows_in[-1] += counts.get(leaf, 0)
+    full = np.array([counts.get(x, 0) for x in range(tree.leaves)])
+
     def route(batches):
         t = shared.value
         for batch in batches:
             ids, q = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
-            leaf, own = [], []
+            at, own, leaves = [], [], []
             for r in range(len(q)):
-                held = taken = 0
+                seen, held, taken = [], 0, 0
                 for x in t.visit(np.append(q[r], 0.0)):
-                    if counts.get(x):
-                        leaf.append(x), own.append(r)
-                        held += counts[x]
+                    if full[x]:
+                        seen.append(x)
+                        held += full[x]
                     taken += 1
-                    if taken >= visits and held > rules.k:
+                    if taken >= visits and held >= rules.k + most_rows:
                         break
-            at = pa.array(own, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(ids).take(at), batch.column(1).take(at)], names=["leaf", "vec_id", "v"])
-
-    routed = asked.select("vec_id", "v").mapInArrow(route, "leaf int, vec_id long, v array<double>")
-    routed = settle(routed, "routed")
-    wanted = routed.groupBy("leaf").agg(F.count("*").alias("q"))
-    parts = wanted.join(spark.createDataFrame(list(counts.items()), "leaf int, n long"), "leaf").select("leaf", F.ceil(F.col("n") / rules.rows_a_part).cast("int").alias("rp"), F.ceil(F.col("q") / rules.queries_a_part).cast("int").alias("qp"))
-    parts = F.broadcast(parts)  # a row per leaf
-    left = routed.join(parts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("rp") - 1)).alias("r"), F.pmod(F.xxhash64("vec_id"), "qp").cast("int").alias("q"), "vec_id", "v")
-    right = placed.join(parts, "leaf").select(F.col("leaf").alias("leaf2"), F.pmod(F.xxhash64("vec_id"), "rp").cast("int").alias("r2"), F.explode(F.sequence(F.lit(0), F.col("qp") - 1)).alias("q2"), F.col("vec_id").alias("id2"), F.col("v").alias("v2"))
+                seen = np.sort(np.array(seen, np.int64))
+                for b in np.unique(bundle[seen]):
+                    at.append(b), own.append(r)
+                    leaves.append((seen[bundle[seen] == b] - first[b]).astype("<u4").tobytes())
+            take = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(ids).take(take), batch.column(1).take(take), pa.array(leaves, pa.binary())], names=["bundle", "vec_id", "v", "leaves"])
+
+    tasks = max(1, min(spark.sparkContext.defaultParallelism * 2, -(-n_asked // 64)))
+    routed = settle(asked.select("vec_id", "v").repartition(tasks, "vec_id").mapInArrow(route, "bundle int, vec_id long, v array<double>, leaves binary"), "routed")
+    asks = {r["bundle"]: r["n"] for r in routed.groupBy("bundle").agg(F.count("*").alias("n")).collect()}  # a row per bundle
+    parts = [(b, -(-rows_in[b] // rules.rows_a_part), -(-asks[b] // rules.queries_a_part)) for b in sorted(asks)]
+    parts = F.broadcast(spark.createDataFrame(parts, "bundle int, rp int, qp int"))  # a row per bundle
+    of_leaf = F.broadcast(spark.createDataFrame([(x, int(bundle[x]), int(x - first[bundle[x]])) for x in range(tree.leaves)], "leaf int, bundle int, local int"))  # a row per leaf
+    left = routed.join(parts, "bundle").select("bundle", F.explode(F.sequence(F.lit(0), F.col("rp") - 1)).alias("r"), F.pmod(F.xxhash64("vec_id"), "qp").cast("int").alias("q"), "vec_id", "v", "leaves")
+    right = placed.join(of_leaf, "leaf").join(parts, "bundle").select(F.col("bundle").alias("bundle2"), F.pmod(F.xxhash64("vec_id"), "rp").cast("int").alias("r2"), F.explode(F.sequence(F.lit(0), F.col("qp") - 1)).alias("q2"), F.col("vec_id").alias("id2"), F.col("v").alias("v2"), "local")
 
     def scan(q: pa.Table, x: pa.Table) -> pa.Table:
         q, x = q.combine_chunks(), x.combine_chunks()
         if not len(q) or not len(x):
             return pa.Table.from_batches([_found([np.zeros(0), np.zeros(0), np.zeros(0)])])
         qs, xs = (_matrix(t.column(c).combine_chunks(), dim) for t, c in ((q, "v"), (x, "v2")))
-        return pa.Table.from_batches([_found(_block(qs, q.column("vec_id").to_numpy(), xs, x.column("id2").to_numpy(), rules.k))])
-
-    found = left.groupBy("leaf", "r", "q").cogroup(right.groupBy("leaf2", "r2", "q2")).applyInArrow(scan, FOUND)
+        local = x.column("local").to_numpy()
+        order = np.argsort(local, kind="stable")
+        xs, local = xs[order], local[order]
+        sets = [np.frombuffer(b, "<u4") for b in q.column("leaves").to_pylist()]
+
+        def near(a: int, b: int) -> np.ndarray:
+            out = np.full((b - a, len(xs)), -np.inf)
+            leaf = np.concatenate(sets[a:b])
+            row = np.repeat(np.arange(b - a), [len(s) for s in sets[a:b]])[np.argsort(leaf, kind="stable")]
+            leaf, at = np.unique(leaf, return_index=False, return_counts=True)
+            lo, hi, end = np.searchsorted(local, leaf, "left"), np.searchsorted(local, leaf, "right"), np.cumsum(at)
+            for i, j, c, n in zip(lo.tolist(), hi.tolist(), end.tolist(), at.tolist()):
+                if i < j:
+                    own = row[c - n : c]
+                    out[own, i:j] = qs[a:b][own] @ xs[i:j].T
+            return out
+
+        out = _block(qs, q.column("vec_id").to_numpy(), xs, x.column("id2").to_numpy()[order], rules.k, near)
+        release()
+        return pa.Table.from_batches([_found(out)])
+
+    found = left.groupBy("bundle", "r", "q").cogroup(right.groupBy("bundle2", "r2", "q2")).applyInArrow(scan, FOUND)
     return _top(found, rules.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
