@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import blocked_ipv4
+from .scalars import blocked_ipv4, in_blocked_range
 
 HOST = r"^(?=.{1,253}$)[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)+$"
 
@@ -37,11 +37,19 @@ def normalize_host(x: Column) -> Column:
 
 
 def blocked_ipv6(x: Column) -> Column:
-    """Loopback, link-local, unique-local, and mapped IPv4 that is blocked; what has no readable first group isn't."""
-    low = F.lower(x)
-    dotted = F.regexp_extract(low, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
-    first = F.conv(F.regexp_extract(low, r"^([0-9a-f]{1,4}):", 1), 16, 10).try_cast("int")
-    return F.coalesce(low.isin("::1", "0:0:0:0:0:0:0:1") | F.when(dotted != "", blocked_ipv4(dotted)).otherwise(first.between(0xFE80, 0xFEBF) | first.between(0xFC00, 0xFDFF)), F.lit(False))
+    """Loopback, link-local, unique-local, and mapped IPv4, dotted or in two hex groups, that is blocked; what has no readable first group isn't."""
+    low = F.trim(F.lower(x))
+    dotted = F.regexp_extract(low, r"^::ffff:(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1)
+    group = lambda pattern, k: F.conv(F.regexp_extract(low, pattern, k), 16, 10).cast("bigint")
+    mapped = r"^::ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$"
+    first = group(r"^([0-9a-f]{1,4})(:|$)", 1)
+    return F.coalesce(
+        F.when(low.isin("::1", "0:0:0:0:0:0:0:1"), True)
+        .when(dotted != "", blocked_ipv4(dotted))
+        .when(low.rlike(mapped), in_blocked_range(group(mapped, 1) * 65536 + group(mapped, 2)))
+        .otherwise(first.between(0xFE80, 0xFEBF) | first.between(0xFC00, 0xFDFF)),
+        F.lit(False),
+    )
 
 
 def normalized_path(x: Column) -> Column:

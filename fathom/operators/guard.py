@@ -1,38 +1,60 @@
-"""Scope decisions for requests against authorizations: an ordered list of reasons, the first that fails wins."""
+"""Scope decisions for requests against authorizations: an ordered list of reasons, the first that fails wins.
+
+Every doubtful case is refused: a null URL, no authorization, a host that
+didn't resolve (null or no addresses), an address that can't be read.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.addresses import blocked_ipv6
 from ..functions.scalars import blocked_ipv4
 
-BLOCKED_HOSTS = ("localhost", "metadata.google.internal", "metadata")
+#: Hosts refused by name, before and after resolution. Fixed values.
+LOCAL_HOSTS = ("localhost", "127.0.0.1", "::1")
+BLOCKED_HOSTS = ("localhost", "metadata.google.internal", "metadata.internal")
+AUTHORITY = r"^[^:/?#]+://(?:[^/@?#]*@)?"
+
+
+def blocked_address(x: Column) -> Column:
+    """Of either version; blocked too if it is neither."""
+    v4 = x.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    return F.coalesce(F.when(v4, blocked_ipv4(x)).when(x.contains(":"), blocked_ipv6(x)), F.lit(True))
 
 
 def decide(requests: DataFrame, authorizations: DataFrame, now: Column, capability: int = 2) -> DataFrame:
-    """requests: req_id, url, tier, resolved array; authorizations: idx, scheme, host, port, max_tier, expires_at, revoked_at, verified_at.
+    """requests: req_id, url, tier, resolved array; authorizations: idx, scheme, host, port, max_tier, expires_at, revoked_at, verified_at and, if paths are limited, allowed_path_prefixes array.
 
     The first authorization (by idx) of a request's scheme, host and port counts, so a revoked one hides later ones.
     """
     scheme = F.lower(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(F.regexp_extract("url", r"^[^:/?#]+://(?:[^/@]*@)?([^/:?#]+)", 1))
-    port = F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*:(\d+)(?:[/?#]|$)", 1).try_cast("int")
-    r = requests.withColumn("scheme", scheme).withColumn("host", host).withColumn("port", F.coalesce(port, F.when(F.col("scheme") == "https", 443).when(F.col("scheme") == "http", 80)))
-    first = Window.partitionBy(F.lower("scheme"), F.lower("host"), "port").orderBy("idx")
-    a = authorizations.withColumn("__k", F.row_number().over(first)).filter("__k = 1")
-    a = a.select(F.lower("scheme").alias("scheme"), F.lower("host").alias("host"), "port", "idx", "max_tier", "expires_at", "revoked_at", "verified_at")
+    host = F.regexp_replace(F.lower(F.regexp_extract("url", AUTHORITY + r"(\[[^\]]*\]|[^/:?#]*)", 1)), r"^\[|\]$", "")
+    port = F.regexp_extract("url", AUTHORITY + r"(?:\[[^\]]*\]|[^/:?#]*):(\d+)", 1).try_cast("int")
+    path = F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    r = requests.select("req_id", "url", "tier", "resolved", scheme.alias("scheme"), host.alias("host"), F.when(path == "", "/").otherwise(path).alias("path"), port.alias("given"))
+    r = r.withColumn("port", F.coalesce("given", F.when(F.col("scheme") == "https", 443).when(F.col("scheme") == "http", 80)))
+    prefixes = F.col("allowed_path_prefixes") if "allowed_path_prefixes" in authorizations.columns else F.array().cast("array<string>")
+    a = authorizations.select("scheme", F.lower("host").alias("host"), "port", "idx", "max_tier", "expires_at", "revoked_at", "verified_at", prefixes.alias("prefixes"))
+    first = Window.partitionBy("scheme", "host", "port").orderBy("idx")
+    a = a.withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place")
     j = r.join(a, ["scheme", "host", "port"], "left")
+    literal = F.col("host").rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | F.col("host").contains(":")
+    addresses = F.when(literal, F.array("host")).otherwise(F.col("resolved"))
+    refused = F.col("host").isin(*BLOCKED_HOSTS) | F.coalesce((F.size(addresses) < 1) | F.exists(addresses, blocked_address), F.lit(True))
+    off_path = (F.size("prefixes") > 0) & ~F.exists("prefixes", lambda p: F.startswith("path", p))
     reason = (
-        F.when((F.col("scheme") == "") | (F.col("host") == ""), "invalid_url")
+        F.when(F.col("url").isNull() | (F.col("scheme") == "") | (F.col("host") == ""), "invalid_url")
         .when(~F.col("scheme").isin("http", "https"), "unsupported_scheme")
-        .when(F.col("host").isin(*BLOCKED_HOSTS), "blocked_hostname")
+        .when(F.col("host").isin(*LOCAL_HOSTS), "blocked_hostname")
         .when(F.col("idx").isNull(), "no_matching_authorization")
-        .when(F.col("revoked_at").isNotNull(), "revoked")
-        .when(F.col("expires_at") <= now, "expired")
-        .when(F.col("verified_at").isNull(), "not_verified")
-        .when((F.col("tier") > F.col("max_tier")) | (F.col("tier") > capability), "tier_not_allowed")
-        .when(F.exists("resolved", blocked_ipv4), "blocked_address")
+        .when(F.col("revoked_at").isNotNull(), "authorization_revoked")
+        .when(F.coalesce(F.col("expires_at") <= now, F.lit(True)), "authorization_expired")
+        .when(F.col("verified_at").isNull(), "authorization_not_verified")
+        .when(F.coalesce((F.col("tier") > F.col("max_tier")) | (F.col("tier") > capability), F.lit(True)), "tier_exceeds_authorization")
+        .when(off_path, "path_not_allowed")
+        .when(refused, "host_resolves_to_blocked_address")
         .otherwise("ok")
     )
     return j.select("req_id", reason.alias("reason"), (reason == "ok").alias("allowed"))

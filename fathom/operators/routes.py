@@ -90,13 +90,13 @@ def inventory(declared: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def api_findings(endpoints: DataFrame) -> DataFrame:
-    """API-101 undeclared, 102 not observed, 103 open while others need auth, 104 id-shaped parameter."""
-    any_auth = F.max((F.col("declared") & (F.coalesce(F.size("security"), F.lit(0)) > 0)).cast("int")).over(Window.partitionBy())
-    e = endpoints.withColumn("any_auth", any_auth == 1)
+    """API-101 undeclared, 102 not observed, 103 open while others need auth, 104 declared with an id-shaped path parameter."""
+    any_auth = endpoints.agg(F.coalesce(F.bool_or(F.col("declared") & (F.coalesce(F.size("security"), F.lit(0)) > 0)), F.lit(False)).alias("any_auth"))
+    e = endpoints.crossJoin(F.broadcast(any_auth))  # one row
     rules = F.array(
         F.when(F.col("observed") & ~F.col("declared"), F.struct(F.lit("API-101").alias("rule"), F.lit("low").alias("severity"))),
         F.when(F.col("declared") & ~F.col("observed"), F.struct(F.lit("API-102").alias("rule"), F.lit("info").alias("severity"))),
         F.when(F.col("declared") & F.col("security").isNotNull() & (F.size("security") == 0) & F.col("any_auth"), F.struct(F.lit("API-103").alias("rule"), F.lit("low").alias("severity"))),
-        F.when(F.col("path").rlike(r"\{(id|.*_id|.*Id|uuid)\}"), F.struct(F.lit("API-104").alias("rule"), F.lit("info").alias("severity"))),
+        F.when(F.col("declared") & F.exists(segments(F.col("path")), lambda x: x.rlike(r"^\{(id|.*_id|.*Id|uuid)\}$")), F.struct(F.lit("API-104").alias("rule"), F.lit("info").alias("severity"))),
     )
     return e.select("method", "path", F.explode(F.array_compact(rules)).alias("r")).select("method", "path", "r.rule", "r.severity")

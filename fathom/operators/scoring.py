@@ -57,18 +57,20 @@ def breakdown(findings: DataFrame, keys: list[str], now: Column) -> DataFrame:
 
 
 #: rule id, the condition of an offending row.
-def policy_conditions() -> dict[str, Column]:
+def policy_conditions(columns: list[str]) -> dict[str, Column]:
+    """Without a column is_new every finding counts as new."""
     open_ = is_open(F.col("status"))
+    new = F.coalesce(F.col("is_new"), F.lit(False)) if "is_new" in columns else F.lit(True)
     return {
         "fail_on_open_critical": open_ & at_or_above(F.col("severity"), "critical"),
         "fail_on_confirmed_high": (F.col("status") == "confirmed") & at_or_above(F.col("severity"), "high"),
-        "fail_on_new_secrets": open_ & (F.col("source") == "secret_detection"),
+        "fail_on_new_secrets": new & open_ & (F.col("source") == "secret_detection"),
         "fail_on_dependency_critical": open_ & (F.col("source") == "dependency_analysis") & at_or_above(F.col("severity"), "critical"),
     }
 
 
 def evaluate_policies(findings: DataFrame, keys: list[str]) -> DataFrame:
     """A row per violated rule with its offenders; every enabled rule is judged on its own, in one aggregation."""
-    rules = policy_conditions()
+    rules = policy_conditions(findings.columns)
     wide = findings.groupBy(*keys).agg(*[F.sum(c.cast("long")).alias(k) for k, c in rules.items()])
     return wide.unpivot(keys, list(rules), "rule", "offenders").filter("offenders > 0")

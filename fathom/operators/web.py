@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names that mark a session cookie, and signatures of debug output. Fixed values.
+#: Names that mark a session cookie, and extensions of static files. Fixed values.
 SENSITIVE_COOKIE = "(?i)session|auth|token|jwt|sid|login|credential"
-STATIC = ("png", "jpg", "jpeg", "gif", "svg", "ico", "css", "woff", "woff2", "ttf", "eot", "pdf", "zip", "mp4", "mp3", "webp")
+STATIC = ("css", "png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "woff", "woff2", "ttf", "eot", "mp4", "mp3", "pdf", "zip")
 
 
 def links(html: Column) -> Column:
@@ -42,12 +42,14 @@ def is_static(path: Column) -> Column:
 
 
 def cookie_findings(responses: DataFrame) -> DataFrame:
-    """responses: url, set_cookie array. WEB-002 no Secure on https, WEB-003 no HttpOnly."""
+    """responses: url, set_cookie array. WEB-002 no Secure on https, WEB-003 no HttpOnly; a cookie without a name is passed over."""
     c = responses.select("url", F.explode("set_cookie").alias("c"))
-    c = c.select("url", F.trim(F.split_part("c", F.lit("="), F.lit(1))).alias("cookie"), F.transform(F.slice(F.split("c", ";"), 2, 100), lambda x: F.lower(F.trim(F.split_part(x, F.lit("="), F.lit(1))))).alias("attrs"))
+    c = c.select("url", F.trim(F.split_part(F.split_part("c", F.lit(";"), F.lit(1)), F.lit("="), F.lit(1))).alias("cookie"), F.transform(F.split("c", ";"), lambda x: F.lower(F.trim(x))).alias("attrs"), F.col("c").contains(";").alias("more"))
+    # the cookie itself is the first part, attributes follow
+    c = c.filter("cookie <> ''").withColumn("attrs", F.when(F.col("more"), F.expr("slice(attrs, 2, size(attrs))")).otherwise(F.array().cast("array<string>")))
     secret = F.col("cookie").rlike(SENSITIVE_COOKIE)
     found = F.array(
-        F.when(F.startswith("url", F.lit("https:")) & ~F.array_contains("attrs", "secure"), F.struct(F.lit("WEB-002").alias("rule"), F.when(secret, "medium").otherwise("low").alias("severity"))),
+        F.when(F.startswith("url", F.lit("https://")) & ~F.array_contains("attrs", "secure"), F.struct(F.lit("WEB-002").alias("rule"), F.when(secret, "medium").otherwise("low").alias("severity"))),
         F.when(~F.array_contains("attrs", "httponly"), F.struct(F.lit("WEB-003").alias("rule"), F.when(secret, "medium").otherwise("info").alias("severity"))),
     )
     return c.select("url", "cookie", F.explode(F.array_compact(found)).alias("r")).select("url", "cookie", "r.rule", "r.severity")
@@ -65,18 +67,21 @@ def hsts_findings(responses: DataFrame) -> DataFrame:
     return responses.filter(F.startswith("url", F.lit("https:")) & F.col("hsts").isNull()).select("url", F.lit("WEB-006").alias("rule"), F.lit("low").alias("severity"))
 
 
-#: Debug output by framework. Fixed values.
-MARKERS = {
-    "node": r"at .+\(.+\.js:\d+:\d+\)",
-    "python": r"Traceback \(most recent call last\)",
-    "php": r"(Fatal error|Warning): .+ in .+ on line \d+",
-    "dotnet": r"System\.[A-Za-z.]+Exception",
-}
+#: Signatures of debug output. Fixed values.
+MARKERS = (
+    ("Node.js stack trace", r"at\s+[\w.<>\[\] ]+\s+\([^)]*:\d+:\d+\)"),
+    ("Python traceback", r"Traceback \(most recent call last\)"),
+    ("Laravel debug page", r"(?i)Whoops[\s\S]{0,200}Laravel|Illuminate\\Database"),
+    ("ASP.NET debug page", r"Server Error in '/' Application"),
+    ("Django debug page", r"Django Version:[\s\S]{0,500}Exception Type:"),
+    ("PHP error output", r"PHP Fatal error|PHP Warning:.*on line \d+"),
+    (".NET stack trace", r"at System\.\S+\.\S+\("),
+)
 
 
 def debug_findings(responses: DataFrame) -> DataFrame:
     """responses: url, status, body. One row per signature found, medium from status 400."""
-    found = F.array_compact(F.array(*[F.when(F.col("body").rlike(p), F.lit(k)) for k, p in MARKERS.items()]))
+    found = F.array_compact(F.array(*[F.when(F.col("body").rlike(p), F.lit(k)) for k, p in MARKERS]))
     return responses.select("url", F.explode(found).alias("marker"), F.when(F.col("status") >= 400, "medium").otherwise("low").alias("severity")).withColumn("rule", F.lit("WEB-004"))
 
 
