@@ -345,7 +345,8 @@ def doubling_sizes(length: int) -> list[int]:
     return [-(-length >> i) for i in range(k, -1, -1)]
 
 
-STATE = "block long, layout binary, at binary, rank binary"
+#: A block's layout and, packed, its positions that are left with the two halves of their ranks.
+STATE = "block long, layout binary, at binary, seeded boolean"
 SENT = "key int, block long, a binary, b binary"
 
 
@@ -358,6 +359,11 @@ def _seeded(layout: bytes, text: bytes, seed: int) -> tuple[np.ndarray, np.ndarr
         return at, mix64((p[at + seed] - p[at]) * down[at])
 
 
+def _ranks(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    at, low, high = unpack(packed, 3, U4)
+    return at.astype(np.int64), low.astype(U64) | (high.astype(U64) << U64(32))
+
+
 def _room(layout: bytes) -> np.ndarray:
     """Bytes from each position of a block to its context's end."""
     size = np.frombuffer(layout, LAYOUT)["size"].astype(np.int64)
@@ -370,7 +376,7 @@ def _pairs(state: DataFrame, size: int, after: int, shards: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for block, layout, *held in zip(*(c.to_pylist() for c in batch.columns)):
-                at, rank = _seeded(layout, *held, size) if len(held) == 1 else (np.frombuffer(held[0], U4).astype(np.int64), np.frombuffer(held[1], U64))
+                at, rank = _seeded(layout, *held, size) if len(held) == 1 else _ranks(held[0])
                 room = _room(layout)
                 place = np.full(len(room) + 1, -1, np.int64)
                 place[at] = np.arange(len(at))
@@ -417,7 +423,7 @@ def _reranked(sent: DataFrame, last: bool) -> DataFrame:
         a, b = [], []
         for i, j in zip(cut[:-1], cut[1:]):
             own = keep[i:j]
-            a.append(at[i:j][own].tobytes()), b.append(rank[i:j][own].astype("<u4").tobytes())
+            a.append(pack([at[i:j][own], rank[i:j][own]], U4)), b.append(b"")
         release()
         return pa.Table.from_arrays([table.column("key"), table.column("block"), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=table.column_names)
 
@@ -431,8 +437,9 @@ def _gathered(table: pa.Table) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarra
         if key < 0:
             layout, more = a, unpack(b, 2, U4)
         else:
-            at.append(np.frombuffer(a, U4))
-            rank.append(np.frombuffer(b, U4).astype(U64) | U64(key << 32))
+            own, low = unpack(a, 2, U4)
+            at.append(own)
+            rank.append(low.astype(U64) | U64(key << 32))
     return layout, np.concatenate(at), np.concatenate(rank), *more
 
 
@@ -445,7 +452,9 @@ def _next_state(ranked: DataFrame) -> DataFrame:
         place[at] = np.arange(len(at))
         every, ranks = np.concatenate([at, more]), np.concatenate([rank, rank[place[lead]]])
         order = np.argsort(every)
-        return pa.table({"block": table.column("block").slice(0, 1), "layout": pa.array([layout]), "at": pa.array([every[order].tobytes()]), "rank": pa.array([ranks[order].tobytes()])})
+        ranks = ranks[order]
+        packed = pack([every[order], ranks & U64(0xFFFFFFFF), ranks >> U64(32)], U4)
+        return pa.table({"block": table.column("block").slice(0, 1), "layout": pa.array([layout]), "at": pa.array([packed]), "seeded": pa.array([False])})
 
     return ranked.groupBy("block").applyInArrow(run, STATE)
 
