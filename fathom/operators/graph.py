@@ -16,12 +16,18 @@ def node_ids(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("id", F.concat_ws(":", "kind", "file_path", "name", F.col("line").cast("string")))
 
 
-def enclosing(calls: DataFrame, functions: DataFrame) -> DataFrame:
+def enclosing(calls: DataFrame, functions: DataFrame, block: int = 64) -> DataFrame:
     """calls (call_id, file_path, pos) with the innermost of functions (fn_id, file_path, first, last) around each.
 
-    The range test runs per file; the innermost begins last.
+    The innermost begins last. Both sides meet by file and block of positions,
+    a function in each block that it reaches, so a file's calls don't meet all
+    of its functions, and a long file is many keys. Calls in no function and
+    rows with a null place are left out.
     """
-    j = calls.join(functions, "file_path").filter("first <= pos and pos <= last")
+    at = lambda c: F.floor(F.col(c) / block).cast("long")
+    c = calls.select("call_id", "file_path", "pos", at("pos").alias("block"))
+    f = functions.filter("first <= last").select("fn_id", "file_path", "first", "last", F.explode(F.sequence(at("first"), at("last"))).alias("block"))
+    j = c.join(f, ["file_path", "block"]).filter("first <= pos and pos <= last")
     return j.groupBy("call_id").agg(F.max_by("fn_id", F.struct("first", "fn_id")).alias("fn_id"))
 
 

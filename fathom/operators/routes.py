@@ -1,9 +1,9 @@
 """Matching concrete requests to route patterns, and API inventories.
 
 A pattern's segments are literals or {name}, which matches exactly one
-segment. Requests and routes join on their segment count and first literal
-bucket; the rest is checked per pair. Routes with more literals win, ties by
-their order.
+segment. Requests and routes join on their segment count and the route's
+rarest literal; the rest is checked per pair. Routes with more literals win,
+ties by their order.
 """
 
 from __future__ import annotations
@@ -42,14 +42,21 @@ def join_path(a: Column, b: Column) -> Column:
 def matches(requests: DataFrame, routes: DataFrame) -> DataFrame:
     """All (request, route) pairs with decoded params (k=v, comma-joined) and literals.
 
-    requests: req_id, method, path; routes: route_idx, method, pattern. Route
-    tables are small beside requests: the pattern side is what Spark may
-    broadcast by its measured size.
+    requests: req_id, method, path; routes: route_idx (unique), method, pattern.
+    A route waits at its rarest literal, by segment count, place and text, and
+    a request calls at each of its segments; routes of parameters only wait by
+    segment count. Route tables are small beside requests: the pattern side is
+    what Spark may broadcast by its measured size.
     """
     q = requests.select("req_id", F.lower("method").alias("q_method"), segments(F.col("path")).alias("q_seg"))
     r = routes.select("route_idx", F.lower("method").alias("r_method"), segments(F.col("pattern")).alias("r_seg"), specificity(F.col("pattern")).alias("literals"))
     q, r = q.withColumn("n", F.size("q_seg")), r.withColumn("n", F.size("r_seg"))
-    pair = q.join(r, "n").filter((F.col("r_method") == "*") | (F.col("r_method") == F.col("q_method")))
+    literal = r.select("route_idx", "n", F.posexplode("r_seg").alias("place", "word")).filter(~is_param(F.col("word"))).withColumn("word", F.lower("word"))
+    kept = literal.join(literal.groupBy("n", "place", "word").agg(F.count("*").alias("among")), ["n", "place", "word"])
+    rarest = kept.groupBy("route_idx").agg(F.min(F.struct("among", "place", "word")).alias("w")).select("route_idx", "w.place", "w.word")
+    calls = q.select("*", F.posexplode("q_seg").alias("place", "word")).withColumn("word", F.lower("word"))
+    by_word = calls.join(r.join(rarest, "route_idx"), ["n", "place", "word"]).drop("place", "word")
+    pair = by_word.unionByName(q.join(r.filter("literals = 0"), "n")).filter((F.col("r_method") == "*") | (F.col("r_method") == F.col("q_method")))
     fits = F.forall(F.zip_with("q_seg", "r_seg", lambda a, b: is_param(b) | (F.lower(a) == F.lower(b))), lambda x: x)
     named = F.filter(F.zip_with("q_seg", "r_seg", lambda a, b: F.when(is_param(b), F.concat(F.regexp_replace(b, r"[{}]", ""), F.lit("="), safe_decode(a)))), lambda x: x.isNotNull())
     return pair.filter(fits).select("req_id", "route_idx", "literals", F.array_join(named, ",").alias("params"))

@@ -308,7 +308,13 @@ def budget_prefix(spark, d):
     return admission.budget_prefix(f, ["source"], [F.col("doc_id")], 40_000).groupBy("source").agg(F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"))
 
 
-@query()
+@query(
+    """, o AS (SELECT user_id % 64 AS run_id, event_id AS seq, epoch_us(ts) // 1000 AS ts_ms, row_number() OVER (PARTITION BY user_id % 64 ORDER BY event_id) AS k FROM events),
+ c AS (SELECT run_id, seq, ts_ms, k, true AS admitted, 1 AS total, [ts_ms] AS recent FROM o WHERE k = 1
+ UNION ALL SELECT run_id, seq, ts_ms, k, ok, total + ok::INT, CASE WHEN ok THEN list_append(rest, ts_ms) ELSE rest END FROM (SELECT *, total < 100 AND len(rest) < 5 AS ok FROM (
+  SELECT o.run_id, o.seq, o.ts_ms, o.k, c.total, c.recent[coalesce(list_position(list_transform(c.recent, lambda x: x > o.ts_ms - 1000), true), len(c.recent) + 1):] AS rest
+  FROM c JOIN o ON o.run_id = c.run_id AND o.k = c.k + 1))) SELECT run_id, seq, ts_ms, admitted FROM c"""
+)
 def rate_limit(spark, d):
     e = B.table(spark, d, "events").select((F.col("user_id") % 64).alias("run_id"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
     return admission.rate_limit(e)
@@ -437,33 +443,43 @@ def ext_session_counts(spark, d):
 
 # --- reports ---------------------------------------------------------------------------------
 
-DRAFT_SQL = "title, category, cwe, severity, confidence, source, file_path, line_start, line_end, evidence"
 
+def _report(spark, d, item: str, whole: str = "to_json(items)") -> DataFrame:
+    """A JSON document for each scan, of one item for each of its findings."""
+    return B.findings(spark, d, repo=False).groupBy("scan_id").agg(F.collect_list(F.expr(item)).alias("items")).select(F.expr(whole).alias("json"))
 
-def _drafts(rows: str) -> str:
-    return f"SELECT title, category, cwe, severity, confidence, source, file_path, line_start::INT AS line_start, line_end::INT AS line_end, evidence FROM (VALUES {rows}) AS t({DRAFT_SQL})"
 
-
-@query(_drafts("('eval', 'js.lang.eval', 'CWE-95', 'high', 'high', 'static_analysis', 'a.ts', 3, 4, 'eval(x)'), ('log', 'js.log', 'CWE-1', 'low', 'medium', 'static_analysis', 'b.ts', 7, 7, NULL), ('odd', 'odd', NULL, 'medium', 'medium', 'static_analysis', 'c.ts', 1, 1, NULL)"), views=False)
+@query(
+    """ SELECT category AS title, 'js.' || category AS category, CASE source WHEN 'web_security' THEN 'CWE-1' ELSE 'CWE-95' END AS cwe, CASE severity WHEN 'critical' THEN 'high' WHEN 'high' THEN 'high' WHEN 'low' THEN 'low' ELSE 'medium' END AS severity,
+ CASE confidence WHEN 'high' THEN 'high' WHEN 'low' THEN 'low' ELSE 'medium' END AS confidence, 'static_analysis' AS source, file_path, line_start::INT AS line_start, line_end::INT AS line_end, finding_id AS evidence FROM findings"""
+)
 def src_pattern_report(spark, d):
-    doc = """{"results":[{"check_id":"js.lang.eval","path":"a.ts","start":{"line":3},"end":{"line":4},"extra":{"severity":"ERROR","lines":"eval(x)","metadata":{"confidence":"HIGH","cwe":["CWE-95","CWE-96"]}}},
-    {"check_id":"js.log","path":"b.ts","start":{"line":7},"end":{"line":7},"extra":{"severity":"INFO","metadata":{"cwe":"CWE-1"}}},
-    {"check_id":"odd","path":"c.ts","start":{"line":1},"end":{"line":1},"extra":{}}]}"""
-    return reports.pattern_report(spark.createDataFrame([(doc,), ("not json",)], "json string")).select(*reports.DRAFT)
+    level = "CASE severity WHEN 'critical' THEN 'ERROR' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'WARNING' WHEN 'low' THEN 'INFO' END"
+    cwe = "CASE source WHEN 'web_security' THEN array('CWE-1') ELSE array('CWE-95', 'CWE-96') END"
+    item = f"named_struct('check_id', 'js.' || category, 'path', file_path, 'start', named_struct('line', line_start), 'end', named_struct('line', line_end), 'extra', named_struct('severity', {level}, 'lines', finding_id, 'metadata', named_struct('confidence', upper(confidence), 'cwe', {cwe})))"
+    return reports.pattern_report(_report(spark, d, item, "to_json(named_struct('results', items))")).select(*reports.DRAFT)
 
 
-@query(_drafts("('Key', 'aws', 'CWE-798', 'critical', 'medium', 'secret_detection', 'k.ts', 2, 2, 'AKI********890'), ('Short', 'pw', 'CWE-798', 'critical', 'medium', 'secret_detection', 'k.ts', 5, 5, '[redacted]')"), views=False)
+@query(
+    """ SELECT severity AS title, category, 'CWE-798' AS cwe, 'critical' AS severity, 'medium' AS confidence, 'secret_detection' AS source, file_path, line_start::INT AS line_start, line_end::INT AS line_end,
+ CASE WHEN status = 'open' THEN '[redacted]' ELSE substr(finding_id, 1, 3) || repeat('*', least(8, length(finding_id) - 6)::INT) || right(finding_id, 3) END AS evidence FROM findings"""
+)
 def src_secret_report(spark, d):
-    doc = '[{"RuleID":"aws","Description":"Key","StartLine":2,"EndLine":2,"Secret":"AKIA1234567890","File":"k.ts"},{"RuleID":"pw","Description":"Short","StartLine":5,"EndLine":5,"Secret":"hunter2","File":"k.ts"}]'
-    return reports.secret_report(spark.createDataFrame([(doc,)], "json string")).select(*reports.DRAFT)
+    item = "named_struct('RuleID', category, 'Description', severity, 'StartLine', line_start, 'EndLine', line_end, 'Secret', CASE WHEN status = 'open' THEN 'hunter2' ELSE finding_id END, 'File', file_path)"
+    return reports.secret_report(_report(spark, d, item)).select(*reports.DRAFT)
 
 
-@query(_drafts("('V-1 in left', 'V-1', NULL, 'medium', 'confirmed', 'dependency_analysis', 'lock.json', NULL, NULL, 'left@1.0 fixed in 1.2'), ('V-2 in left', 'V-2', NULL, 'critical', 'confirmed', 'dependency_analysis', 'lock.json', NULL, NULL, 'left@1.0')"), views=False)
+@query(
+    """ SELECT finding_id || ' in ' || category AS title, finding_id AS category, NULL::VARCHAR AS cwe, CASE severity WHEN 'info' THEN 'medium' ELSE severity END AS severity, 'confirmed' AS confidence, 'dependency_analysis' AS source,
+ 'lock-' || scan_id AS file_path, NULL::INT AS line_start, NULL::INT AS line_end, category || '@v1' || CASE WHEN status IN ('fixed', 'open') THEN ' fixed in ' || status ELSE '' END AS evidence FROM findings"""
+)
 def src_dependency_report(spark, d):
-    doc = """{"results":[{"source":{"path":"lock.json"},"packages":[{"package":{"name":"left","version":"1.0","ecosystem":"npm"},"vulnerabilities":[
-    {"id":"V-1","affected":[{"ranges":[{"events":[{"introduced":"0"},{"fixed":"1.2"}]}]},{"database_specific":{"severity":"MODERATE"}}]},
-    {"id":"V-2","database_specific":{"severity":"CRITICAL"}}]}]},{"source":{"path":"empty"}}]}"""
-    return reports.dependency_report(spark.createDataFrame([(doc,)], "json string")).select(*reports.DRAFT)
+    level = "CASE severity WHEN 'medium' THEN 'MODERATE' WHEN 'info' THEN null ELSE upper(severity) END"
+    events = "array(named_struct('introduced', '0', 'fixed', cast(null as string)), named_struct('introduced', cast(null as string), 'fixed', CASE WHEN status IN ('fixed', 'open') THEN status END))"
+    flaw = f"named_struct('id', finding_id, 'affected', array(named_struct('database_specific', named_struct('severity', {level}), 'ranges', array(named_struct('events', {events})))))"
+    item = f"named_struct('path', 'lock-' || scan_id, 'package', named_struct('package', named_struct('name', category, 'version', 'v1', 'ecosystem', 'npm'), 'vulnerabilities', array({flaw})))"
+    whole = "to_json(named_struct('results', transform(items, x -> named_struct('source', named_struct('path', x.path), 'packages', array(x.package)))))"
+    return reports.dependency_report(_report(spark, d, item, whole)).select(*reports.DRAFT)
 
 
 @query("SELECT * FROM (VALUES ('GET', '/u/{id}', 'bearer', 'id:path:true,q:query:false'), ('POST', '/u/{id}', '', 'id:path:true'), ('GET', '/h', 'bearer', '')) AS t(method, path, security, parameters)", views=False)
@@ -543,10 +559,10 @@ def pred_blocked_ipv6(spark, d):
     return e.select("event_id", A.blocked_ipv6(ip).alias("blocked"))
 
 
-@query("SELECT * FROM (VALUES ('a/b/../c', 'a/c'), ('../x', NULL), ('./a//b', 'a/b'), ('a/../../b', NULL), ('', '')) AS t(path, inside)", views=False)
+@query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN page_id || '/c' WHEN 2 THEN page_id || '/b' WHEN 4 THEN '' WHEN 5 THEN rtrim(regexp_replace(url, '/+', '/', 'g'), '/') END AS inside FROM pages", views=False)
 def pred_path_within(spark, d):
-    rows = spark.createDataFrame([(x,) for x in ("a/b/../c", "../x", "./a//b", "a/../../b", "")], "path string")
-    return rows.select("path", A.normalized_path(F.col("path")).alias("inside"))
+    given = F.expr("CASE page_id % 6 WHEN 0 THEN page_id || '/b/../c' WHEN 1 THEN '../' || page_id WHEN 2 THEN './' || page_id || '//b' WHEN 3 THEN page_id || '/../../b' WHEN 4 THEN '' ELSE url END")
+    return B.table(spark, d, "pages").select("page_id", A.normalized_path(given).alias("inside"))
 
 
 @query(
@@ -560,17 +576,18 @@ def normalize_host(spark, d):
     return p.withColumn("apex", S.guess_apex(F.col("host")))
 
 
-@query("SELECT * FROM (VALUES ('/admin/x', true), ('/public', false), ('/tmp', true), ('/bot', false)) AS t(path, blocked)", views=False)
+@query(rf"SELECT page_id, page_id % 3 = 0 OR starts_with({PATH_SQL}, '/en/1') AS blocked FROM pages", views=False)
 def src_robots(spark, d):
-    text = "User-agent: bot\nDisallow: /bot\nUser-agent: *\nDisallow: /admin\nDisallow:\nDisallow: /tmp\n"
-    rows = spark.createDataFrame([(x, text) for x in ("/admin/x", "/public", "/tmp", "/bot")], "path string, robots string")
-    return rows.select("path", A.disallowed(F.col("path"), A.disallowed_paths(F.col("robots"))).alias("blocked"))
+    p = B.table(spark, d, "pages").select("page_id", web.path_of(F.col("url")).alias("path"))
+    own = F.when(F.col("page_id") % 3 == 0, F.col("path")).otherwise("")
+    robots = F.concat(F.lit("User-agent: bot\nDisallow: /\nuser-agent: *\r\nDisallow: /en/1\nDisallow:"), own, F.lit("\nAllow: /\n"))
+    return p.select("page_id", A.disallowed(F.col("path"), A.disallowed_paths(robots)).alias("blocked"))
 
 
-@query("SELECT * FROM (VALUES ('https://a/1'), ('https://a/2')) AS t(url)", views=False)
+@query("SELECT page_id, url FROM pages UNION ALL SELECT page_id, url || '#2' FROM pages", views=False)
 def src_sitemap(spark, d):
-    rows = spark.createDataFrame([("<urlset><url><loc>https://a/1</loc></url><url><LOC> https://a/2 </LOC></url></urlset>",)], "xml string")
-    return rows.select(F.explode(A.sitemap_urls(F.col("xml"))).alias("url"))
+    xml = F.concat(F.lit("<urlset><url><loc>"), "url", F.lit("</loc></url><url><LOC> "), "url", F.lit("#2 </LOC></url></urlset>"))
+    return B.table(spark, d, "pages").select("page_id", F.explode(A.sitemap_urls(xml)).alias("url"))
 
 
 # --- graph, nested results, more joins ----------------------------------------------------------------
@@ -582,24 +599,32 @@ def graph_build(spark, d):
     return graph.first_by(graph.node_ids(n), ["id"], [F.col("finding_id")]).select("id", "finding_id")
 
 
-@query(", fn AS (SELECT finding_id AS fn_id, file_path, line_start AS first, line_start + 25 AS last FROM findings WHERE scan_id % 7 = 0) SELECT call_id, fn_id FROM (SELECT c.finding_id AS call_id, fn.fn_id, row_number() OVER (PARTITION BY c.finding_id ORDER BY fn.first DESC, fn.fn_id DESC) AS k FROM findings c JOIN fn ON fn.file_path = c.file_path AND fn.first <= c.line_start AND c.line_start <= fn.last WHERE c.scan_id % 7 = 1) WHERE k = 1")
+@query(", fn AS (SELECT finding_id AS fn_id, file_path, line_start AS first, line_start + 25 AS last FROM findings) SELECT call_id, fn_id FROM (SELECT c.finding_id AS call_id, fn.fn_id, row_number() OVER (PARTITION BY c.finding_id ORDER BY fn.first DESC, fn.fn_id DESC) AS k FROM findings c JOIN fn ON fn.file_path = c.file_path AND fn.first <= c.line_end AND c.line_end <= fn.last) WHERE k = 1")
 def join_scope(spark, d):
     f = B.findings(spark, d, repo=False)
-    fn = f.filter("scan_id % 7 = 0").select(F.col("finding_id").alias("fn_id"), "file_path", F.col("line_start").alias("first"), (F.col("line_start") + 25).alias("last"))
-    return graph.enclosing(f.filter("scan_id % 7 = 1").select(F.col("finding_id").alias("call_id"), "file_path", F.col("line_start").alias("pos")), fn)
+    fn = f.select(F.col("finding_id").alias("fn_id"), "file_path", F.col("line_start").alias("first"), (F.col("line_start") + 25).alias("last"))
+    return graph.enclosing(f.select(F.col("finding_id").alias("call_id"), "file_path", F.col("line_end").alias("pos")), fn)
 
 
-@query("SELECT * FROM (VALUES (1, 'AUTHZ-001', 'high', 85), (5, 'AUTHZ-001', 'medium', 70)) AS t(call_id, rule, severity, score)", views=False)
+@query(
+    """ SELECT scan_id AS call_id, 'AUTHZ-001' AS rule, CASE WHEN trigger IN ('1-URGENT', '2-HIGH') THEN 'high' ELSE 'medium' END AS severity, CASE WHEN trigger IN ('1-URGENT', '2-HIGH') THEN 85 ELSE 70 END AS score
+ FROM scans WHERE scan_status <> 'QUEUED' AND repo_id >= 5 AND trigger <> '5-LOW'"""
+)
 def rule_object_access(spark, d):
-    ids = lambda *x: spark.createDataFrame([(k,) for k in x], "call_id int")
-    flows = spark.createDataFrame([(1, "Invoice"), (2, "user"), (3, "user"), (4, "user"), (5, "post")], "call_id int, model string")
-    return graph.object_access(flows, ids(2), ids(3), ids(1, 2, 3, 5))
+    s = B.scans(spark, d).withColumnRenamed("scan_id", "call_id")
+    flows = s.select("call_id", F.expr("CASE trigger WHEN '1-URGENT' THEN 'Invoice' WHEN '2-HIGH' THEN 'user' ELSE 'post' END").alias("model"))
+    ids = lambda p: s.filter(p).select("call_id")
+    return graph.object_access(flows, ids("scan_status = 'QUEUED'"), ids("repo_id < 5"), ids("trigger <> '5-LOW'"))
 
 
-@query("SELECT * FROM (VALUES (1, 'created'), (2, 'updated'), (3, 'skipped_type'), (4, 'skipped_not_eligible'), (5, 'skipped_revoked')) AS t(scope_id, outcome)", views=False)
+@query(
+    """ SELECT scan_id AS scope_id, CASE WHEN trigger IN ('4-NOT SPECIFIED', '5-LOW') THEN 'skipped_type' WHEN scan_status = 'QUEUED' THEN 'skipped_not_eligible' WHEN repo_id < 4 THEN 'skipped_revoked' WHEN repo_id < 12 THEN 'updated' ELSE 'created' END AS outcome FROM scans"""
+)
 def join_scope_sync(spark, d):
-    e = spark.createDataFrame([(1, "URL", True), (2, "DOMAIN", True), (3, "APP", True), (4, "URL", False), (5, "WILDCARD", True)], "scope_id int, kind string, eligible boolean")
-    return graph.scope_sync(e, spark.createDataFrame([(2, False), (5, True)], "scope_id int, revoked boolean"))
+    s = B.scans(spark, d).withColumnRenamed("scan_id", "scope_id")
+    kind = F.expr("CASE trigger WHEN '1-URGENT' THEN 'URL' WHEN '2-HIGH' THEN 'DOMAIN' WHEN '3-MEDIUM' THEN 'WILDCARD' ELSE 'APP' END")
+    entries = s.select("scope_id", kind.alias("kind"), (F.col("scan_status") != "QUEUED").alias("eligible"))
+    return graph.scope_sync(entries, s.filter("repo_id < 12").select("scope_id", (F.col("repo_id") < 4).alias("revoked")))
 
 
 @query(" SELECT org_id, org_name, string_agg(repo_name, ',' ORDER BY repo_name) AS repositories FROM organizations JOIN repositories USING (org_id) GROUP BY org_id, org_name")

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom.functions import addresses, scalars
-from fathom.operators import correlate, guard, readmodel, routes, scoring, web
+from fathom.operators import admission, correlate, graph, guard, readmodel, routes, scoring, web
+from fathom.sources import reports
 
 
 def value(spark, f, *args):
@@ -88,6 +89,49 @@ def test_api_rules_look_at_declared_parameters(spark):
     assert sorted((x.path, x.rule) for x in routes.api_findings(e).collect()) == [("/u/{userId}", "API-104"), ("/v/{id}", "API-101"), ("/w/{width}", "API-103")]
 
 
+def test_pattern_reports(spark):
+    doc = """{"results":[{"check_id":"js.lang.eval","path":"a.ts","start":{"line":3},"end":{"line":4},"extra":{"severity":"ERROR","lines":"eval(x)","metadata":{"confidence":"HIGH","cwe":["CWE-95","CWE-96"]}}},
+    {"check_id":"js.log","path":"b.ts","start":{"line":7},"end":{"line":7},"extra":{"severity":"INFO","metadata":{"cwe":"CWE-1"}}},
+    {"check_id":"odd","path":"c.ts","start":{"line":1},"end":{"line":1},"extra":{}}]}"""
+    got = reports.pattern_report(spark.createDataFrame([(doc,), ("not json",), (None,)], "json string")).select("title", "cwe", "severity", "confidence", "line_end", "evidence")
+    assert sorted(map(tuple, got.collect())) == [("eval", "CWE-95", "high", "high", 4, "eval(x)"), ("log", "CWE-1", "low", "medium", 7, None), ("odd", None, "medium", "medium", 1, None)]
+
+
+def test_secret_and_dependency_reports(spark):
+    doc = '[{"RuleID":"aws","Description":"Key","StartLine":2,"EndLine":2,"Secret":"AKIA1234567890","File":"k.ts"},{"RuleID":"pw","Description":"Short","StartLine":5,"EndLine":5,"Secret":"hunter2","File":"k.ts"}]'
+    got = reports.secret_report(spark.createDataFrame([(doc,)], "json string")).select("title", "evidence")
+    assert sorted(map(tuple, got.collect())) == [("Key", "AKI********890"), ("Short", "[redacted]")]
+    doc = """{"results":[{"source":{"path":"lock.json"},"packages":[{"package":{"name":"left","version":"1.0","ecosystem":"npm"},"vulnerabilities":[
+    {"id":"V-1","affected":[{"ranges":[{"events":[{"introduced":"0"},{"fixed":"1.2"}]}]},{"database_specific":{"severity":"MODERATE"}}]},
+    {"id":"V-2","database_specific":{"severity":"CRITICAL"}}]}]},{"source":{"path":"empty"}}]}"""
+    got = reports.dependency_report(spark.createDataFrame([(doc,)], "json string")).select("title", "severity", "evidence")
+    assert sorted(map(tuple, got.collect())) == [("V-1 in left", "medium", "left@1.0 fixed in 1.2"), ("V-2 in left", "critical", "left@1.0")]
+
+
+def test_enclosing_takes_the_innermost(spark):
+    f = spark.createDataFrame([("all", "a", 0, 1000), ("in", "a", 60, 140), ("tie", "a", 60, 70), ("off", "b", 0, 9), ("null", "a", None, 5)], "fn_id string, file_path string, first int, last int")
+    c = spark.createDataFrame([(1, "a", 64), (2, "a", 128), (3, "a", 141), (4, "b", 10), (5, "a", None), (6, None, 1)], "call_id int, file_path string, pos int")
+    assert sorted(map(tuple, graph.enclosing(c, f).collect())) == [(1, "tie"), (2, "in"), (3, "all")]
+
+
+def test_routes_wait_at_their_rarest_literal(spark):
+    r = spark.createDataFrame([(0, "*", "/a/{x}"), (1, "GET", "/a/b"), (2, "*", "/{x}/{y}"), (3, "*", "/"), (4, "*", "/A/{x}/a")], "route_idx int, method string, pattern string")
+    q = spark.createDataFrame([(1, "get", "/a/B"), (2, "POST", "/a/b"), (3, "GET", "/"), (4, "GET", "/a/a/a"), (5, "GET", None)], "req_id int, method string, path string")
+    got = sorted((x.req_id, x.route_idx, x.params) for x in routes.matches(q, r).collect())
+    assert got == [(1, 0, "x=B"), (1, 1, ""), (1, 2, "x=a,y=B"), (2, 0, "x=b"), (2, 2, "x=a,y=b"), (3, 3, ""), (4, 4, "x=a")]
+
+
+def test_admission_of_nulls_and_empty_tables(spark):
+    kind = "run_id long, seq long, ts_ms long"
+    rows = spark.createDataFrame([(None, 1, 5), (None, 2, 6), (1, 1, None), (1, 2, 7), (1, None, 7)], kind)
+    got = sorted(((x.run_id or 0, x.seq or 0, x.admitted) for x in admission.rate_limit(rows, per_second=1).collect()))
+    assert got == [(0, 1, True), (0, 2, False), (1, 0, True), (1, 1, False), (1, 2, False)]
+    assert admission.rate_limit(rows.limit(0)).count() == 0
+    hour = lambda h: dt.datetime(2026, 1, 1) + dt.timedelta(hours=h)
+    seen = spark.createDataFrame([(1, 1, hour(0)), (1, 2, hour(23)), (1, 3, hour(24)), (1, 4, hour(47)), (1, 5, None), (2, 6, hour(1))], "delivery_id long, event_id long, ts timestamp")
+    assert sorted(x.event_id for x in admission.delivery_dedup(seen).collect()) == [1, 3, 6]
+
+
 def test_fingerprint_has_symbol_and_anchor(spark):
     rows = [("f1", "dep", "a@1", None), ("f2", "dep", "b@2", None), ("f3", "dep", "c@3", "let x")]
     df = spark.createDataFrame([(i, c, s, "high", "high", "dependency_analysis", None, None, None, m) for i, c, s, m in rows], "finding_id string, category string, symbol string, severity string, confidence string, source string, file_path string, line_start int, line_end int, matched_lines string")
