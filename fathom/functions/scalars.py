@@ -32,7 +32,10 @@ def mask_secret(x: Column) -> Column:
 
 
 def redact_url(x: Column) -> Column:
-    return F.regexp_replace(x, r"//[^/@\s]*@", "//[redacted]@")
+    """A URL without its user and password; in what is no URL, they are replaced where they look like it."""
+    whole = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#\s]*@)?[A-Za-z0-9.-]+(:\d{1,5})?([/?#]\S*)?\s*$"
+    bare = F.regexp_replace(F.trim(x), r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#\s]*@", "$1")
+    return F.when(x.rlike(whole), bare).otherwise(F.regexp_replace(x, r"//[^/@\s]+@", "//[redacted]@"))
 
 
 def slugify(x: Column) -> Column:

@@ -56,3 +56,14 @@ def cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
     for name, of in PRICES.items():
         price = [F.when(model == name, F.lit(x)).otherwise(p) for x, p in zip(of, price)]
     return tokens_in / F.lit(1e6) * price[0] + tokens_out / F.lit(1e6) * price[1]
+
+
+def configured(findings: DataFrame, rules: dict) -> DataFrame:
+    """Findings of rules (category) that aren't switched off, with the severity that the rules' (enabled, severity) set; null leaves either as it is."""
+    off = [k for k, (on, _) in rules.items() if on is False]
+    severity = F.col("severity")
+    for k, (_, given) in rules.items():
+        if given is not None:
+            severity = F.when(F.col("category") == k, given).otherwise(severity)
+    kept = findings.filter(~F.coalesce(F.col("category").isin(*off), F.lit(False))) if off else findings
+    return kept.withColumn("severity", severity)

@@ -74,3 +74,11 @@ def evaluate_policies(findings: DataFrame, keys: list[str]) -> DataFrame:
     rules = policy_conditions(findings.columns)
     wide = findings.groupBy(*keys).agg(*[F.sum(c.cast("long")).alias(k) for k, c in rules.items()])
     return wide.unpivot(keys, list(rules), "rule", "offenders").filter("offenders > 0")
+
+
+def policy_passed(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether no finding of the key breaks a policy: one aggregate. Null statuses and severities break none."""
+    broken = F.lit(False)
+    for c in policy_conditions(findings.columns).values():
+        broken = broken | F.coalesce(c, F.lit(False))
+    return findings.groupBy(*keys).agg((~F.bool_or(broken)).alias("passed"))

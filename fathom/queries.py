@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import bindings as B
 from .functions import addresses as A
 from .functions import scalars as S
+from .functions import texts as T
 from .operators import admission, correlate, graph, guard, readmodel, routes, scoring, store, taint, web
 from .schema import CONFIDENCES, OPEN, SEVERITIES, SOURCES
 from .sources import reports
@@ -647,3 +648,107 @@ def scans_by_month(spark, d):
 @query(" SELECT DISTINCT org_id FROM memberships WHERE user_id < 20 UNION SELECT org_id FROM organizations WHERE org_id % 2 = 0")
 def union_distinct(spark, d):
     return B.memberships(spark, d).filter("user_id < 20").select("org_id").union(B.organizations(spark, d).filter("org_id % 2 = 0").select("org_id")).distinct()
+
+
+# --- texts ----------------------------------------------------------------------
+
+
+@query(
+    """SELECT page_id, '{"url":' || to_json(url)::VARCHAR || ',"apiKey":"[redacted]","list":[{"Access_Token":"[redacted]","n":' || page_id || '},null],"deep":{"clientSecret":"[redacted]","ok":true}}' AS redacted FROM pages""",
+    views=False,
+)
+def redact_json_keys(spark, d):
+    inner = F.struct(F.struct("url", F.col("page_id").alias("id")).alias("clientSecret"), F.lit(True).alias("ok")).alias("deep")
+    items = F.array(F.struct(F.lit("t").alias("Access_Token"), F.col("page_id").alias("n")), F.lit(None)).alias("list")
+    return B.table(spark, d, "pages").select("page_id", T.redact_keys(F.to_json(F.struct("url", F.lit("k").alias("apiKey"), items, inner))).alias("redacted"))
+
+
+@query(
+    "SELECT page_id, 'clone of ' || regexp_replace(url, '^([a-z]+://)', '\\1') || ' failed: ' || regexp_replace(url, '^([a-z]+://)', '\\1') AS said FROM pages",
+    views=False,
+)
+def scrub_repo_url(spark, d):
+    given = F.regexp_replace("url", "^([a-z]+://)", "$1u:p@")
+    text = F.concat(F.lit("clone of "), given, F.lit(" failed: "), given)
+    return B.table(spark, d, "pages").select("page_id", T.scrub_url(text, given, S.redact_url(given)).alias("said"))
+
+
+@query("SELECT doc_id, '{\"id\": ' || doc_id || '}' AS candidate FROM documents", views=False)
+def strip_code_fence(spark, d):
+    body = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit("}"))
+    given = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" ```json\n"), body, F.lit("```\n"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```"), body, F.lit("```"))).otherwise(body)
+    return B.table(spark, d, "documents").select("doc_id", T.strip_code_fence(given).alias("candidate"))
+
+
+@query(
+    "SELECT doc_id, sha256(concat_ws(chr(10), '" + T.UNTRUSTED_BEGIN + "', 'Source: ' || source, '" + "', '".join(x.format(reader="the engine") for x in T.UNTRUSTED_LINES) + "', '---', text, '---', '" + T.UNTRUSTED_END + "')) AS prompt_sha256 FROM documents WHERE text IS NOT NULL AND source IS NOT NULL",
+    views=False,
+)
+def wrap_untrusted(spark, d):
+    x = B.table(spark, d, "documents").filter("text is not null and source is not null")
+    return x.select("doc_id", F.sha2(T.wrap_untrusted(F.col("source"), F.col("text"), "the engine"), 256).alias("prompt_sha256"))
+
+
+@query(" SELECT finding_id, '1. [source] ' || category || ' (' || file_path || ':' || line_start || ')' || chr(10) || '2. [sink] ' || source || ' (' || file_path || ':' || line_end || ')' AS trace FROM findings")
+def trace_text(spark, d):
+    step = lambda role, said, line: F.struct(F.lit(role).alias("role"), F.col(said).alias("description"), F.col("file_path"), F.col(line).alias("line"))
+    return B.findings(spark, d, repo=False).select("finding_id", T.trace_text(F.array(step("source", "category", "line_start"), step("sink", "source", "line_end"))).alias("trace"))
+
+
+@query()
+def webhook_signature(spark, d):
+    """SQL has no keyed hash here; tested against the standard library."""
+    e = B.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return e.select("doc_id", T.hmac_sha256(F.col("text"), b"key").alias("signature"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '/v' || p_size || '/{id}' WHEN 1 THEN '/{slug}/' || p_partkey WHEN 2 THEN '/' END AS route FROM part", views=False)
+def next_path(spark, d):
+    given = F.expr(r"CASE p_partkey % 4 WHEN 0 THEN 'src\\app\\(admin)\\v' || p_size || '\\[id]\\route.ts' WHEN 1 THEN 'app/[...slug]/' || p_partkey || '/route.jsx' WHEN 2 THEN 'x/app/(a)/route.js' ELSE 'app/route.ts' END")
+    return B.table(spark, d, "part").select("p_partkey", T.next_path(given).alias("route"))
+
+
+@query(
+    """SELECT page_id, CASE k WHEN 3 THEN NULL WHEN 1 THEN 'http' ELSE 'https' END AS scheme, CASE WHEN k < 3 THEN h END AS host, CASE k WHEN 0 THEN 443 WHEN 1 THEN 80 WHEN 2 THEN 8443 END::INT AS port
+ FROM (SELECT page_id, page_id % 4 AS k, regexp_extract(lower(url), '^[a-z]+://([^/:?#]*)', 1) AS h FROM pages)""",
+    views=False,
+)
+def scope_assets(spark, d):
+    p = B.table(spark, d, "pages").withColumn("h", F.regexp_extract(F.lower("url"), "^[a-z]+://([^/:?#]*)", 1))
+    kind = F.expr("CASE page_id % 4 WHEN 0 THEN ' wildcard' WHEN 3 THEN 'SOURCE_CODE' ELSE 'url' END")
+    given = F.expr("CASE page_id % 4 WHEN 0 THEN '*.' || h WHEN 1 THEN 'http://u:p@' || upper(h) || '/x?y' WHEN 2 THEN h || ':8443/z' ELSE h END")
+    x = p.select("page_id", T.parse_scope_asset(kind, given).alias("a"))
+    return x.select("page_id", F.when(F.col("a").isNotNull(), F.col("a.scheme")).alias("scheme"), F.col("a.host").alias("host"), F.col("a.port").alias("port"))
+
+
+ORIGIN_SQL = "regexp_extract(url, '^[a-z]+://[^/?#]*')"
+
+
+@query(f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN {ORIGIN_SQL} || '/c?d' WHEN 1 THEN {ORIGIN_SQL} || '/b' WHEN 2 THEN 'https://x.org/' END AS link FROM pages", views=False)
+def canonical_links(spark, d):
+    p = B.table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0).alias("o"))
+    given = F.expr("CASE page_id % 4 WHEN 0 THEN '../c?d#e' WHEN 1 THEN '#top' WHEN 2 THEN ' HTTPS://X.org:443#f' ELSE 'mailto:a@b.c' END")
+    page = F.expr("o || CASE WHEN page_id % 4 = 0 THEN '/a/b' ELSE '/b' END")
+    return p.select("page_id", T.canonical_url(given, page).alias("link"))
+
+
+# --- verdicts and totals --------------------------------------------------------
+
+
+@query(
+    f""" SELECT repo_id, count(*) FILTER ((status IN {OPEN_SQL} AND (severity = 'critical' OR source = 'secret_detection')) OR (status = 'confirmed' AND severity IN ('high', 'critical'))) = 0 AS passed FROM findings GROUP BY repo_id"""
+)
+def policy_passed(spark, d):
+    return scoring.policy_passed(B.findings(spark, d), ["repo_id"])
+
+
+@query(f", s AS ({SUPPRESSIONS}) SELECT count(*) AS suppressed FROM findings f WHERE EXISTS (SELECT 1 FROM s WHERE s_file = f.file_path AND s_rule = f.category AND s_line IN (f.line_start, f.line_start - 1))")
+def suppressed_count(spark, d):
+    f = B.findings(spark, d, repo=False)
+    return f.agg(F.count("*").alias("n")).crossJoin(pred_suppressed(spark, d).agg(F.count("*").alias("left"))).select((F.col("n") - F.col("left")).alias("suppressed"))
+
+
+@query(" SELECT finding_id, CASE category WHEN 'c2' THEN 'low' ELSE severity END AS severity FROM findings WHERE category <> 'c1'")
+def rule_config(spark, d):
+    rules = {"c1": (False, "high"), "c2": (None, "low"), "c3": (True, None)}
+    return readmodel.configured(B.findings(spark, d, repo=False), rules).select("finding_id", "severity")
