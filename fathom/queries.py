@@ -235,13 +235,15 @@ def join_route_summary(spark, d):
 
 
 @query(
-    """SELECT * FROM (VALUES ('POST', '/users', 'API-102', 'info'), ('DELETE', '/users/{id}', 'API-102', 'info'), ('DELETE', '/users/{id}', 'API-104', 'info'),
- ('GET', '/admin/{id}', 'API-101', 'low'), ('GET', '/users/{id}', 'API-104', 'info'), ('GET', '/health', 'API-103', 'low')) AS t(method, path, rule, severity)""",
+    """SELECT method, path, rule, severity FROM part JOIN (VALUES (0, 'GET', '/{id}', 'API-104', 'info'), (1, 'POST', '', 'API-102', 'info'), (2, 'DELETE', '/{id}', 'API-102', 'info'), (2, 'DELETE', '/{id}', 'API-104', 'info'),
+ (3, 'GET', '/health', 'API-103', 'low'), (4, 'GET', '/{id}', 'API-101', 'low')) AS t(k, method, rest, rule, severity) ON p_partkey % 5 = k, LATERAL (SELECT '/r' || p_partkey || rest AS path)""",
     views=False,
 )
 def api_inventory_findings(spark, d):
-    declared = spark.createDataFrame([("GET", "/users/{id}", ["bearer"]), ("POST", "/users", None), ("DELETE", "/users/{id}", ["bearer"]), ("GET", "/health", [])], "method string, path string, security array<string>")
-    observed = spark.createDataFrame([("GET", "/users/{id}"), ("GET", "/health"), ("GET", "/admin/{id}")], "method string, pattern string")
+    p = B.table(spark, d, "part").select((F.col("p_partkey") % 5).alias("k"), F.expr("'/r' || p_partkey || element_at(array('/{id}', '', '/{id}', '/health', '/{id}'), int(p_partkey % 5) + 1)").alias("path"))
+    p = p.withColumn("method", F.expr("CASE k WHEN 1 THEN 'POST' WHEN 2 THEN 'DELETE' ELSE 'GET' END"))
+    declared = p.filter("k < 4").select("method", "path", F.expr("CASE k WHEN 1 THEN cast(null AS array<string>) WHEN 3 THEN cast(array() AS array<string>) ELSE array('bearer') END").alias("security"))
+    observed = p.filter("k IN (0, 3, 4)").select("method", F.col("path").alias("pattern"))
     return routes.api_findings(routes.inventory(declared, observed))
 
 
@@ -267,19 +269,26 @@ def html_forms(spark, d):
     return f.select("page_id", F.coalesce("f.action", F.lit("")).alias("action"), "f.method", F.array_join(F.array_sort("f.fields"), ",").alias("fields"))
 
 
+RESPONSE_URL = "CASE page_id % 3 WHEN 2 THEN 'http' ELSE 'https' END || '://h' || page_id || '.org/' || page_id"
+
+
 @query(
-    """SELECT * FROM (VALUES ('https://a/', 'WEB-001', 'high'), ('https://b/', 'WEB-001', 'info'), ('http://c/', 'WEB-001', 'medium'), ('https://a/', 'WEB-002', 'medium'), ('https://a/', 'WEB-003', 'medium'),
- ('https://b/', 'WEB-002', 'low'), ('http://c/', 'WEB-003', 'info'), ('https://b/', 'WEB-006', 'low'), ('http://c/', 'WEB-004', 'medium')) AS t(url, rule, severity)""",
+    f"""SELECT {RESPONSE_URL} AS url, rule, severity FROM pages JOIN (VALUES (0, 'WEB-001', 'high'), (1, 'WEB-001', 'info'), (2, 'WEB-001', 'medium'), (0, 'WEB-002', 'medium'), (0, 'WEB-003', 'medium'), (1, 'WEB-002', 'low'), (2, 'WEB-003', 'info'),
+ (1, 'WEB-006', 'low'), (2, 'WEB-004', 'medium')) AS t(k, rule, severity) ON page_id % 3 = k""",
     views=False,
 )
 def scan_url(spark, d):
-    r = spark.createDataFrame(
-        [
-            ("https://a/", 200, ["session=1; Path=/"], "https://evil", "https://evil", "true", "max-age=1", "ok"),
-            ("https://b/", 200, ["theme=x; HttpOnly"], "https://evil", "*", None, None, "ok"),
-            ("http://c/", 500, ["theme=x; Secure"], "https://evil", "*", "true", None, "Traceback (most recent call last)"),
-        ],
-        "url string, status int, set_cookie array<string>, probe_origin string, allow_origin string, allow_credentials string, hsts string, body string",
+    k = F.col("page_id") % 3
+    pick = lambda *x: F.when(k == 0, x[0]).when(k == 1, x[1]).otherwise(x[2])
+    r = B.table(spark, d, "pages").select(
+        F.expr(RESPONSE_URL).alias("url"),
+        pick(200, 200, 500).alias("status"),
+        F.array(pick("session=1; Path=/", "theme=x; HttpOnly", "theme=x; Secure")).alias("set_cookie"),
+        F.lit("https://evil").alias("probe_origin"),
+        pick("https://evil", "*", "*").alias("allow_origin"),
+        pick("true", None, "true").alias("allow_credentials"),
+        pick("max-age=1", None, None).alias("hsts"),
+        F.concat("html", pick("", "", "Traceback (most recent call last)")).alias("body"),
     )
     out = [web.cors_findings(r), web.cookie_findings(r), web.hsts_findings(r), web.debug_findings(r)]
     whole = out[0].select("url", "rule", "severity")
@@ -483,10 +492,16 @@ def src_dependency_report(spark, d):
     return reports.dependency_report(_report(spark, d, item, whole)).select(*reports.DRAFT)
 
 
-@query("SELECT * FROM (VALUES ('GET', '/u/{id}', 'bearer', 'id:path:true,q:query:false'), ('POST', '/u/{id}', '', 'id:path:true'), ('GET', '/h', 'bearer', '')) AS t(method, path, security, parameters)", views=False)
+@query(
+    """SELECT method, '/u' || p_partkey || rest AS path, security, parameters FROM part JOIN (VALUES ('GET', '/{id}', 'bearer', 'id:path:true,q:query:false'), ('POST', '/{id}', '', 'id:path:true'), ('GET', '/h', 'bearer', '')) AS t(method, rest, security, parameters) ON p_partkey % 10 <> 0""",
+    views=False,
+)
 def src_openapi_endpoints(spark, d):
-    doc = """{"security":[{"bearer":[]}],"paths":{"/u/{id}":{"parameters":[{"name":"id","in":"path"}],"get":{"parameters":[{"name":"q","in":"query"},{"in":"query"}]},"post":{"security":[]}},"/h":{"get":{}}}}"""
-    e = reports.openapi_endpoints(spark.createDataFrame([(doc,), ("broken",)], "json string"))
+    """A document of each part; every tenth is broken."""
+    head, middle, tail = """{"security":[{"bearer":[]}],"paths":{"/u@/{id}":{"parameters":[{"name":"id","in":"path"}],"get":{"parameters":[{"name":"q","in":"query"},{"in":"query"}]},"post":{"security":[]}},"/u@/h":{"get":{}}}}""".split("@")
+    key = F.col("p_partkey").cast("string")
+    docs = F.when(F.col("p_partkey") % 10 == 0, "broken").otherwise(F.concat(F.lit(head), key, F.lit(middle), key, F.lit(tail)))
+    e = reports.openapi_endpoints(B.table(spark, d, "part").select(docs.alias("json")))
     return e.select("method", "path", F.array_join("security", ",").alias("security"), F.array_join(F.transform("parameters", lambda x: F.concat_ws(":", x["name"], x["in"], x["required"].cast("string"))), ",").alias("parameters"))
 
 
