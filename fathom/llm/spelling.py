@@ -103,8 +103,7 @@ def vocabulary(docs: DataFrame, rules: SpellingRules = SpellingRules()) -> DataF
         def out(t: pa.Table):
             for k in range(0, t.num_rows, 1 << 16):
                 part = t.slice(k, 1 << 16)
-                words = pa.array([w.decode("latin-1") for w in part["word"].to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([words, part["n"].combine_chunks()], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([part["word"].combine_chunks().cast(pa.binary()), part["n"].combine_chunks()], names=["word", "n"])
 
         for batch in batches:
             data, offs = text_buffer(batch.column(1))
@@ -122,8 +121,9 @@ def vocabulary(docs: DataFrame, rules: SpellingRules = SpellingRules()) -> DataF
         if held:
             yield from out(summed())
 
-    counted = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(count, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= rules.least_count)
+    counted = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(count, "word binary, n long")
+    often = counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= rules.least_count)
+    return often.select(F.decode("word", "ISO-8859-1").alias("word"), "n")
 
 
 # --- tries --------------------------------------------------------------------
@@ -235,6 +235,154 @@ def neighbours(trie: Trie, word: bytes) -> Iterator[tuple[int, bytes]]:
         node, i = on, i + j
 
 
+#: Words longer than this go through a trie one by one.
+BLOCK_CHARS = 62
+BLOCK_WORDS = 2048
+INSERT, REPLACE, DELETE = range(3)
+
+
+class Blocks:
+    """neighbours() for many words at once: the states of a block of words go down a trie together, as arrays.
+
+    States that have spent their edit are followed to their ends before the
+    words go a code point further, so the descent is depth-first in blocks.
+    """
+
+    def __init__(self, trie: Trie):
+        self.heads = np.frombuffer(trie.heads, np.uint8)
+        self.first, self.at = np.array(trie.first, np.int64), np.array(trie.at, np.int64)
+        self.pool = np.append(np.frombuffer(trie.pool, np.uint8), np.uint8(0))
+        self.n = np.array(trie.n, np.int64)
+        self.size = np.diff(self.at)
+        bit = self._bit(self.heads)
+        self.below = np.zeros(len(self.heads), np.uint64)  # bits of the children's heads
+        held = np.flatnonzero(np.diff(self.first))
+        if len(held):
+            self.below[held] = np.bitwise_or.reduceat(bit, self.first[held])
+        self.after = np.where(self.size > 1, self._bit(self.pool[np.minimum(self.at[:-1] + 1, len(self.pool) - 1)]), self.below)
+        self.ends = (self.size == 1) & (self.n > 0)
+
+    @staticmethod
+    def _bit(c: np.ndarray) -> np.ndarray:
+        return np.uint64(1) << (c & 63).astype(np.uint64)
+
+    def _children(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row and the child of each child of node's rows."""
+        lo = self.first[node]
+        count = self.first[node + 1] - lo
+        row = np.repeat(np.arange(len(node)), count)
+        return row, np.repeat(lo - np.cumsum(count) + count, count) + np.arange(len(row))
+
+    def _step(self, node: np.ndarray, j: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, node, offset) of the states that read char."""
+        inside = j < self.size[node]
+        a = np.flatnonzero(inside)
+        a = a[self.pool[self.at[node[a]] + j[a]] == char[a]]
+        b = np.flatnonzero(~inside)
+        row, child = self._children(node[b])
+        on = self.heads[child] == char[b][row]
+        b, child = b[row[on]], child[on]
+        return np.concatenate([a, b]), np.concatenate([node[a], child]), np.concatenate([j[a] + 1, np.ones(len(b), np.int64)])
+
+    def near(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """(word's place, neighbour's count, edit, place and byte of the edit) of each neighbour."""
+        length = np.array([len(w) for w in words], np.int64)
+        width = int(length.max(initial=0)) + 3
+        chars = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
+        found = []
+        q, node, j = np.arange(len(words)), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for i in range(width - 2):
+            if not len(q):
+                break
+            c = chars[q, i]
+            inside = j < self.size[node]
+            ended = ~inside & (self.n[node] > 0) & (length[q] == i + 1)
+            if ended.any():
+                self._record(found, q[ended], self.n[node[ended]], DELETE, i, np.zeros(int(ended.sum()), np.uint8))
+            a, b = np.flatnonzero(inside), np.flatnonzero(~inside)
+            head = self.pool[self.at[node[a]] + j[a]]
+            on = head == c[a]
+            off = a[~on]
+            here, k = j[off] + 1, node[off]
+            last = here == self.size[k]
+            next_ = np.where(last, self.below[k], self._bit(self.pool[np.minimum(self.at[k] + here, len(self.pool) - 1)]))
+            row, child = self._children(node[b])
+            heads = self.heads[child]
+            same = heads == c[b][row]
+            away = ~same
+            dep = (
+                np.concatenate([q[off], q[b][row[away]]]), np.concatenate([k, child[away]]), np.concatenate([here, np.ones(int(away.sum()), np.int64)]),
+                np.concatenate([head[~on], heads[away]]), np.concatenate([next_, self.after[child[away]]]), np.concatenate([last & (self.n[k] > 0), self.ends[child[away]]]),
+            )
+            self._depart(found, chars, length, i, *dep)
+            q, node, j = np.concatenate([q[a[on]], q[b[row[same]]]]), np.concatenate([node[a[on]], child[same]]), np.concatenate([j[a[on]] + 1, np.ones(int(same.sum()), np.int64)])
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else tuple(np.zeros(0, np.int64) for _ in range(5))
+
+    @staticmethod
+    def _record(found: list, q, n, kind, i, head) -> None:
+        found.append((q, n, np.broadcast_to(kind, q.shape), np.full(len(q), i), head))
+
+    def _depart(self, found, chars, length, i, q, node, j, head, next_, ends) -> None:
+        """The edit is spent on head, which was read at offset j - 1 of node's edge; next_ and ends say what may follow."""
+        size = length[q]
+        states = []
+        for kind, pos in ((INSERT, i), (REPLACE, i + 1), (DELETE, i + 2)):
+            if kind == DELETE:
+                may = (i + 1 < size) & (chars[q, i + 1] == head)
+            else:
+                may = pos <= size
+            over = may & (pos == size)
+            done = np.flatnonzero(over & ends)
+            if len(done):
+                self._record(found, q[done], self.n[node[done]], kind, i, head[done])
+            c = chars[q, np.minimum(pos, chars.shape[1] - 1)]
+            on = np.flatnonzero(may & ~over & ((next_ >> (c & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))
+            states.append((q[on], node[on], j[on], np.full(len(on), pos), np.full(len(on), kind), head[on]))
+        q, node, j, pos, kind, head = (np.concatenate(x) for x in zip(*states))
+        while len(q):
+            row, node, j = self._step(node, j, chars[q, pos])
+            q, pos, kind, head = q[row], pos[row] + 1, kind[row], head[row]
+            over = pos == length[q]
+            done = np.flatnonzero(over & (j == self.size[node]) & (self.n[node] > 0))
+            if len(done):
+                self._record(found, q[done], self.n[node[done]], kind[done], i, head[done])
+            go = ~over
+            q, node, j, pos, kind, head = (x[go] for x in (q, node, j, pos, kind, head))
+
+
+def edited(word: bytes, kind: int, i: int, head: int) -> bytes:
+    return word[:i] + (b"" if kind == DELETE else bytes([head])) + word[i + (kind != INSERT) :]
+
+
+def best_near(tries: list[tuple[Trie, Blocks]], words: list[bytes]) -> tuple[list[int], list[int | None], list[bytes | None]]:
+    """Number of neighbours, and the best one's count and word, of each word over all tries."""
+    total, count, form = [0] * len(words), [None] * len(words), [None] * len(words)
+
+    def better(k: int, n: int, word: bytes) -> None:
+        if count[k] is None or (-n, word) < (-count[k], form[k]):
+            count[k], form[k] = n, word
+
+    short = sorted((k for k, w in enumerate(words) if len(w) <= BLOCK_CHARS), key=words.__getitem__)
+    for lo in range(0, len(short), BLOCK_WORDS):
+        block = short[lo : lo + BLOCK_WORDS]
+        held = [words[k] for k in block]
+        q, n, kind, i, head = (np.concatenate(x) for x in zip(*(b.near(held) for _, b in tries)))
+        most = np.zeros(len(block), np.int64)
+        np.maximum.at(most, q, n)
+        for k, m in zip(block, np.bincount(q, minlength=len(block)).tolist()):
+            total[k] = m
+        top = n == most[q]
+        for x, *edit in zip(*(v[top].tolist() for v in (q, n, kind, i, head))):
+            better(block[x], edit[0], edited(held[x], *edit[1:]))
+    for k, w in enumerate(words):
+        if len(w) > BLOCK_CHARS:
+            for trie, _ in tries:
+                for n, x in neighbours(trie, w):
+                    total[k] += 1
+                    better(k, n, x)
+    return total, count, form
+
+
 # --- Spark --------------------------------------------------------------------
 
 
@@ -301,19 +449,10 @@ def _intersect(held):
         import pickle
 
         tries = [pickle.loads(x) for x in held.value]
+        tries = [(t, Blocks(t)) for t in tries]
         for batch in batches:
-            total, count, form = [], [], []
-            for w in batch.column(0).to_pylist():
-                w = w.encode("latin-1")
-                k, best = 0, None
-                for trie in tries:
-                    for n, x in neighbours(trie, w):
-                        k += 1
-                        if best is None or (-n, x) < best:
-                            best = (-n, x)
-                total.append(k)
-                count.append(None if best is None else -best[0])
-                form.append(None if best is None else best[1].decode("latin-1"))
+            total, count, form = best_near(tries, [w.encode("latin-1") for w in batch.column(0).to_pylist()])
+            form = [None if x is None else x.decode("latin-1") for x in form]
             struct = pa.StructArray.from_arrays([pa.array(count, pa.int64()), pa.array(form, pa.string())], ["n", "form"], mask=pa.array([c is None for c in count]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64()), struct], names=["word", "n", "n_near", "best"])
 

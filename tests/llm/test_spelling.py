@@ -84,6 +84,10 @@ def test_automaton_accepts_each_neighbour_once(seed):
         got = sorted(x for _, x in spelling.neighbours(trie, w))
         assert got == [x for x in words if near(w.decode(), x.decode())]
         assert all(words[n - 1] == x for n, x in spelling.neighbours(trie, w))
+    blocks = spelling.Blocks(trie)
+    asked = words + [b"abca", b"ccccccc", b"a", b"dddd"]
+    got = sorted((asked[q], words[n - 1], spelling.edited(asked[q], kind, i, head)) for q, n, kind, i, head in zip(*(x.tolist() for x in blocks.near(asked))))
+    assert got == sorted((w, x, x) for w in asked for x in words if near(w.decode(), x.decode()))
 
 
 def test_common_prefix():
