@@ -7,7 +7,8 @@ lockstep, one row of a matrix of trees each; long words run alone.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text.
 Special tokens' strings in a text become their ids, as the public library
-does. Symbols that the vocabulary lacks are dropped.
+does. Symbols that the vocabulary lacks are dropped. Repeated rows are encoded
+alike, an empty table gives no rows, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ LOCKSTEP = 256
 #: Trees' cells held at once in lockstep.
 CELLS = 1 << 17
 #: Pieces whose encodings a worker keeps in each of two generations, some 400 bytes each.
-KEPT = 80_000
+KEPT = 160_000
 #: Bytes of text encoded together, so that new words share their lockstep.
 ENCODE_BYTES = 4 << 20
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -63,7 +64,7 @@ class WordBpe:
         self.space = regex.compile(f"[{WHITE}]+")
         self.odd = regex.compile("[\x1c-\x1f]")
         self.path = path
-        self.unassigned = regex.compile(f"[{_unassigned()}]")
+        self.assigned: set[str] = set()
         self.inner = np.array([vocab.get(c, -1) for c in byte_symbols()], np.int64)
         self.last = np.array([vocab.get(c + suffix, -1) for c in byte_symbols()], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
@@ -119,9 +120,18 @@ class WordBpe:
 
         return Tokenizer.from_file(self.path)
 
+    def _unassigned(self, unit: str) -> bool:
+        """Whether Python's tables lack one of the unit's code points; those that they have are remembered."""
+        if self.assigned.issuperset(unit):
+            return False
+        if any(unicodedata.category(c) == "Cn" for c in unit):
+            return True
+        self.assigned.update(unit)
+        return False
+
     def _words(self, unit: str) -> list[str]:
         if not unit.isascii():
-            if self.unassigned.search(unit):
+            if self._unassigned(unit):
                 # code points that this Python's tables don't know: their case and kind are the library's to tell
                 unit = self.lib.normalizer.normalize_str(unit)
                 return [unit[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(unit)]
@@ -302,20 +312,6 @@ class WordBpe:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-@lru_cache(maxsize=1)
-def _unassigned() -> str:
-    """Ranges, for a character class, of the code points that Python's tables call unassigned."""
-    out, begin = [], None
-    for c in range(0x80, 0x110001):
-        free = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
-        if free and begin is None:
-            begin = c
-        elif not free and begin is not None:
-            out.append(f"\\U{begin:08x}-\\U{c - 1:08x}")
-            begin = None
-    return "".join(out)
-
-
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     return WordBpe(path)

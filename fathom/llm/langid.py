@@ -6,9 +6,11 @@ contain it. A document's n-grams are popcounted per language, the expected
 false positives are taken off, and the largest share decides.
 
 Fitting uses a bounded sample: about ``docs_per_lang`` labelled documents of
-each language, chosen by a hash of the document id, the ``grams_per_lang``
-most frequent n-grams of each, and the ``most_langs`` most frequent labels.
-The model's size, which is sent to all tasks, follows from these bounds.
+each language, chosen by a hash of the document id, and the ``grams_per_lang``
+most frequent n-grams of each. Every label is learned: languages go by
+``slice_langs`` to a slice, whose matrix is a file in the shared folder that
+workers map, so memory and what is sent to tasks don't grow with their number;
+the driver holds a name for each.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0,
 as is every text if nothing was learned. Equal shares go to the language with
@@ -20,6 +22,7 @@ replaced; others are carried as they are.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column, small_batches
+from .shared import column, discard, local_path, settle, shared_folder, small_batches, write_file
 from .textkit import chunks, release, text_buffer
 
 GRAM = 4
@@ -36,12 +39,29 @@ _C = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1656
 
 @dataclass
 class LangModel:
+    """langs: most frequent label first; slices: the files of the matrices, each of slice_langs languages but the last; fpr: of each language."""
+
     langs: list[str]
     bits: int
     hashes: int
-    planes: np.ndarray  # (2**bits, words) uint8..uint64: languages' bits
+    slice_langs: int
+    slices: list[str]
     fpr: np.ndarray
 
+    def planes(self, k: int) -> np.ndarray:
+        """(2**bits, words): the bits of slice k's languages."""
+        kind = _mask_type(min(self.slice_langs, len(self.langs) - k * self.slice_langs))
+        return _mapped(self.slices[k], kind.str, self.bits)
+
+
+def _mask_type(n: int) -> np.dtype:
+    return np.dtype(next((t for t, width in (("u1", 8), ("u2", 16), ("u4", 32)) if n <= width), "u8"))
+
+
+@lru_cache(maxsize=256)
+def _mapped(path: str, kind: str, bits: int) -> np.ndarray:
+    return np.memmap(path, kind, "r").reshape(1 << bits, -1)
+
 
 def _cells(g: np.ndarray, k: int, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -70,16 +90,16 @@ def _grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g, ok
 
 
-def fit(labelled: DataFrame, docs_per_lang: int = 3000, grams_per_lang: int = 30_000, most_langs: int = 256, bits: int = 20, hashes: int = 2) -> LangModel:
+def fit(labelled: DataFrame, docs_per_lang: int = 3000, grams_per_lang: int = 30_000, slice_langs: int = 64, bits: int = 20, hashes: int = 2) -> LangModel:
     """labelled: doc_id, text, lang; rows with a null text or lang are left out."""
+    spark = labelled.sparkSession
     rows = labelled.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
-    langs = sorted(sizes, key=lambda x: (-sizes[x], x))
+    sizes = settle(rows.groupBy("lang").agg(F.count("*").alias("n")), "labels")
+    langs = [r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").select("lang").collect()]
     if not langs:
-        return LangModel([], bits, hashes, np.zeros((1 << bits, 1), np.uint8), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for name in langs for x in (name, min(1.0, docs_per_lang / sizes[name]))])
+        return LangModel([], bits, hashes, slice_langs, [], np.zeros(0))
     unit = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1))) / F.lit(float(1 << 30))
-    sample = rows.filter(unit < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
+    sample = rows.join(sizes, "lang").filter(unit * F.col("n") < docs_per_lang).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -99,39 +119,57 @@ def fit(labelled: DataFrame, docs_per_lang: int = 3000, grams_per_lang: int = 30
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = counted.withColumn("r", rank).filter(F.col("r") <= grams_per_lang).select("lang", "gram").toPandas()
-    kind = next(t for t, width in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(langs) <= width or width == 64)
-    width = np.dtype(kind).itemsize * 8
-    planes = np.zeros((1 << bits, -(-len(langs) // width)), kind)
-    fpr = np.zeros(len(langs))
-    for x, name in enumerate(langs):
-        g = top["gram"][top["lang"] == name].to_numpy().astype(np.uint64)
-        for k in range(hashes):
-            planes[_cells(g, k, bits), x // width] |= kind(1 << (x % width))
-        fpr[x] = (((planes[:, x // width] >> kind(x % width)) & kind(1)).mean()) ** hashes
-    return LangModel(langs, bits, hashes, planes, fpr)
-
-
-def _scores(model: LangModel, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """(documents, languages): corrected shares of n-grams that each language contains."""
-    n, langs = len(offs) - 1, len(model.langs)
-    out = np.zeros((n, langs))
-    if len(data) < GRAM or not langs:
-        return out
+    top = settle(counted.withColumn("r", rank).filter(F.col("r") <= grams_per_lang).select("lang", "gram"), "grams")
+    model = LangModel(langs, bits, hashes, slice_langs, [], np.zeros(len(langs)))
+    folder = local_path(shared_folder(spark))
+    for lo in range(0, len(langs), slice_langs):
+        own = langs[lo : lo + slice_langs]
+        kind = _mask_type(len(own))
+        width = 8 * kind.itemsize
+        planes = np.zeros((1 << bits, -(-len(own) // width)), kind)
+        held = top.filter(F.col("lang").isin(own)) if len(langs) > slice_langs else top  # grams_per_lang rows a language
+        held = held.toArrow()
+        number = pc.index_in(held.column("lang"), pa.array(own)).to_numpy()
+        grams = held.column("gram").to_numpy().astype(np.uint64)
+        for x in range(len(own)):
+            g = grams[number == x]
+            for k in range(hashes):
+                planes[_cells(g, k, bits), x // width] |= kind.type(1 << (x % width))
+            model.fpr[lo + x] = (((planes[:, x // width] >> kind.type(x % width)) & kind.type(1)).mean()) ** hashes
+        path = f"{folder}/slice-{lo}"
+        write_file(path, planes.tobytes())
+        model.slices.append(path)
+    discard(sizes, top)
+    return model
+
+
+def _best(model: LangModel, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's language (its number) of the largest share of n-grams, corrected for false positives, and that share: slice by slice, a tie to the earlier language."""
+    n = len(offs) - 1
+    win, share = np.zeros(n, np.int64), np.full(n, -1.0)
+    if len(data) < GRAM:
+        return win, np.zeros(n)
     g, ok = _grams(data, offs)
-    g = g.astype(np.uint64)
-    mask = model.planes[_cells(g, 0, model.bits)]
-    for k in range(1, model.hashes):
-        mask &= model.planes[_cells(g, k, model.bits)]
-    mask[~ok] = 0
-    at = np.minimum(offs[:-1] - offs[0], len(g) - 1)
-    total = np.maximum(np.add.reduceat(ok.astype(np.int64), at), 1)
-    width = mask.dtype.itemsize * 8
-    for x in range(langs):
-        bit = (mask[:, x // width] >> mask.dtype.type(x % width)) & mask.dtype.type(1)
-        hits = np.add.reduceat(bit.astype(np.int64), at) / total
-        out[:, x] = (hits - model.fpr[x]) / max(1e-9, 1 - model.fpr[x])
-    return np.clip(out, 0, 1)
+    g = g[ok].astype(np.uint64)
+    doc = np.repeat(np.arange(n), np.diff(offs))[: len(ok)][ok]
+    cells = [_cells(g, k, model.bits) for k in range(model.hashes)]
+    total = np.maximum(np.bincount(doc, minlength=n), 1)
+    for k in range(len(model.slices)):
+        planes = model.planes(k)
+        mask = planes[cells[0]]
+        for c in cells[1:]:
+            mask &= planes[c]
+        width = 8 * mask.dtype.itemsize
+        lo = k * model.slice_langs
+        for x in range(lo, min(lo + model.slice_langs, len(model.langs))):
+            word, place = divmod(x - lo, width)
+            bit = (mask[:, word] >> mask.dtype.type(place)) & mask.dtype.type(1)
+            # bits are counted for one language at a time: a document's n-grams stand together
+            hits = np.bincount(doc, bit, n) / total
+            s = np.clip((hits - model.fpr[x]) / max(1e-9, 1 - model.fpr[x]), 0, 1)
+            better = s > share
+            win[better], share[better] = x, s[better]
+    return win, np.maximum(share, 0)
 
 
 def predict(docs: DataFrame, model: LangModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -152,15 +190,17 @@ def predict(docs: DataFrame, model: LangModel, text: str = "text", names: tuple[
         known = [bool(m.langs) and x.is_valid and letter.search(x.as_py()) is not None for x in col]
         langs, best = [], []
         for i, j in chunks(offs):
-            s = _scores(m, data[offs[i] : offs[j]], offs[i : j + 1])
-            win = s.argmax(axis=1) if m.langs else np.zeros(j - i, int)
+            win, share = _best(m, data[offs[i] : offs[j]], offs[i : j + 1])
             for k in range(j - i):
                 langs.append(m.langs[win[k]] if known[i + k] else "und")
-                best.append(float(s[k, win[k]]) if known[i + k] else 0.0)
+                best.append(float(share[k]) if known[i + k] else 0.0)
         del data
         release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(best, pa.float64())], ["lang", "share"])
 
     own = [column(c) for c in docs.columns if c not in names]
-    held = docs.select(*own, judged(column(text)).alias("__judged"))
-    return held.select(*[column(c) for c in docs.columns if c not in names], *[F.col("__judged").getField(f).alias(name) for f, name in zip(("lang", "share"), names)])
+    made = "__judged"
+    while made in docs.columns:
+        made += "_"
+    held = docs.select(*own, judged(column(text)).alias(made))
+    return held.select(*own, *[F.col(made).getField(f).alias(name) for f, name in zip(("lang", "share"), names)])

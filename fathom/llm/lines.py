@@ -19,7 +19,8 @@ Defined cases: a null text stays null; empty lines and short ones without a
 word always stay (from threshold * chars_per_edit code points on, lines without
 a word are judged too); lines that allow no edit only meet equal ones; rows that
 repeat id and text are one and both keep a class's earliest line; a null
-doc_id comes first.
+doc_id comes first. An empty table gives no rows. Columns of the results'
+names are replaced, others of any name are carried as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .classfiles import class_files, found_in
 from .jaccard import candidate_lists, candidates, classes_linked, entry_rows, packed_entries, pairs_between, sketch, verified
-from .shared import discard, ranges_for, settle, shared_folder
+from .shared import apart, column, discard, ranges_for, settle, shared_folder, together
 from .textkit import U64, chunks, mix64, powers, text_buffer
 
 LEAST = np.iinfo(np.int64).min
@@ -274,7 +275,8 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """docs with the text's later lines of each class removed, and n_lines, n_dropped, chars_left (0 to 1: share of code points in lines that stay)."""
     kept, files = repeated_lines(docs, rules)
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "chars_left")]
-    fields = docs.select(*_keyed(docs), F.struct(*[docs[c] for c in own if c != "text"]).alias("__row"))
+    held = apart(docs.select(*[column(c) for c in own]), "doc_id", "text")
+    fields = held.select(*_keyed(held), F.struct("doc_id", "__rest").alias("__row"))
 
     def run(batches):
         for batch in batches:
@@ -305,4 +307,4 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 
     out = StructType([fields.schema["__row"], StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("chars_left", DoubleType())])
     made = fields.mapInArrow(run, out).select("__row.*", "text", "n_lines", "n_dropped", "chars_left")
-    return made.select(*own, "n_lines", "n_dropped", "chars_left")
+    return together(made, [*own, "n_lines", "n_dropped", "chars_left"])

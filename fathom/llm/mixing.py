@@ -11,6 +11,9 @@ rather than one long ordered scan.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a
 source of its own, last in order; with no words all targets are 0.
+A repeated or null doc_id has one place in the seeded order, where its rows go
+by their texts; an empty table gives no rows. Columns of the results' names
+are replaced, others of any name are carried as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import apart, column, settle, together
 
 #: Words are runs outside space, tab and the controls to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -133,7 +136,8 @@ def mix_sources(docs: DataFrame, rules: MixRules = MixRules(), text: str = "text
     """
     spark = docs.sparkSession
     pattern = F.array(F.col("source")) if members is None else F.array_sort(F.array_distinct(F.col(members)))
-    base = docs.withColumn("__p", pattern).withColumn("__key", F.to_json(F.struct("__p"))).withColumn("size", word_count(F.col(text)))
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    base = apart(docs.select(*[column(c) for c in own]), "doc_id", text, members or "source").withColumn("__p", pattern).withColumn("__key", F.to_json(F.struct("__p"))).withColumn("size", word_count(F.col(text)))
     base = base.withColumn("__h", F.md5(F.concat_ws("|", F.lit(rules.seed), F.col("doc_id").cast("string"))))
     base = base.withColumn("__r", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
     sums = settle(base.groupBy("__key", "__r").agg(F.first("__p").alias("p"), F.sum("size").alias("n")), "ranges")
@@ -169,5 +173,4 @@ def mix_sources(docs: DataFrame, rules: MixRules = MixRules(), text: str = "text
     edge = edge.withColumn("__extra", F.when(2 * F.sum("size").over(order) - F.col("size") <= 2 * F.col("__left"), 1).otherwise(0))
     rest = joined.filter("__state <> 2").withColumn("__extra", F.col("__state"))
     out = edge.unionByName(rest).withColumn("taken", (F.col("size") * (F.col("__rounds") + F.col("__extra"))).cast("long"))
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    return out.select(*own, "size", "source_size", "target", "taken")
+    return together(out, [*own, "size", "source_size", "target", "taken"])
