@@ -1,48 +1,107 @@
 """Taint over fact tables: bounded fixpoint by joins, then rules with their exceptions as anti-joins.
 
 Facts: assigns (fn_id, seq, target, source), calls (call_id, fn_id, seq, name,
-argument, callee), seeds (fn_id, name), params (fn_id, name). A variable is
-tainted from the assignment on; calls pass taint to the callee's parameter,
-at most ``depth`` calls deep.
+argument, position, callee; a row an argument), seeds (fn_id, name), params
+(fn_id, name, position). A variable is tainted from the assignment on; a call
+passes taint to the parameter at the argument's position, at most ``depth``
+calls deep.
+
+Sources, arguments and seeds are property paths: where a.b is tainted, so are
+a.b and a.b.c, but not a or a.d; an index keeps its parent (a[0] is a). A read
+meets the tainted names by equality with each of its prefixes.
+
+Null names and places meet nothing, repeated facts count once, cycles end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
+#: Assignments followed in one job, and jobs after which the written rounds are made one table.
+STEPS, ROUNDS = 4, 8
+
+
+def whole_path(path: Column) -> Column:
+    return F.regexp_replace(path, r"\[[^\]]*\]", "")
+
+
+def prefixes(path: Column) -> Column:
+    """a, a.b, a.b.c of a.b.c."""
+    parts = F.split(whole_path(path), r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+
+
+def reads_of(rows: DataFrame, path: str) -> DataFrame:
+    """rows with each prefix of a path as read."""
+    return rows.filter(F.col(path).isNotNull()).withColumn("read", F.explode(prefixes(F.col(path))))
+
+
+def _follow(now: DataFrame, reads: DataFrame) -> DataFrame:
+    """now and, of each of its names, the targets assigned later, with the earliest place."""
+    j = now.alias("t").join(reads.alias("s"), (F.col("t.fn_id") == F.col("s.fn_id")) & (F.col("t.name") == F.col("s.read")) & (F.col("t.since") < F.col("s.seq")), "left")
+    fact = lambda name, since: F.struct(F.col("t.fn_id").alias("fn_id"), F.col(name).alias("name"), F.col(since).alias("since"))
+    out = j.select(F.explode(F.array(fact("t.name", "t.since"), fact("s.target", "s.seq"))).alias("x")).select("x.*").filter("name is not null")
+    return out.groupBy("fn_id", "name").agg(F.min("since").alias("since"))
+
 
 def propagate(seeds: DataFrame, assigns: DataFrame, calls: DataFrame, params: DataFrame, depth: int = 4) -> DataFrame:
-    """(fn_id, name, since, depth): tainted names and the place from which they are."""
-    tainted = cut(seeds.select("fn_id", "name", F.lit(-1).alias("since"), F.lit(0).alias("depth")))
-    frontier = tainted
+    """(fn_id, name, since, depth): tainted names, the place from which they are, and the calls it took.
+
+    A name has a row for each depth at which it is tainted from an earlier
+    place than at any lesser depth, so the least depth of a hit is right.
+    """
+    reads = reads_of(assigns.select("fn_id", F.col("seq").cast("long").alias("seq"), whole_path(F.col("target")).alias("target"), "source"), "source").drop("source")
+    passed = reads_of(calls.filter("callee is not null").select("fn_id", F.col("seq").cast("long").alias("seq"), "argument", "position", "callee"), "argument")
+    bound = params.select(F.col("fn_id").alias("callee"), "position", whole_path(F.col("name")).alias("bound")).distinct()
+    fresh = cut(seeds.select("fn_id", whole_path(F.col("name")).alias("name"), F.lit(-1).cast("long").alias("since"), F.lit(0).alias("depth")).distinct())
+    tainted, rounds = fresh, 0
     for level in range(depth + 1):
-        while not frontier.isEmpty():
-            step = frontier.alias("t").join(assigns.alias("s"), (F.col("t.fn_id") == F.col("s.fn_id")) & (F.col("t.name") == F.col("s.source")) & (F.col("t.since") < F.col("s.seq")))
-            step = step.groupBy(F.col("s.fn_id").alias("fn_id"), F.col("s.target").alias("name")).agg(F.min("s.seq").alias("since")).withColumn("depth", F.lit(level))
-            frontier = cut(step.join(tainted.select("fn_id", "name"), ["fn_id", "name"], "left_anti").select("fn_id", "name", "since", "depth"))
-            tainted = tainted.unionByName(frontier)
-        flow = tainted.filter(F.col("depth") == level)
-        if level == depth or flow.isEmpty():
+        while True:
+            now = fresh.select("fn_id", "name", "since")
+            for _ in range(STEPS):
+                now = _follow(now, reads)
+            fresh = cut(_earlier(now, tainted).withColumn("depth", F.lit(level)))
+            if fresh.isEmpty():
+                break
+            tainted, rounds = tainted.unionByName(fresh), rounds + 1
+            if rounds % ROUNDS == 0:
+                tainted = cut(tainted.groupBy("fn_id", "name", "depth").agg(F.min("since").alias("since")).select("fn_id", "name", "since", "depth"))
+        if level == depth:
+            break
+        flow = tainted.filter(F.col("depth") == level).groupBy("fn_id", "name").agg(F.min("since").alias("since"))
+        into = passed.alias("c").join(flow.alias("t"), (F.col("c.fn_id") == F.col("t.fn_id")) & (F.col("c.read") == F.col("t.name")) & (F.col("t.since") < F.col("c.seq")))
+        into = into.select("c.callee", "c.position").distinct().join(bound, ["callee", "position"])
+        into = into.select(F.col("callee").alias("fn_id"), F.col("bound").alias("name"), F.lit(-1).cast("long").alias("since")).distinct()
+        fresh = cut(_earlier(into, tainted).withColumn("depth", F.lit(level + 1)))
+        if fresh.isEmpty():
             break
-        into = calls.filter("callee is not null").alias("c").join(flow.alias("t"), (F.col("c.fn_id") == F.col("t.fn_id")) & (F.col("c.argument") == F.col("t.name")) & (F.col("t.since") < F.col("c.seq")))
-        into = into.select(F.col("c.callee").alias("fn_id")).distinct().join(params, "fn_id").select("fn_id", "name", F.lit(-1).alias("since"), F.lit(level + 1).alias("depth"))
-        frontier = cut(into.join(tainted.select("fn_id", "name"), ["fn_id", "name"], "left_anti"))
-        tainted = tainted.unionByName(frontier)
-    return tainted
+        tainted = tainted.unionByName(fresh)
+    return tainted.groupBy("fn_id", "name", "depth").agg(F.min("since").alias("since")).select("fn_id", "name", "since", "depth")
+
+
+def _earlier(now: DataFrame, tainted: DataFrame) -> DataFrame:
+    """Rows of now that are new, or tainted from an earlier place than known."""
+    known = tainted.groupBy("fn_id", "name").agg(F.min("since").alias("__known"))
+    return now.join(known, ["fn_id", "name"], "left").filter("__known is null or since < __known").select("fn_id", "name", "since")
+
+
+def sink_leaves(tainted: DataFrame, calls: DataFrame) -> DataFrame:
+    """Tainted arguments: call_id, fn_id, sink, argument, position, and the least depth."""
+    reads = reads_of(calls.select("call_id", "fn_id", "seq", F.col("name").alias("sink"), "argument", "position"), "argument")
+    hit = reads.alias("c").join(tainted.alias("t"), (F.col("c.fn_id") == F.col("t.fn_id")) & (F.col("c.read") == F.col("t.name")) & (F.col("t.since") < F.col("c.seq")))
+    return hit.groupBy("c.call_id", "c.fn_id", "c.sink", "c.argument", "c.position").agg(F.min("t.depth").alias("depth"))
 
 
 def sink_findings(tainted: DataFrame, calls: DataFrame, rules: DataFrame, transforms: DataFrame, suppressions: DataFrame | None = None) -> DataFrame:
-    """Tainted arguments of sink calls by rule: rules (rule, sink, severity), transforms (fn_id, name, sink) neutralise.
+    """Sink calls with a tainted argument by rule, with the least depth: rules (rule, sink, severity), transforms (fn_id, name, sink) neutralise.
 
     suppressions: (rule, call_id).
     """
-    hit = calls.alias("c").join(tainted.alias("t"), (F.col("c.fn_id") == F.col("t.fn_id")) & (F.col("c.argument") == F.col("t.name")) & (F.col("t.since") < F.col("c.seq")))
-    hit = hit.select("c.call_id", "c.fn_id", F.col("c.name").alias("sink"), "c.argument", "t.depth")
     clean = transforms.select("fn_id", F.col("name").alias("argument"), "sink")
-    found = hit.join(F.broadcast(rules), "sink").join(clean, ["fn_id", "argument", "sink"], "left_anti")
+    found = sink_leaves(tainted, calls).join(F.broadcast(rules), "sink").join(clean, ["fn_id", "argument", "sink"], "left_anti")
     if suppressions is not None:
         found = found.join(suppressions, ["rule", "call_id"], "left_anti")
-    return found.select("call_id", "rule", "severity", "depth").distinct()
+    return found.groupBy("call_id", "rule", "severity").agg(F.min("depth").alias("depth"))

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a temporary one only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under spark.checkpoint.dir, which all executors share; a temporary one only where that is unset and all tasks run in this process, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = _own.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='fathom-')}")
     return f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
 

@@ -11,7 +11,7 @@ from . import bindings as B
 from .functions import addresses as A
 from .functions import scalars as S
 from .functions import texts as T
-from .operators import admission, correlate, graph, guard, readmodel, routes, scoring, store, taint, web
+from .operators import admission, correlate, dominance, graph, guard, readmodel, routes, scoring, store, taint, web
 from .schema import CONFIDENCES, OPEN, SEVERITIES, SOURCES
 from .sources import reports
 
@@ -516,30 +516,171 @@ def sink_sarif(spark, d):
 
 
 @query(
-    """SELECT * FROM (VALUES (1, 'ok', true), (2, 'no_matching_authorization', false), (3, 'unsupported_scheme', false), (4, 'blocked_hostname', false), (5, 'authorization_revoked', false), (6, 'authorization_expired', false),
- (7, 'authorization_not_verified', false), (8, 'tier_exceeds_authorization', false), (9, 'host_resolves_to_blocked_address', false), (10, 'invalid_url', false), (11, 'ok', true), (12, 'path_not_allowed', false), (13, 'host_resolves_to_blocked_address', false), (14, 'blocked_hostname', false)) AS t(req_id, reason, allowed)""",
+    rf"""WITH r AS (SELECT page_id, split_part(url, ':', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, {PATH_SQL} AS path FROM pages),
+ a AS (SELECT scheme, host, min(page_id) AS idx FROM r GROUP BY 1, 2),
+ d AS (SELECT page_id, CASE WHEN idx % 9 = 8 THEN 'no_matching_authorization' WHEN idx % 5 = 0 THEN 'authorization_revoked' WHEN idx % 6 = 1 THEN 'authorization_expired' WHEN idx % 10 = 3 THEN 'authorization_not_verified'
+  WHEN page_id % 4 > idx % 3 OR page_id % 4 > 2 THEN 'tier_exceeds_authorization' WHEN idx % 7 = 6 OR (idx % 3 > 0 AND NOT starts_with(path, '/en') AND NOT starts_with(path, '/de')) THEN 'path_not_allowed'
+  WHEN page_id % 11 = 0 OR page_id % 13 = 0 THEN 'host_resolves_to_blocked_address' ELSE 'ok' END AS reason FROM r JOIN a USING (scheme, host))
+ SELECT page_id AS req_id, reason, reason = 'ok' AS allowed FROM d""",
     views=False,
 )
 def pred_scope_guard(spark, d):
-    urls = ["https://a.io/x", "https://z.io/", "ftp://a.io/", "http://localhost/", "https://r.io/", "https://e.io/", "https://n.io/", "https://a.io/", "https://a.io/", "::", "http://A.io:8080/p", "http://a.io:8080/q", "https://a.io/", "http://[::1]/"]
-    rows = [(k + 1, u, 3 if k == 7 else 1, None if k == 12 else ["::ffff:a01:203"] if k == 8 else ["8.8.8.8", "2001:db8::1"]) for k, u in enumerate(urls)]
-    requests = spark.createDataFrame(rows, "req_id int, url string, tier int, resolved array<string>")
-    late, past = dt.datetime(1999, 1, 1), dt.datetime(1998, 7, 1)
-    a = [(0, "https", "a.io", 443, late, None, past), (1, "https", "r.io", 443, late, past, past), (2, "https", "r.io", 443, late, None, past), (3, "https", "e.io", 443, past, None, past), (4, "https", "n.io", 443, late, None, None), (5, "http", "a.io", 8080, late, None, past)]
-    auth = spark.createDataFrame([(*x[:4], 2, *x[4:], ["/p"] if x[0] == 5 else []) for x in a], "idx int, scheme string, host string, port int, max_tier int, expires_at timestamp_ntz, revoked_at timestamp_ntz, verified_at timestamp_ntz, allowed_path_prefixes array<string>")
-    return guard.decide(requests, auth, now())
+    """Three of five requests reach their path by way of another, allowed one."""
+    p = B.table(spark, d, "pages").withColumn("origin", F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0)).withColumn("rest", F.expr("substr(url, length(origin) + 1)"))
+    way = F.expr(r"CASE page_id % 5 WHEN 0 THEN '/en/%2E.' WHEN 1 THEN '\\en\\x\\..\\..' WHEN 2 THEN '/de/./..' ELSE '' END")
+    resolved = F.expr("CASE WHEN page_id % 13 = 0 THEN cast(null AS array<string>) WHEN page_id % 11 = 0 THEN array('8.8.8.8', '10.0.0.' || page_id % 256) ELSE array('8.8.' || page_id % 256 || '.1') END")
+    requests = p.select(F.col("page_id").alias("req_id"), F.concat("origin", way, "rest").alias("url"), (F.col("page_id") % 4).alias("tier"), resolved.alias("resolved"))
+    a = p.groupBy(A.scheme(F.col("url")).alias("scheme"), A.host(F.col("url")).alias("host")).agg(F.min("page_id").alias("idx")).filter("idx % 9 <> 8")
+    late, past = F.lit(dt.datetime(1999, 1, 1)).cast("timestamp_ntz"), now()
+    a = a.select(
+        "idx", "scheme", F.upper("host").alias("host"), F.when(F.col("scheme") == "https", 443).otherwise(80).alias("port"), (F.col("idx") % 3).alias("max_tier"),
+        F.when(F.col("idx") % 6 == 1, past).otherwise(late).alias("expires_at"), F.when(F.col("idx") % 5 == 0, past).alias("revoked_at"), F.when(F.col("idx") % 10 != 3, past).alias("verified_at"),
+        F.expr("CASE WHEN idx % 7 = 6 THEN cast(null AS array<string>) WHEN idx % 3 > 0 THEN array('/en', '/de') ELSE cast(array() AS array<string>) END").alias("allowed_path_prefixes"),
+    )
+    return guard.decide(requests, a, now())
+
+
+TAINT_SQL = r"""WITH RECURSIVE pa AS (SELECT DISTINCT l_orderkey AS fn, l_linenumber * 2 AS seq, 'v' || l_linenumber % 5 AS target,
+  string_split('v' || l_partkey % 5 || CASE l_suppkey % 4 WHEN 0 THEN '.p' WHEN 2 THEN '.q.r' ELSE '' END, '.') AS source FROM lineitem),
+ ca AS (SELECT l_orderkey * 8 + l_linenumber AS call_id, l_orderkey AS fn, l_linenumber * 2 + 1 AS seq, CASE l_returnflag WHEN 'A' THEN 'query' WHEN 'N' THEN 'fetch' ELSE 'helper' END AS sink,
+  string_split('v' || l_suppkey % 5 || CASE l_partkey % 3 WHEN 0 THEN '.q' ELSE '' END, '.') AS argument, l_suppkey % 2 AS position, CASE l_returnflag WHEN 'R' THEN l_partkey END AS callee FROM lineitem),
+ pr AS (SELECT o_orderkey AS fn, 0 AS position, 'v' || o_custkey % 5 AS bound FROM orders UNION ALL SELECT o_orderkey, 1, 'v' || (o_custkey + 1) % 5 || '.q' FROM orders),
+ moves AS (SELECT fn, array_to_string(source[1:n], '.') AS read, seq, fn AS to_fn, target AS to_name, seq AS to_since, 0 AS more FROM pa, LATERAL (SELECT unnest(generate_series(1, len(source))) AS n)
+  UNION SELECT ca.fn, array_to_string(argument[1:n], '.'), seq, pr.fn, bound, -1, 1 FROM ca JOIN pr ON pr.fn = callee AND pr.position = ca.position, LATERAL (SELECT unnest(generate_series(1, len(argument))) AS n)),
+ t(fn, name, since, depth) AS (SELECT o_orderkey, 'v' || o_custkey % 5, -1, 0 FROM orders WHERE o_orderpriority = '1-URGENT'
+  UNION SELECT to_fn, to_name, to_since, depth + more FROM t JOIN moves ON moves.fn = t.fn AND moves.read = t.name AND t.since < moves.seq WHERE depth + more <= 4),
+ hit AS (SELECT call_id, ca.fn, sink, array_to_string(argument, '.') AS argument, min(depth) AS depth FROM ca JOIN t ON t.fn = ca.fn AND t.since < ca.seq AND (t.name = argument[1] OR t.name = array_to_string(argument, '.')) GROUP BY ALL)"""
+
+
+def _taint(spark, d):
+    """Facts of one function an order: assignments and calls of its lines, parameters, requests of urgent ones."""
+    li, o = B.table(spark, d, "lineitem"), B.table(spark, d, "orders")
+    source = F.expr("'v' || l_partkey % 5 || CASE l_suppkey % 4 WHEN 0 THEN '.p' WHEN 1 THEN '[0]' WHEN 2 THEN '.q.r' ELSE '' END")
+    assigns = li.select(F.col("l_orderkey").alias("fn_id"), (F.col("l_linenumber") * 2).alias("seq"), F.expr("'v' || l_linenumber % 5").alias("target"), source.alias("source")).distinct()
+    calls = li.select(
+        F.expr("l_orderkey * 8 + l_linenumber").alias("call_id"), F.col("l_orderkey").alias("fn_id"), (F.col("l_linenumber") * 2 + 1).alias("seq"),
+        F.expr("CASE l_returnflag WHEN 'A' THEN 'query' WHEN 'N' THEN 'fetch' ELSE 'helper' END").alias("name"), F.expr("'v' || l_suppkey % 5 || CASE l_partkey % 3 WHEN 0 THEN '.q' ELSE '' END").alias("argument"),
+        (F.col("l_suppkey") % 2).cast("int").alias("position"), F.when(F.col("l_returnflag") == "R", F.col("l_partkey")).alias("callee"),
+    )
+    param = lambda k, name: o.select(F.col("o_orderkey").alias("fn_id"), F.lit(k).alias("position"), F.expr(name).alias("name"))
+    params = param(0, "'v' || o_custkey % 5").unionByName(param(1, "'v' || (o_custkey + 1) % 5 || '.q'"))
+    seeds = o.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("fn_id"), F.expr("'v' || o_custkey % 5").alias("name"))
+    return seeds, assigns, calls, params
 
 
-@query("SELECT * FROM (VALUES (1, 'INJ-002', 'critical', 0), (3, 'SSRF-001', 'high', 1)) AS t(call_id, rule, severity, depth)", views=False)
+@query(
+    TAINT_SQL
+    + """, clean AS (SELECT l_orderkey AS fn, 'v' || l_linenumber % 5 AS argument FROM lineitem WHERE l_linestatus = 'F')
+ SELECT call_id, CASE sink WHEN 'query' THEN 'INJ-002' ELSE 'SSRF-001' END AS rule, CASE sink WHEN 'query' THEN 'critical' ELSE 'high' END AS severity, min(depth)::INT AS depth
+ FROM hit WHERE sink <> 'helper' AND NOT (sink = 'query' AND (fn, argument) IN (SELECT fn, argument FROM clean)) GROUP BY ALL""",
+    views=False,
+)
 def taint_rules(spark, d):
-    seeds = spark.createDataFrame([(1, "req.query.id")], "fn_id int, name string")
-    assigns = spark.createDataFrame([(1, 1, "id", "req.query.id"), (1, 2, "sql", "id"), (1, 9, "late", "id"), (1, 3, "num", "id"), (2, 1, "url", "p")], "fn_id int, seq int, target string, source string")
-    calls = spark.createDataFrame([(1, 1, 4, "query", "sql", None), (2, 1, 5, "query", "late", None), (3, 2, 2, "fetch", "url", None), (4, 1, 6, "helper", "id", 2), (5, 1, 7, "exec", "num", None), (6, 1, 8, "query", "id", None)], "call_id int, fn_id int, seq int, name string, argument string, callee int")
-    params = spark.createDataFrame([(2, "p")], "fn_id int, name string")
+    seeds, assigns, calls, params = _taint(spark, d)
     rules = spark.createDataFrame([("INJ-002", "query", "critical"), ("SSRF-001", "fetch", "high"), ("INJ-001", "exec", "critical")], "rule string, sink string, severity string")
-    clean = spark.createDataFrame([(1, "num", "exec")], "fn_id int, name string, sink string")
-    quiet = spark.createDataFrame([("INJ-002", 6)], "rule string, call_id int")
-    return taint.sink_findings(taint.propagate(seeds, assigns, calls, params), calls, rules, clean, quiet)
+    clean = B.table(spark, d, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("fn_id"), F.expr("'v' || l_linenumber % 5").alias("name"), F.lit("query").alias("sink")).distinct()
+    return taint.sink_findings(taint.propagate(seeds, assigns, calls, params), calls, rules, clean)
+
+
+@query(TAINT_SQL + " SELECT call_id, sink, argument, min(depth)::INT AS depth FROM hit GROUP BY ALL", views=False)
+def taint_leaves(spark, d):
+    seeds, assigns, calls, params = _taint(spark, d)
+    return taint.sink_leaves(taint.propagate(seeds, assigns, calls, params), calls).groupBy("call_id", "sink", "argument").agg(F.min("depth").alias("depth"))
+
+
+STATEMENTS_SQL = """WITH li AS (SELECT l_orderkey AS fn, l_linenumber AS i, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_returnflag) AS f, min(l_linestatus) AS o FROM lineitem GROUP BY 1, 2),
+ st AS (SELECT DISTINCT fn, fn * 100 AS id, 'block' AS kind, NULL AS branch, 0 AS a, 10000 AS z, NULL AS g, false AS neg FROM li
+  UNION ALL SELECT fn, fn * 100 + i * 10, 'if', NULL, 1000 * i, CASE f WHEN 'N' THEN 10000 - 10 * i ELSE 1000 * i + 900 END, CASE WHEN p % 4 > 0 THEN 'g' || s % 5 END, s % 2 = 0 FROM li
+  UNION ALL SELECT fn, fn * 100 + i * 10 + 1, 'block', 'then', 1000 * i + 100, CASE f WHEN 'N' THEN 10000 - 10 * i - 3 ELSE 1000 * i + 500 END, NULL, false FROM li
+  UNION ALL SELECT fn, fn * 100 + i * 10 + 2, 'block', 'else', 1000 * i + 501, 1000 * i + 800, NULL, false FROM li WHERE f = 'R'
+  UNION ALL SELECT fn, fn * 100 + i * 10 + 3, CASE p % 2 WHEN 0 THEN 'return' ELSE 'throw' END, NULL, 1000 * i + 200, 1000 * i + 210, NULL, false FROM li WHERE o = 'O'),
+ up AS (SELECT c.id, b.id AS parent, b.z AS parent_z, b.kind AS parent_kind, row_number() OVER (PARTITION BY c.id ORDER BY b.a DESC) AS k FROM st c JOIN st b ON b.fn = c.fn AND b.a < c.a AND c.z <= b.z),
+ s AS (SELECT st.*, parent, parent_z, parent_kind FROM st LEFT JOIN up ON up.id = st.id AND k = 1),
+ spans AS (SELECT q.fn, q.g, x.a, x.z FROM s q JOIN s x ON x.parent = q.id AND x.branch = CASE WHEN q.neg THEN 'else' ELSE 'then' END WHERE q.kind = 'if' AND q.g IS NOT NULL
+  UNION ALL SELECT q.fn, q.g, q.z + 1, q.parent_z FROM s q WHERE q.kind = 'if' AND q.g IS NOT NULL AND q.neg AND q.parent_kind = 'block' AND NOT EXISTS (SELECT 1 FROM s x WHERE x.parent = q.id AND x.branch = 'else')
+   AND EXISTS (SELECT 1 FROM s x JOIN (SELECT parent, arg_max(kind, a) AS ends FROM s GROUP BY 1) y ON y.parent = x.id WHERE x.parent = q.id AND x.branch = 'then' AND y.ends IN ('return', 'throw'))),
+ pts AS (SELECT fn, fn * 10 + i AS id, 1000 * i + p % 1000 AS pos FROM li)"""
+
+
+def _statements(spark, d):
+    """One function an order, one condition a line of it; conditions of lines that are not returned hold all later ones."""
+    li = B.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(k) for k, c in (("p", "l_partkey"), ("s", "l_suppkey"), ("f", "l_returnflag"), ("o", "l_linestatus"))])
+    li = li.withColumnRenamed("l_orderkey", "fn_id").withColumnRenamed("l_linenumber", "i")
+    one = lambda id, kind, branch, first, last, guard="cast(null as string)", negated="false", of=li: of.select("fn_id", *[F.expr(e).alias(k) for k, e in (("stmt_id", id), ("kind", kind), ("branch", branch), ("first", first), ("last", last), ("guard", guard), ("negated", negated))])
+    null = "cast(null as string)"
+    st = one("fn_id * 100", "'block'", null, "0", "10000", of=li.select("fn_id").distinct())
+    st = st.unionByName(one("fn_id * 100 + i * 10", "'if'", null, "1000 * i", "CASE f WHEN 'N' THEN 10000 - 10 * i ELSE 1000 * i + 900 END", "CASE WHEN p % 4 > 0 THEN 'g' || s % 5 END", "s % 2 = 0"))
+    st = st.unionByName(one("fn_id * 100 + i * 10 + 1", "'block'", "'then'", "1000 * i + 100", "CASE f WHEN 'N' THEN 10000 - 10 * i - 3 ELSE 1000 * i + 500 END"))
+    st = st.unionByName(one("fn_id * 100 + i * 10 + 2", "'block'", "'else'", "1000 * i + 501", "1000 * i + 800", of=li.filter("f = 'R'")))
+    st = st.unionByName(one("fn_id * 100 + i * 10 + 3", "CASE p % 2 WHEN 0 THEN 'return' ELSE 'throw' END", null, "1000 * i + 200", "1000 * i + 210", of=li.filter("o = 'O'")))
+    return li, st
+
+
+@query(STATEMENTS_SQL + " SELECT pts.id AS point_id, array_to_string(list_sort(list(DISTINCT g)), ',') AS guards FROM pts JOIN spans ON spans.fn = pts.fn AND pos BETWEEN a AND z GROUP BY 1", views=False)
+def cfg_guards(spark, d):
+    li, st = _statements(spark, d)
+    points = li.select(F.expr("fn_id * 10 + i").alias("point_id"), "fn_id", F.expr("1000 * i + p % 1000").alias("pos"))
+    return dominance.guards_at(points, dominance.guard_spans(st)).groupBy("point_id").agg(F.array_join(F.array_sort(F.collect_set("guard")), ",").alias("guards"))
+
+
+USES_SQL = """, us AS (SELECT fn, 'r' || s % 3 AS name, 1000 * i + 900 + p % 90 AS pos, CASE p % 3 WHEN 0 THEN 'return' WHEN 1 THEN 'response' ELSE 'other' END AS kind FROM li),
+ ls AS (SELECT pts.id AS call_id, li.fn, pts.pos, CASE WHEN li.s % 4 > 0 THEN 'r' || i % 3 END AS result, s % 4 = 0 AND p % 2 = 0 AS answered, CASE f WHEN 'A' THEN 'Invoice' WHEN 'N' THEN 'user' ELSE 'post' END AS model FROM li JOIN pts ON pts.fn = li.fn AND pts.id = li.fn * 10 + i),
+ seen AS (SELECT call_id, ls.fn, ls.pos FROM ls UNION ALL SELECT call_id, us.fn, us.pos FROM ls JOIN us ON us.fn = ls.fn AND us.name = ls.result AND us.kind <> 'other'),
+ guarded AS (SELECT DISTINCT call_id FROM seen JOIN spans ON spans.fn = seen.fn AND seen.pos BETWEEN a AND z),
+ answering AS (SELECT call_id FROM ls WHERE answered OR EXISTS (SELECT 1 FROM us WHERE us.fn = ls.fn AND us.name = ls.result AND us.kind <> 'other'))"""
+
+
+def _lookups(spark, d):
+    """A look-up a line, and what is done with variables after it."""
+    li, st = _statements(spark, d)
+    calls = li.select(
+        F.expr("fn_id * 10 + i").alias("call_id"), "fn_id", F.expr("1000 * i + p % 1000").alias("pos"), F.expr("CASE WHEN s % 4 > 0 THEN 'r' || i % 3 END").alias("result"),
+        F.expr("s % 4 = 0 AND p % 2 = 0").alias("answered"), F.expr("CASE f WHEN 'A' THEN 'Invoice' WHEN 'N' THEN 'user' ELSE 'post' END").alias("model"),
+    )
+    uses = li.select("fn_id", F.expr("'r' || s % 3").alias("name"), F.expr("1000 * i + 900 + p % 90").alias("pos"), F.expr("CASE p % 3 WHEN 0 THEN 'return' WHEN 1 THEN 'response' ELSE 'other' END").alias("kind"))
+    return li, st, calls, uses
+
+
+@query(STATEMENTS_SQL + USES_SQL + " SELECT call_id FROM guarded", views=False)
+def guard_after_fetch(spark, d):
+    _, st, calls, uses = _lookups(spark, d)
+    return dominance.guarded_calls(calls, uses, dominance.guard_spans(st))
+
+
+@query(STATEMENTS_SQL + USES_SQL + " SELECT call_id FROM answering", views=False)
+def reaches_response(spark, d):
+    _, _, calls, uses = _lookups(spark, d)
+    return dominance.responding_calls(calls, uses)
+
+
+LEAVES_SQL = """ lv AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, CASE l_partkey % 3 WHEN 0 THEN 'where' WHEN 1 THEN 'where.AND' ELSE 'data' END AS obj,
+  CASE l_suppkey % 4 WHEN 0 THEN 'ownerId' WHEN 1 THEN 'id' WHEN 2 THEN 'TENANT' ELSE 'title' END AS prop, CASE l_returnflag WHEN 'A' THEN 'req.user.id' WHEN 'N' THEN 'session' ELSE 'id' END AS value, l_linestatus = 'O' AS tainted FROM lineitem),
+ own AS (SELECT DISTINCT l.call_id, l.obj || '.' || l.prop AS path, EXISTS (SELECT 1 FROM lv m WHERE m.call_id = l.call_id AND m.obj = l.obj AND m.prop IN ('ownerId', 'TENANT') AND m.value <> 'id') AS owned FROM lv l WHERE tainted)"""
+
+
+def _leaves(spark, d):
+    return B.table(spark, d, "lineitem").select(
+        F.expr("l_orderkey * 10 + l_linenumber").alias("call_id"),
+        F.expr("CASE l_partkey % 3 WHEN 0 THEN 'where' WHEN 1 THEN 'where.AND' ELSE 'data' END || '.' || CASE l_suppkey % 4 WHEN 0 THEN 'ownerId' WHEN 1 THEN 'id' WHEN 2 THEN 'TENANT' ELSE 'title' END").alias("path"),
+        F.expr("CASE l_returnflag WHEN 'A' THEN 'req.user.id' WHEN 'N' THEN 'session' ELSE 'id' END").alias("value"),
+        (F.col("l_linestatus") == "O").alias("tainted"),
+    )
+
+
+@query("WITH" + LEAVES_SQL + " SELECT call_id, path, owned FROM own", views=False)
+def join_ownership_sibling(spark, d):
+    return dominance.owner_leaves(_leaves(spark, d))
+
+
+@query(
+    STATEMENTS_SQL + USES_SQL + "," + LEAVES_SQL
+    + """ SELECT call_id, 'AUTHZ-001' AS rule, CASE model WHEN 'post' THEN 'medium' ELSE 'high' END AS severity, CASE model WHEN 'post' THEN 70 ELSE 85 END AS score FROM ls
+ WHERE call_id IN (SELECT call_id FROM own WHERE NOT owned) AND call_id NOT IN (SELECT call_id FROM guarded) AND call_id IN (SELECT call_id FROM answering)""",
+    views=False,
+)
+def rule_unprotected_access(spark, d):
+    _, st, calls, uses = _lookups(spark, d)
+    return dominance.unprotected_access(_leaves(spark, d), calls, uses, st)
 
 
 @query(", e AS (SELECT DISTINCT l_partkey AS a, l_suppkey * 31 % 2000 + 1 AS b FROM lineitem) SELECT kind, count(*) AS n FROM (SELECT 'CALLS' AS kind, a, b FROM e UNION SELECT 'NODE', a, a FROM e UNION SELECT 'NODE', b, b FROM e) GROUP BY kind")
