@@ -11,7 +11,7 @@ from . import bindings as B
 from .functions import addresses as A
 from .functions import scalars as S
 from .functions import texts as T
-from .operators import admission, correlate, dominance, graph, guard, readmodel, routes, scoring, store, taint, web
+from .operators import admission, correlate, dominance, graph, guard, modules, providers, readmodel, routes, scoring, store, taint, web
 from .schema import CONFIDENCES, OPEN, SEVERITIES, SOURCES
 from .sources import reports
 
@@ -908,3 +908,121 @@ def suppressed_count(spark, d):
 def rule_config(spark, d):
     rules = {"c1": (False, "high"), "c2": (None, "low"), "c3": (True, None)}
     return readmodel.configured(B.findings(spark, d, repo=False), rules).select("finding_id", "severity")
+
+
+# --- modules and providers -----------------------------------------------------------
+
+#: Files of the parts: a script, a typed script beside a script, folders with an index, declarations, data.
+MODULE_FILES = (
+    "CASE p_size % 6 WHEN 0 THEN ['.ts'] WHEN 1 THEN ['.tsx', '.js'] WHEN 2 THEN ['/index.ts'] WHEN 3 THEN ['.js'] WHEN 4 THEN ['.d.ts', '/index.tsx'] ELSE ['.json'] END"
+)
+#: What items import: the part's module in several spellings, a package, a path that leaves the root.
+SPECIFIERS = (
+    "CASE l_suppkey % 5 WHEN 0 THEN '../d' || (l_partkey % 50) || '/m' || l_partkey WHEN 1 THEN '../d' || (l_partkey % 50) || '/./x/../m' || l_partkey || '.js'"
+    " WHEN 2 THEN 'lib' || (l_partkey % 97) WHEN 3 THEN '../../../m' || l_partkey ELSE '../d' || (l_partkey % 50) || '/m' || l_partkey || '/' END"
+)
+
+
+@query(
+    f"""WITH f AS (SELECT DISTINCT 'src/d' || (p_partkey % 50) || '/m' || p_partkey || unnest({MODULE_FILES}) AS path FROM part),
+i AS (SELECT DISTINCT 'src/d' || (l_orderkey % 50) || '/f' || l_orderkey || '.ts' AS file_path, l_linenumber AS line, l_suppkey % 5 AS w, 'src/d' || (l_partkey % 50) || '/m' || l_partkey AS stem, {SPECIFIERS} AS specifier FROM lineitem),
+c AS (SELECT file_path, line, specifier, unnest(CASE w WHEN 0 THEN ['.ts', '.tsx', '.d.ts', '.js', '.jsx', '', '/index.ts', '/index.tsx', '/index.d.ts', '/index.js', '/index.jsx']
+ WHEN 1 THEN ['.js.ts', '.js.tsx', '.js.d.ts', '.js.js', '.js.jsx', '.ts', '.tsx', '.d.ts', '.js'] WHEN 4 THEN ['/index.ts', '/index.tsx', '/index.d.ts', '/index.js', '/index.jsx'] END) AS ending,
+ unnest(range(11)) AS k, stem FROM i WHERE w IN (0, 1, 4)),
+h AS (SELECT file_path, line, specifier, arg_min(path, k) AS target FROM c JOIN f ON path = stem || ending GROUP BY ALL),
+e AS (SELECT 'file:' || i.file_path || ':' || i.file_path || ':0' AS from_id, coalesce('file:' || target || ':' || target || ':0', 'external_module:~:' || i.specifier) AS to_id, i.line, i.specifier
+ FROM i LEFT JOIN h ON i.file_path = h.file_path AND i.line = h.line AND i.specifier = h.specifier)
+SELECT 'IMPORTS:' || from_id || '=>' || to_id AS id, 'IMPORTS' AS kind, from_id, to_id, min(struct_pack(l := line, s := specifier)).s AS specifier FROM e GROUP BY from_id, to_id""",
+    views=False,
+)
+def join_imports(spark, d):
+    ends = F.expr(MODULE_FILES.replace("[", "array(").replace("]", ")"))
+    part = B.table(spark, d, "part").withColumn("end", F.explode(ends))
+    files = part.select(F.expr("'src/d' || (p_partkey % 50) || '/m' || p_partkey || end").alias("path"))
+    imports = B.table(spark, d, "lineitem").select(F.expr("'src/d' || (l_orderkey % 50) || '/f' || l_orderkey || '.ts'").alias("file_path"), F.col("l_linenumber").alias("line"), F.expr(SPECIFIERS).alias("specifier"))
+    return modules.import_edges(modules.resolve_imports(imports, files))
+
+
+#: Where a part's module takes its name from: the one before it, but for loops of six and names declared in place.
+FROM_MODULE = "CASE WHEN p_partkey % 41 = 0 THEN p_partkey + 5 ELSE p_partkey - 1 END"
+
+
+def _exported(spark, d):
+    part = B.table(spark, d, "part")
+    of = lambda c: F.expr(f"'m' || ({c})")
+    own = part.filter("p_partkey % 37 = 0").select(of("p_partkey").alias("module"), F.lit("f").alias("name"))
+    via = part.select(of("p_partkey").alias("module"), F.lit("f").alias("name"), of(FROM_MODULE).alias("to_module"), F.lit("f").alias("to_name"))
+    return modules.declared_at(own, via)
+
+
+EXPORTED = f"""WITH RECURSIVE p AS (SELECT DISTINCT p_partkey AS k, p_partkey % 37 = 0 AS own, {FROM_MODULE} AS next FROM part),
+w AS (SELECT k, k AS here, own, false AS missing, 0 AS steps FROM p
+ UNION ALL SELECT w.k, p.next, coalesce(q.own, false), q.k IS NULL, steps + 1 FROM w JOIN p ON p.k = w.here LEFT JOIN p q ON q.k = p.next WHERE NOT w.own AND NOT w.missing AND steps < 100),
+x AS (SELECT k, max(CASE WHEN own THEN here END) AS home, CASE WHEN bool_or(own) THEN 'declared' WHEN bool_or(missing) THEN 'missing' ELSE 'cycle' END AS state FROM w GROUP BY k)"""
+
+
+@query(EXPORTED + " SELECT 'm' || k AS module, 'f' AS name, 'm' || home AS at_module, CASE WHEN home IS NOT NULL THEN 'f' END AS at_name, state FROM x", views=False)
+def join_reexports(spark, d):
+    return _exported(spark, d)
+
+
+CALL_ID = "concat_ws('-', {})".format(", ".join(f"CAST({c} AS STRING)" for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
+
+
+@query(
+    EXPORTED
+    + f""", t AS (SELECT DISTINCT p_partkey, unnest(range(p_size % 4)) AS position FROM part)
+ SELECT DISTINCT {CALL_ID} AS call_id, (l_linenumber % 3)::INT AS position, 'a' || l_suppkey AS argument, 'm' || home AS module, 'f' AS function, 'q' || (l_linenumber % 3) AS parameter
+ FROM lineitem JOIN x ON k = l_partkey JOIN t ON p_partkey = home AND position = l_linenumber % 3 WHERE state = 'declared' AND l_suppkey % 9 <> 0""",
+    views=False,
+)
+def join_call_resolution(spark, d):
+    li, part = B.table(spark, d, "lineitem"), B.table(spark, d, "part")
+    file, callee = F.expr("'o' || l_orderkey").alias("file_path"), F.expr("'f' || l_partkey || '_' || (l_suppkey % 9)")
+    calls = li.select(F.expr(CALL_ID).alias("call_id"), file, callee.alias("callee"), (F.col("l_linenumber") % 3).cast("int").alias("position"), F.expr("'a' || l_suppkey").alias("argument"))
+    bindings = li.select(file, callee.alias("local"), F.expr("CASE WHEN l_suppkey % 9 <> 0 THEN 'm' || l_partkey END").alias("target"), F.lit("f").alias("name")).distinct()
+    some = part.filter("p_size % 4 > 0").select("p_partkey", F.explode(F.expr("sequence(0, p_size % 4 - 1)")).alias("position"))
+    parameters = some.select(F.expr("'m' || p_partkey").alias("module"), F.lit("f").alias("function"), F.col("position").cast("int").alias("position"), F.expr("'q' || position").alias("parameter"))
+    return modules.bind_arguments(calls, bindings, _exported(spark, d), parameters)
+
+
+#: Values of records, '@' for the order's key: one below each signature, and near misses.
+NS_VALUES = tuple(f"ns@.{s.replace('#', '@')}" for s, _ in providers.NAMESERVERS) + ("Ada.NS.CLOUDFLARE.COM", "cloudflare.com", "ns@cloudflare.com", "@.awsdns-x.org", "ns@.name.com.", "ns.porkbun.com")
+CNAME_VALUES = tuple(f"c@.{s}" for s, _ in providers.ALIASES) + ("Netlify.App", "mynetlify.com", "github.io", "c@.railway.app", "c@.FLY.dev")
+NS_PATTERNS = [("[.]" + s.replace("#", "[0-9]+").replace(".", "[.]") + "$", p) for s, p in providers.NAMESERVERS]
+CNAME_PATTERNS = [(("(^|[.])" if s in providers.WHOLE else "[.]") + s.replace(".", "[.]") + "$", p) for s, p in providers.ALIASES]
+HOST = "'w' || (k % 4) || '.c' || k || '.example'"
+APEX = "'c' || k || '.example'"
+
+
+def _values(rows):
+    return "(VALUES " + ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(rows)) + ")"
+
+
+def _pick(values, sep):
+    return f"replace({sep[0]}" + ", ".join(f"'{v}'" for v in values) + f"{sep[1]}[{sep[2]}], '@', CAST(o_orderkey AS STRING))"
+
+
+@query(
+    f"""WITH h AS (SELECT DISTINCT {HOST} AS host, {APEX} AS apex FROM (SELECT c_custkey AS k FROM customer)),
+o AS (SELECT o_orderkey, o_custkey AS k FROM orders),
+n AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN {HOST} ELSE {APEX} END AS name, o_orderkey AS position, {_pick(NS_VALUES, ("[", "]", f"o_orderkey % {len(NS_VALUES)} + 1"))} AS value FROM o WHERE k % 5 <> 0),
+m AS (SELECT name, position, value, arg_min(s.p, s.i) AS p FROM n JOIN {_values(NS_PATTERNS)} s(i, r, p) ON regexp_matches(value, r, 'i') GROUP BY ALL),
+b AS (SELECT name, arg_min(p, struct_pack(a := position, b := value)) AS p FROM m GROUP BY name),
+c AS (SELECT name, min(struct_pack(a := position, b := value)).b AS cname FROM (SELECT {HOST} AS name, o_orderkey AS position, {_pick(CNAME_VALUES, ("[", "]", f"o_orderkey % {len(CNAME_VALUES)} + 1"))} AS value FROM o WHERE k % 3 = 0) GROUP BY name),
+a AS (SELECT {HOST} AS name, bool_or(o_orderkey % 7 < 4) AS pages FROM o WHERE o_orderkey % 2 = 0 GROUP BY 1),
+g AS (SELECT cname, arg_min(s.p, s.i) AS p FROM (SELECT DISTINCT cname FROM c) JOIN {_values(CNAME_PATTERNS)} s(i, r, p) ON regexp_matches(cname, r, 'i') GROUP BY 1)
+SELECT host, host IN (SELECT name FROM n) OR apex IN (SELECT name FROM n) OR c.cname IS NOT NULL OR a.name IS NOT NULL AS resolvable,
+ CASE WHEN host IN (SELECT name FROM n) THEN b1.p ELSE b2.p END AS nameserver_provider, c.cname, coalesce(g.p, CASE WHEN pages THEN 'GitHub Pages' END) AS hosting_provider
+FROM h LEFT JOIN b b1 ON b1.name = host LEFT JOIN b b2 ON b2.name = apex LEFT JOIN c ON c.name = host LEFT JOIN a ON a.name = host LEFT JOIN g ON g.cname = c.cname""",
+    views=False,
+)
+def join_provider_signature(spark, d):
+    o = B.table(spark, d, "orders").withColumn("k", F.col("o_custkey"))
+    at = lambda n: ("array(", ")", f"int(o_orderkey % {n})")
+    hosts = B.table(spark, d, "customer").withColumn("k", F.col("c_custkey")).select(F.expr(HOST).alias("host"))
+    record = lambda name, value: (F.expr(name).alias("name"), F.col("o_orderkey").alias("position"), F.expr(value).alias("value"))
+    ns = o.filter("k % 5 <> 0").select(*record(f"CASE WHEN o_orderkey % 3 = 0 THEN {HOST} ELSE {APEX} END", _pick(NS_VALUES, at(len(NS_VALUES)))))
+    al = o.filter("k % 3 = 0").select(*record(HOST, _pick(CNAME_VALUES, at(len(CNAME_VALUES)))))
+    ad = o.filter("o_orderkey % 2 = 0").select(F.expr(HOST).alias("name"), F.expr("'185.199.' || (108 + o_orderkey % 7) || '.153'").alias("value"))
+    return providers.detect(hosts, ns, al, ad)
