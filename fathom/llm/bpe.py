@@ -33,7 +33,7 @@ LOCKSTEP = 256
 #: Trees' cells held at once in lockstep.
 CELLS = 1 << 17
 #: Pieces whose encodings a worker keeps in each of two generations, some 400 bytes each.
-KEPT = 160_000
+KEPT = 50_000
 #: Bytes of text encoded together, so that new words share their lockstep.
 ENCODE_BYTES = 4 << 20
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -302,6 +302,10 @@ class WordBpe:
             else:
                 cache[u] = (str(u), tokens[u], 1)
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.older.clear()
+
     def encode(self, text: str | None) -> list[int]:
         units = self.units(text or "")
         self.learn(set(units))
@@ -328,28 +332,34 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) ->
     def run(batches):
         bpe = load(tokenizer)
         gc.set_threshold(200_000, 50, 100)  # the caches hold no cycles
-        for batch in batches:
-            data, offs = text_buffer(batch.column(1))
-            for i, j in chunks(offs, ENCODE_BYTES):
-                cut = [bpe.units(data[a:b].tobytes().decode("utf-8", "replace")) for a, b in zip(offs[i:j], offs[i + 1 : j + 1])]
-                bpe.learn(set().union(*cut))
-                got = bpe.cache
-                sizes, ids, texts, lists = [], [], [], []
-                for words in cut:
-                    parts = [e for w in words if (e := got[w])[2]]
-                    line = " ".join([e[0] for e in parts])
-                    sizes.append(sum([e[2] for e in parts]))
-                    ids.append(hashlib.sha256(line.encode()).hexdigest())
-                    texts.append(hashlib.sha256(" ".join([e[1] for e in parts]).encode()).hexdigest())
+        try:
+            for batch in batches:
+                data, offs = text_buffer(batch.column(1))
+                for i, j in chunks(offs, ENCODE_BYTES):
+                    cut = [bpe.units(data[a:b].tobytes().decode("utf-8", "replace")) for a, b in zip(offs[i:j], offs[i + 1 : j + 1])]
+                    bpe.learn(set().union(*cut))
+                    got = bpe.cache
+                    sizes, ids, texts, lists = [], [], [], []
+                    for words in cut:
+                        parts = [e for w in words if (e := got[w])[2]]
+                        line = " ".join([e[0] for e in parts])
+                        sizes.append(sum([e[2] for e in parts]))
+                        ids.append(hashlib.sha256(line.encode()).hexdigest())
+                        texts.append(hashlib.sha256(" ".join([e[1] for e in parts]).encode()).hexdigest())
+                        if with_ids:
+                            lists.append([int(x) for x in line.split()])
+                    cols = [batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
+                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                     if with_ids:
-                        lists.append([int(x) for x in line.split()])
-                cols = [batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    cols.append(pa.array(lists, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-                del cut, parts, cols, sizes, ids, texts, lists
-                release()
+                        cols.append(pa.array(lists, pa.list_(pa.int32())))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+                    del cut, parts, cols, sizes, ids, texts, lists
+                    release()
+        finally:
+            # idle workers keep the model, not its pieces: the executor's memory is for the next stage
+            bpe.forget()
+            gc.collect()
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(run, COLUMNS + (", ids array<int>" if with_ids else ""))
