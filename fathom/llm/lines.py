@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .classfiles import class_files, found_in
 from .jaccard import candidate_lists, candidates, classes_linked, entry_rows, packed_entries, pairs_between, sketch, verified
 from .shared import apart, column, discard, ranges_for, settle, shared_folder, together
-from .textkit import U64, chunks, mix64, powers, text_buffer
+from .textkit import U64, chunks, mix64, powers, text_buffer, tidy
 
 LEAST = np.iinfo(np.int64).min
 
@@ -219,6 +219,7 @@ def repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[dic
     shards = files = ranges_for(docs)
     keyed = docs.select(*_keyed(docs))
 
+    @tidy
     def firsts(batches):
         for batch in batches:
             for ls, own, doc, tie, n in _first_of_batch(batch, rules):
@@ -228,6 +229,7 @@ def repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[dic
     first = keyed.mapInArrow(firsts, "class long, doc long, tie long, place long, n long").groupBy("class").agg(F.min(F.struct("doc", "tie", "place")).alias("at"), F.sum("n").alias("n"))
     first = settle(first.select("class", "at.*", "n"), "firsts")
 
+    @tidy
     def post(batches):
         for batch in batches:
             for ls, own, *_ in _first_of_batch(batch, rules):
@@ -238,6 +240,7 @@ def repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[dic
     wanted = lists.select(F.explode("classes").alias("class")).distinct()
     wanted = class_files(wanted, folder, "wanted", files)
 
+    @tidy
     def texts(batches):
         for batch in batches:
             for ls, own, *_ in _first_of_batch(batch, rules):
@@ -278,6 +281,7 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     held = apart(docs.select(*[column(c) for c in own]), "doc_id", "text")
     fields = held.select(*_keyed(held), F.struct("doc_id", "__rest").alias("__row"))
 
+    @tidy
     def run(batches):
         for batch in batches:
             doc, tie = (batch.column(k).to_numpy().astype(np.int64) for k in range(2))

@@ -7,7 +7,7 @@ white space of that class is ASCII, so byte and code point views agree.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -167,3 +167,16 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # not glibc
         pass
+
+
+def tidy(run):
+    """A function of batches that hands its memory back when its task ends, however it ends."""
+
+    @wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
