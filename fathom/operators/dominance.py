@@ -8,7 +8,8 @@ parser gives them, and first places of a function's statements differ.
 
 A guard is known to hold from the places, not by a walk of each tree: every
 if yields the spans in which its condition is known, and a place lies in
-them or not.
+them or not. A function of few statements is one row, in which they meet each
+other; longer ones are joined statement by statement.
 
 Null keys and places meet nothing; repeated statements count once; empty
 tables give no rows.
@@ -21,9 +22,12 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from .graph import object_access
-from .intervals import inside
+from .intervals import crowded, inside
 
 EXITS = ("return", "throw")
+STATEMENT = ("fn_id", "stmt_id", "kind", "branch", "first", "last", "guard", "negated")
+#: Ifs with a guard: the statement around them, and the places of their arms.
+IFS = ("fn_id", "stmt_id", "guard", "negated", "last", "parent_kind", "parent_last", "then_first", "then_last", "exits", "else_first", "else_last")
 #: Property names that tie a record to its owner, and values of the session. Fixed values.
 OWNER_KEY = r"(?i)^(owner|user|tenant|organization|org|account|customer)(Id)?$|^createdBy$"
 SESSION_VALUE = r"(?i)\b(session|currentUser|current_user|ctx\.user|req\.user|request\.user|auth\.user|authUser)\b"
@@ -68,14 +72,11 @@ def guard_spans(statements: DataFrame) -> DataFrame:
     and, after an if without else whose then statement returns or throws, the
     rest of the block around it if the condition is negated.
     """
-    up = parents(statements)
-    s = cut(statements.distinct().join(up, "stmt_id", "left"))
-    arms = s.filter("branch is not null").join(exiting(s).withColumn("exits", F.lit(True)), "stmt_id", "left")
-    of = lambda b, c: F.max(F.when(F.col("branch") == b, F.col(c)))
-    arms = arms.groupBy(F.col("parent_id").alias("stmt_id")).agg(
-        of("then", "first").alias("then_first"), of("then", "last").alias("then_last"), of("then", "exits").alias("exits"), of("else", "first").alias("else_first"), of("else", "last").alias("else_last")
-    )
-    g = s.filter("kind = 'if' and guard is not null").join(arms, "stmt_id")
+    s = cut(statements.select(*STATEMENT))
+    long = crowded(s, ["fn_id"])
+    g = _short_ifs(s if long is None else s.join(long, "fn_id", "left_anti"))
+    if long is not None:
+        g = g.unionByName(_long_ifs(s.join(long, "fn_id", "left_semi")))
     negated = F.coalesce("negated", F.lit(False))
     span = lambda when, a, b: F.when(when, F.struct(F.col(a).cast("long").alias("from_pos"), F.col(b).cast("long").alias("to_pos")))
     g = g.withColumn("after", F.col("last") + 1)
@@ -86,7 +87,50 @@ def guard_spans(statements: DataFrame) -> DataFrame:
             span(negated & F.col("else_first").isNull() & F.coalesce("exits", F.lit(False)) & (F.col("parent_kind") == "block"), "after", "parent_last"),
         )
     )
-    return g.select("fn_id", "guard", "stmt_id", F.explode(out).alias("x")).select("fn_id", "guard", "stmt_id", "x.*")
+    return cut(g.select("fn_id", "guard", "stmt_id", F.explode(out).alias("x")).select("fn_id", "guard", "stmt_id", "x.*"))
+
+
+def _short_ifs(statements: DataFrame) -> DataFrame:
+    """IFS of functions that are one row each: no statement leaves its row.
+
+    Children begin after their parent, so a fold from the last place to the
+    first knows of each statement's children whether they exit.
+    """
+    f = statements.groupBy("fn_id").agg(F.array_sort(F.collect_set(F.struct("first", *[c for c in STATEMENT if c not in ("fn_id", "first")]))).alias("s"))
+    around = lambda x: F.filter("s", lambda y: (y["first"] < x["first"]) & (x["last"] <= y["last"]) & (y["stmt_id"] != x["stmt_id"]))
+    f = f.select("fn_id", F.transform("s", lambda x: x.withField("p", F.array_max(F.transform(around(x), lambda y: F.struct(y["first"], y["stmt_id"], y["last"], y["kind"]))))).alias("s"))
+    children = lambda x: F.filter("s", lambda c: c["p"]["stmt_id"] == x["stmt_id"])
+
+    def ends(done: Column, x: Column) -> Column:
+        last = F.array_max(F.transform(children(x), lambda c: F.struct(c["first"], c["stmt_id"])))["stmt_id"]
+        arms = F.transform(F.filter(children(x), lambda c: c["branch"].isNotNull() & F.array_contains(done, c["stmt_id"])), lambda c: c["branch"])
+        leaves = x["kind"].isin(*EXITS) | F.when(x["kind"] == "block", F.array_contains(done, last)) | (F.size(F.array_distinct(arms)) == 2)
+        return F.when(F.coalesce(leaves, F.lit(False)), F.array_append(done, x["stmt_id"])).otherwise(done)
+
+    id_type = statements.schema["stmt_id"].dataType.simpleString()
+    f = f.select("fn_id", "s", F.aggregate(F.reverse("s"), F.array().cast(f"array<{id_type}>"), ends).alias("done"))
+    arms = lambda x: F.filter(children(x), lambda c: c["branch"].isNotNull())
+    ifs = F.filter("s", lambda x: (x["kind"] == "if") & x["guard"].isNotNull())
+    g = f.select("fn_id", "done", F.explode(F.transform(ifs, lambda x: F.struct(x.alias("x"), arms(x).alias("arms")))).alias("g")).filter(F.size("g.arms") > 0)
+    g = g.select("fn_id", "done", "g.x.*", "g.arms")
+    of = lambda b, pick: F.array_max(F.transform(F.filter("arms", lambda c: c["branch"] == b), pick))
+    return g.select(
+        "fn_id", "stmt_id", "guard", "negated", "last", F.col("p.kind").alias("parent_kind"), F.col("p.last").alias("parent_last"),
+        of("then", lambda c: c["first"]).alias("then_first"), of("then", lambda c: c["last"]).alias("then_last"), of("then", lambda c: F.array_contains("done", c["stmt_id"])).alias("exits"),
+        of("else", lambda c: c["first"]).alias("else_first"), of("else", lambda c: c["last"]).alias("else_last"),
+    )
+
+
+def _long_ifs(statements: DataFrame) -> DataFrame:
+    """IFS of functions of any length."""
+    up = parents(statements)
+    s = cut(statements.distinct().join(up, "stmt_id", "left"))
+    arms = s.filter("branch is not null").join(exiting(s).withColumn("exits", F.lit(True)), "stmt_id", "left")
+    of = lambda b, c: F.max(F.when(F.col("branch") == b, F.col(c)))
+    arms = arms.groupBy(F.col("parent_id").alias("stmt_id")).agg(
+        of("then", "first").alias("then_first"), of("then", "last").alias("then_last"), of("then", "exits").alias("exits"), of("else", "first").alias("else_first"), of("else", "last").alias("else_last")
+    )
+    return s.filter("kind = 'if' and guard is not null").join(arms, "stmt_id").select(*IFS)
 
 
 def guards_at(points: DataFrame, spans: DataFrame) -> DataFrame:

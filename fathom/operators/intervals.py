@@ -3,8 +3,9 @@
 Widths are powers of RADIX. An interval takes at most 14 cells of a width and
 none of a width above its own, however long it is, and a point 11 keys, so a
 long file or function needs no comparison of its points with its intervals,
-and its rows spread over many keys. Places run from 0 to 2^31 - 1; null places
-and intervals that end before they begin meet nothing.
+and its rows spread over many keys. Keys with few intervals, as most functions
+are, meet them all at once instead: no row is copied. Places run from 0 to
+2^31 - 1; null places and intervals that end before they begin meet nothing.
 """
 
 from __future__ import annotations
@@ -12,7 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 RADIX, LEVELS = 8, 11
+#: Rows of one key, intervals or statements, up to which all of them are compared with each other.
+FEW = 64
 
 
 def cells(first: Column, last: Column) -> Column:
@@ -39,8 +44,22 @@ def keys(place: Column) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("level"), F.floor(place.cast("long") / F.lit(RADIX**k)).cast("long").alias("cell")) for k in range(LEVELS)])
 
 
+def crowded(rows: DataFrame, by: list[str]) -> DataFrame | None:
+    """The keys of more than FEW rows, as a table; None if there are none."""
+    many = cut(rows.groupBy(*by).count().filter(F.col("count") > FEW).select(*by))
+    return None if many.isEmpty() else many
+
+
 def inside(points: DataFrame, spans: DataFrame, by: list[str], place: str = "pos", first: str = "first", last: str = "last") -> DataFrame:
     """Every pair of a point and a span around it, of equal by: all columns of both. Columns of either side other than by must differ in name."""
-    p = points.filter(F.col(place).isNotNull()).withColumn("__at", F.explode(keys(F.col(place))))
-    s = spans.filter(F.col(first) <= F.col(last)).withColumn("__at", F.explode(cells(F.col(first), F.col(last))))
+    p, s = points.filter(F.col(place).isNotNull()), spans.filter(F.col(first) <= F.col(last))
+    many = crowded(s, by)
+    few = s if many is None else s.join(many, by, "left_anti")
+    met = p.join(few, by).filter(F.col(place).between(F.col(first), F.col(last)))
+    return met if many is None else met.unionByName(_by_cells(p.join(many, by, "left_semi"), s.join(many, by, "left_semi"), by, place, first, last))
+
+
+def _by_cells(p: DataFrame, s: DataFrame, by: list[str], place: str, first: str, last: str) -> DataFrame:
+    p = p.withColumn("__at", F.explode(keys(F.col(place))))
+    s = s.withColumn("__at", F.explode(cells(F.col(first), F.col(last))))
     return p.join(s, [*by, "__at"]).drop("__at")

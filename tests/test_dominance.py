@@ -77,6 +77,28 @@ def test_guards_hold_as_a_walk_finds_them(spark):
     assert got == {k: set(g) for k, _, _, g in points if g}
 
 
+def test_long_functions_as_short_ones(spark, monkeypatch):
+    rows, points = [], []
+    for fn in range(8):
+        r, p = tree(random.Random(fn), fn)
+        rows += r
+        points += [(fn * 100_000 + k, fn, pos) for k, (pos, _) in enumerate(p)]
+    st, pts = spark.createDataFrame(rows, STATEMENT), spark.createDataFrame(points, "point_id long, fn_id long, pos int")
+    got = []
+    for few in (1 << 30, 0):
+        monkeypatch.setattr(intervals, "FEW", few)
+        got.append({tuple(x) for x in dominance.guards_at(pts, dominance.guard_spans(st)).collect()})
+    assert got[0] and got[0] == got[1]
+
+
+def test_points_of_short_functions_are_not_copied(spark):
+    pts = spark.createDataFrame([(p, p % 9) for p in range(90)], "pos int, fn_id int")
+    spans = spark.createDataFrame([(k, 10 * k, 10 * k + 40) for k in range(9)], "fn_id int, first int, last int")
+    met = intervals.inside(pts, spans, ["fn_id"])
+    assert "Generate" not in met._jdf.queryExecution().toString()
+    assert {(x.fn_id, x.pos) for x in met.collect()} == {(p % 9, p) for p in range(90) if 10 * (p % 9) <= p <= 10 * (p % 9) + 40}
+
+
 def test_no_statements(spark):
     st, pts = spark.createDataFrame([], STATEMENT), spark.createDataFrame([(1, 1, 5)], "point_id long, fn_id long, pos int")
     assert dominance.guards_at(pts, dominance.guard_spans(st)).collect() == []
