@@ -144,6 +144,30 @@ def test_taint_paths_and_earlier_places(spark):
     assert {x.argument for x in got} == {"late", "a", "a.z"}
 
 
+def test_taint_of_long_functions_as_of_short_ones(spark, monkeypatch):
+    rng = random.Random(5)
+    name = lambda: rng.choice("abcd") + rng.choice(["", "", ".p", "[0]", ".p.q"])
+    seeds = spark.createDataFrame([(f, "a") for f in range(0, 12, 3)], "fn_id int, name string")
+    assigns = spark.createDataFrame([(f, rng.randrange(9), name(), name()) for f in range(12) for _ in range(8)], "fn_id int, seq int, target string, source string")
+    calls = spark.createDataFrame([(k, k % 12, rng.randrange(9), "f", name(), k % 2, rng.randrange(12)) for k in range(60)], "call_id int, fn_id int, seq int, name string, argument string, position int, callee int")
+    params = spark.createDataFrame([(f, rng.choice("abcd"), k) for f in range(12) for k in range(2)], "fn_id int, name string, position int")
+    cuts, cut = [0], taint.cut
+
+    def counted(df):
+        cuts[-1] += 1
+        return cut(df)
+
+    monkeypatch.setattr(taint, "cut", counted)
+    got = []
+    for few in (1 << 30, 0):
+        monkeypatch.setattr(intervals, "FEW", few)
+        got.append({tuple(x) for x in taint.propagate(seeds, assigns, calls, params).collect()})
+        cuts.append(0)
+    assert len({x[3] for x in got[0]}) > 2 and got[0] == got[1]
+    # short functions take two written tables a level, however far their assignments go
+    assert cuts[0] <= 3 + 2 * 5
+
+
 @pytest.mark.parametrize(
     "path, out",
     [("/p/../admin", "/admin"), ("/p/%2e%2E/admin", "/admin"), ("/p/.%2e/admin/.", "/admin/"), ("/../..", "/"), ("/a/./b/", "/a/b/"), ("", "/"), ("/a//b/..", "/a//"), ("/a/..b/%2ec", "/a/..b/%2ec")],
