@@ -149,3 +149,12 @@ def test_entry_without_training_operators():
     import os
 
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).returncode == 0
+
+
+def test_findings_are_dealt_once(spark):
+    rows = [(f"f{k}", "a.ts" if k % 2 else None, k, k, "c", "low", "low", ("ast_pattern", "web_security")[k % 3 == 0]) for k in range(8)]
+    f = spark.createDataFrame(rows, "finding_id string, file_path string, line_start int, line_end int, category string, severity string, confidence string, source string")
+    out = correlate.correlate(f)
+    # by file for those with a line, by group for the rest; an island's findings stay where its file is
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert sorted(x.n_evidence for x in out.collect()) == [4, 4]
