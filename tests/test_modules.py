@@ -134,3 +134,11 @@ def test_detect(spark):
         "z.com": (False, None, None, None),
         "w.v.x.com": (True, "HostGator", None, None),
     }
+
+
+def test_edges_are_gathered_before_ids_are_made(spark):
+    rows = [("a.ts", 3, "x", None), ("a.ts", 1, "x", None), ("a.ts", 2, "./b", "b.ts"), ("a.ts", 1, "./b.js", "b.ts")]
+    e = modules.import_edges(spark.createDataFrame(rows, "file_path string, line int, specifier string, target string"))
+    assert sorted((x.to_id, x.specifier) for x in e.collect()) == [("external_module:~:x", "x"), ("file:b.ts:b.ts:0", "./b.js")]
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file_path" in plan and "hashpartitioning(from_id" not in plan
