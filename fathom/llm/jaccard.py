@@ -384,8 +384,10 @@ def block_pairs(members: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("list").orderBy("comp", "k")) - 1
     dealt = members.withColumn("block", F.floor(place / LIST_BLOCK).cast("long"))
     ends = dealt.groupBy("list", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    i, j = (ends.select("list", F.col("block").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}")) for x in ("i", "j"))
-    met = i.join(j, "list").filter("i <= j and lo_i < hi_j").select("list", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    # a list has a block for each LIST_BLOCK members: they meet in its row, and those of one component don't
+    ends = ends.groupBy("list").agg(F.collect_list(F.struct("block", "lo", "hi")).alias("ends"))
+    met = ends.select("list", "ends", F.explode("ends").alias("i")).select("list", "i", F.explode(F.filter("ends", lambda j: (F.col("i.block") <= j["block"]) & (F.col("i.lo") < j["hi"]))).alias("j"))
+    met = met.select("list", F.col("i.block").alias("i"), F.col("j.block").alias("j"), F.explode(F.array_distinct(F.array("i.block", "j.block"))).alias("block"))
     one = dealt.join(met, ["list", "block"])
     fields = F.struct((F.col("block") != F.col("i")).alias("second"), "k", *[c for c in members.columns if c not in ("list", "k")])
     return one.groupBy("list", "i", "j").agg(F.array_sort(F.collect_list(fields)).alias("e"))
@@ -658,7 +660,10 @@ def classes_linked(lists: DataFrame, tested: DataFrame, judge, between: list) ->
     for step in between:
         named = flat.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).drop("component")
         mixed = named.groupBy("list").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("list")
-        links = settle(step(named.join(mixed, "list").select("list", "k", "class", "n", "small", "comp")), "links")
+        # written once: a list's members are read for their blocks, the blocks' ends and their sketches
+        mixed = settle(named.join(mixed, "list", "left_semi").select("list", "k", "class", "n", "small", "comp"), "mixed")
+        links = settle(step(mixed), "links")
+        discard(mixed)
         if not links.isEmpty():
             found = _merged(found, links)
         discard(links)
