@@ -2,8 +2,8 @@
 
 A document's set is its distinct word shingles as 64-bit hashes; equal sets
 form one class, and links are sought between classes. Sets are taken in one
-global order of shingles: those frequent in a bounded sample last, the rest
-by hash. If J(A, B) >= t and |A| <= |B|, the sets share ceil(t*|B|) shingles,
+global order of shingles: those of cells that all documents fill most last, the
+rest by hash. If J(A, B) >= t and |A| <= |B|, the sets share ceil(t*|B|) shingles,
 so they meet among their first few in that order.
 
 * Light sets, of at most ``boundary`` shingles, enumerate the subsets of
@@ -59,16 +59,17 @@ SCAN_COST = 0.05
 SET_FILE = 16 << 20
 #: Cells of a fine sketch for each shingle.
 FINE = 8
+#: Cells by hash in which a task counts all its documents' shingles, and the cells of a row of counts.
+CELLS, CELL_ROW = 1 << 21, 1 << 15
 
 
 @dataclass(frozen=True)
 class JaccardRules:
     words: int = 5
     percent: int = 75
-    #: Documents, about, whose shingles tell which are frequent, and how often is frequent.
-    sample_docs: int = 4000
+    #: A shingle is frequent that about so many of each so many documents hold.
+    per_docs: int = 4000
     frequent: int = 4
-    most_frequent: int = 1 << 16
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, i: int, j: int, words: int) -> list[np.ndarray]:
@@ -129,21 +130,37 @@ def set_bound(percent: int):
 
 
 def classes(docs: DataFrame, rules: JaccardRules) -> DataFrame:
-    """(doc_id, tie, n, class, sketch) per row of docs; tie is the text's hash; class and sketch are null for the empty set."""
+    """(doc_id, tie, n, class, sketch, part, counts) per row of docs; tie is the text's hash; class and sketch are null for the empty set.
+
+    Rows with a part hold none of these but counts: those of a range of cells by a task's shingles, all of them.
+    """
 
     @tidy
     def run(batches):
+        counts = np.zeros(CELLS, np.int64)
         for batch in batches:
             data, offs = text_buffer(batch.column(1))
             n, c, k = [], [], []
             for i, j in chunks(offs):
-                for s in shingle_sets(data, offs, i, j, rules.words):
+                sets = shingle_sets(data, offs, i, j, rules.words)
+                held = np.concatenate(sets) if sets else np.zeros(0, U64)
+                np.add.at(counts, cell_of(held), 1)
+                for s in sets:
                     n.append(len(s))
                     c.append(class_of(s) if len(s) else None)
                     k.append(sketch(s, len(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(k, pa.binary())], names=["doc_id", "tie", "n", "class", "sketch"])
+            none = pa.nulls(len(n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(k, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+        for at in np.flatnonzero(counts.reshape(-1, CELL_ROW).any(axis=1)).tolist():
+            row = counts[at * CELL_ROW : (at + 1) * CELL_ROW].astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array([at], pa.int32()), pa.array([row], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, n long, class long, sketch binary")
+    names = ["doc_id", "tie", "n", "class", "sketch", "part", "counts"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, n long, class long, sketch binary, part int, counts binary")
+
+
+def cell_of(s: np.ndarray) -> np.ndarray:
+    return (mix64(s ^ U64(0x3C6EF372FE94F82B)) & U64(CELLS - 1)).astype(np.int64)
 
 
 def screened(pairs: DataFrame, sketches: DataFrame, bound) -> DataFrame:
@@ -160,27 +177,27 @@ def screened(pairs: DataFrame, sketches: DataFrame, bound) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def frequent_shingles(docs: DataFrame, rows: int, rules: JaccardRules) -> tuple[np.ndarray, float]:
-    """(frequent shingles of the sample, ascending; length over all rows of the list that a posted rare shingle meets)."""
-    share = min(1.0, rules.sample_docs / max(rows, 1))
-    unit = F.xxhash64(F.lit("jaccard"), "doc_id").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+def frequent_cells(counted: DataFrame, rows: int, rules: JaccardRules) -> tuple[np.ndarray, float]:
+    """(bits of the cells of frequent shingles; length over all rows of the list that a rare shingle meets), by the counts of all documents' shingles.
 
-    @tidy
-    def run(batches):
-        for batch in batches:
-            data, offs = text_buffer(batch.column(0))
-            for i, j in chunks(offs):
-                sets = shingle_sets(data, offs, i, j, rules.words)
-                u, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], names=["s", "n"])
+    A cell's shingles are frequent or rare together, so any set's order is the
+    same everywhere. Cells come in pairs that a hash bit tells apart: two rare
+    shingles add to their difference or take from it, so its square is, on
+    average, the sum of the squares of the list lengths.
+    """
+
+    def total(table: pa.Table) -> pa.Table:
+        held = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([held.tobytes()], pa.binary())})
 
-    counted = docs.filter(unit < share).select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    counted = settle(counted, "sample")
-    # prefixes hold rare shingles: a sampled document meets n - 1 others in a list of n, all documents 1 / share times as many
-    met = counted.filter(F.col("n") < rules.frequent).agg(F.sum(F.col("n") * (F.col("n") - 1)) / F.sum("n")).first()[0] or 0.0
-    top = counted.filter(F.col("n") >= rules.frequent).orderBy(F.desc("n"), "s").limit(rules.most_frequent).select("s").toPandas()
-    discard(counted)
-    return np.sort(top["s"].to_numpy(np.int64).view(U64)), 1.0 + float(met) / share
+    counts = np.zeros(CELLS, np.int64)
+    for r in counted.select("part", "counts").groupBy("part").applyInArrow(total, "part int, counts binary").toLocalIterator():  # CELLS numbers in all
+        counts[r["part"] * CELL_ROW : (r["part"] + 1) * CELL_ROW] = np.frombuffer(r["counts"], np.int64)
+    hot = counts >= counts.sum() / CELLS + rules.frequent * max(1.0, rows / rules.per_docs)
+    pairs, rare = counts.reshape(-1, 2), ~hot.reshape(-1, 2).any(axis=1)
+    held = int(pairs[rare].sum())
+    squares = float(((pairs[rare, 0] - pairs[rare, 1]).astype(float) ** 2).sum())
+    return np.packbits(hot, bitorder="little"), max(1.0, squares / held if held else 1.0)
 
 
 def cost_boundary(percent: int, list_length: float) -> int:
@@ -198,9 +215,8 @@ def _ordered_prefix(s: np.ndarray, hot: np.ndarray, size: int) -> np.ndarray:
     size = min(size, len(s))
     if not len(hot):
         return s[:size]
-    k = np.searchsorted(hot, s)
-    k[k == len(hot)] = 0
-    is_hot = hot[k] == s
+    cell = cell_of(s)
+    is_hot = (hot[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
     rare = s[~is_hot]
     return rare[:size] if len(rare) >= size else np.concatenate([rare, s[is_hot][: size - len(rare)]])
 
@@ -252,7 +268,7 @@ def packed_entries(sig: np.ndarray, e: np.ndarray, shards: int) -> pa.RecordBatc
 
 def entries(docs: DataFrame, hot: np.ndarray, boundary: int, shards: int, rules: JaccardRules) -> DataFrame:
     """(shard, blob): signature entries packed by shard, so that the shuffle moves bytes rather than rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)  # at most most_frequent words
+    shared = docs.sparkSession.sparkContext.broadcast(hot)  # a bit a cell
 
     @tidy
     def run(batches):
@@ -693,9 +709,10 @@ def jaccard_components(docs: DataFrame, rules: JaccardRules = JaccardRules()) ->
 def _labelled(docs: DataFrame, rules: JaccardRules) -> DataFrame:
     """jaccard_components with each row's tie and its component's number, null for the empty set."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = settle(classes(docs, rules), "classes")
+    made = settle(classes(docs, rules), "classes")
+    sized = made.filter("part is null").drop("part", "counts")
     least = sized.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    hot, length = frequent_shingles(docs, sized.count(), rules)
+    hot, length = frequent_cells(made.filter("part is not null"), sized.count(), rules)
     boundary = cost_boundary(rules.percent, length)
     lists = settle(candidate_lists(entries(docs, hot, boundary, ranges_for(docs), rules), rules.percent), "lists")
     sketches = settle(sized.filter("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
