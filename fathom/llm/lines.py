@@ -35,9 +35,13 @@ from pyspark.sql import functions as F
 from .classfiles import class_files, found_in
 from .jaccard import candidate_lists, candidates, classes_linked, entry_rows, packed_entries, pairs_between, sketch, verified
 from .shared import apart, column, discard, ranges_for, settle, shared_folder, together
-from .textkit import U64, chunks, mix64, powers, text_buffer, tidy
+from .textkit import CHUNK_BYTES, U64, chunks, mix64, powers, text_buffer, tidy
 
 LEAST = np.iinfo(np.int64).min
+#: Bytes of text whose lines are looked up at once: their arrays' memory is used again, not asked of the system anew.
+LOOK_BYTES = 1 << 19
+#: Hashes of the first code points; those of others are computed.
+POINT_CODE = mix64(np.arange(1, (1 << 16) + 1, dtype=U64))
 
 
 @dataclass(frozen=True)
@@ -57,22 +61,27 @@ class Lines:
     def __init__(self, data: np.ndarray, offs: np.ndarray, i: int, j: int, rules: LineRules):
         raw = data[offs[i] : offs[j]]
         self.points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
-        lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-        own = lead[offs[i : j + 1] - offs[i]]
+        own = offs[i : j + 1] - offs[i]
+        own = own - np.searchsorted(np.flatnonzero((raw & 0xC0) == 0x80), own)
         nl = np.flatnonzero(self.points == 10)
         start = np.sort(np.concatenate([own[:-1], nl + 1]), kind="stable")
         end = np.sort(np.concatenate([nl, own[1:]]), kind="stable")
         per = 1 + np.bincount(np.searchsorted(own, nl, "right") - 1, minlength=j - i)[: j - i]
         doc = np.repeat(np.arange(i, j), per)
         place = np.arange(len(start)) - np.repeat(np.cumsum(per) - per, per)
-        word = np.concatenate([[0], np.cumsum((self.points != 32) & ((self.points < 9) | (self.points > 13)))])
+        white = np.flatnonzero((self.points == 32) | (self.points - np.uint32(9) < 5))
         size = end - start
-        use = (size >= rules.min_chars) & ((word[end] > word[start]) | (size >= rules.threshold * rules.chars_per_edit))
+        word = np.searchsorted(white, end) - np.searchsorted(white, start) < size
+        use = (size >= rules.min_chars) & (word | (size >= rules.threshold * rules.chars_per_edit))
         self.start, self.end, self.doc, self.place = start[use], end[use], doc[use], place[use]
         up, down = powers(len(self.points) + 1)
         with np.errstate(over="ignore"):
-            self.sums = np.zeros(len(self.points) + 1, U64)
-            np.cumsum(mix64(self.points.astype(U64) + U64(1)) * up[: len(self.points)], out=self.sums[1:])
+            code = POINT_CODE.take(self.points, mode="clip")
+            high = np.flatnonzero(self.points >= len(POINT_CODE))
+            code[high] = mix64(self.points[high].astype(U64) + U64(1))
+            code *= up[: len(code)]
+            self.sums = np.zeros(len(code) + 1, U64)
+            np.cumsum(code, out=self.sums[1:])
         self.down = down
         self.hash = self.spans(self.start, self.end)
 
@@ -198,11 +207,11 @@ def _keyed(docs: DataFrame) -> list:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("__doc"), F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("__tie"), F.col("text").alias("__text")]
 
 
-def _first_of_batch(batch, rules: LineRules):
+def _first_of_batch(batch, rules: LineRules, size: int = CHUNK_BYTES):
     """Distinct lines of a batch: (lines object, index within it) in parts, with (hash, doc, tie, place, count)."""
     doc, tie = (batch.column(k).to_numpy().astype(np.int64) for k in range(2))
     data, offs = text_buffer(batch.column(2))
-    for i, j in chunks(offs):
+    for i, j in chunks(offs, size):
         ls = Lines(data, offs, i, j, rules)
         order = np.lexsort((ls.place, tie[ls.doc], doc[ls.doc], ls.hash))
         h = ls.hash[order]
@@ -243,7 +252,7 @@ def repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[dic
     @tidy
     def texts(batches):
         for batch in batches:
-            for ls, own, *_ in _first_of_batch(batch, rules):
+            for ls, own, *_ in _first_of_batch(batch, rules, LOOK_BYTES):
                 hit = np.sort(np.concatenate([own[o] for o, _, _ in found_in(wanted, ls.hash[own], files)] or [own[:0]]))
                 points = [ls.points[ls.start[k] : ls.end[k]] for k in hit]
                 yield pa.RecordBatch.from_arrays(
@@ -288,7 +297,7 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
             data, offs = text_buffer(batch.column(2))
             valid = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
             gone: dict[int, set] = {}
-            for i, j in chunks(offs):
+            for i, j in chunks(offs, LOOK_BYTES):
                 ls = Lines(data, offs, i, j, rules)
                 for k, e, f in found_in(kept, ls.hash, files):
                     d, p = ls.doc[k], ls.place[k]
@@ -298,13 +307,14 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
             texts, n, dropped, left = [], [], [], []
             for r in range(len(doc)):
                 text = data[offs[r] : offs[r + 1]].tobytes().decode("utf-8", "replace") if valid[r] else None
-                parts = text.split("\n") if text is not None else []
                 out = gone.get(r)
-                stay = [x for k, x in enumerate(parts) if k not in out] if out else parts
-                texts.append(text if not out else "\n".join(stay))
-                n.append(len(parts)), dropped.append(len(parts) - len(stay))
-                whole = sum(map(len, parts))
-                left.append(sum(map(len, stay)) / whole if whole else 1.0)
+                if not out:
+                    texts.append(text), n.append(0 if text is None else text.count("\n") + 1), dropped.append(0), left.append(1.0)
+                    continue
+                parts = text.split("\n")
+                stay = [x for k, x in enumerate(parts) if k not in out]
+                texts.append("\n".join(stay)), n.append(len(parts)), dropped.append(len(parts) - len(stay))
+                left.append(sum(map(len, stay)) / sum(map(len, parts)))
             yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(left, pa.float64())], names=["__row", "text", "n_lines", "n_dropped", "chars_left"])
 
     from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
