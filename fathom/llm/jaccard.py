@@ -404,7 +404,10 @@ def block_pairs(members: DataFrame) -> DataFrame:
     ends = ends.groupBy("list").agg(F.collect_list(F.struct("block", "lo", "hi")).alias("ends"))
     met = ends.select("list", "ends", F.explode("ends").alias("i")).select("list", "i", F.explode(F.filter("ends", lambda j: (F.col("i.block") <= j["block"]) & (F.col("i.lo") < j["hi"]))).alias("j"))
     met = met.select("list", F.col("i.block").alias("i"), F.col("j.block").alias("j"), F.explode(F.array_distinct(F.array("i.block", "j.block"))).alias("block"))
-    one = dealt.join(met, ["list", "block"])
+    # few bytes ask for many comparisons: rows are dealt to a fixed number of tasks, which adaptive execution doesn't fold
+    # by size (members may be a join, whose size Spark takes for the product of its tables')
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = dealt.join(met, ["list", "block"]).repartition(parts, "list", "i", "j")
     fields = F.struct((F.col("block") != F.col("i")).alias("second"), "k", *[c for c in members.columns if c not in ("list", "k")])
     return one.groupBy("list", "i", "j").agg(F.array_sort(F.collect_list(fields)).alias("e"))
 
