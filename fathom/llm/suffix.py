@@ -47,10 +47,14 @@ from .textkit import BYTE_CODE, U64, chunks, mix64, pack, powers, release, text_
 PREFIX = 32
 #: The doubling's first ranks cover so many bytes at least.
 LEAST_SEED = 24
-#: Bytes of a block of the fringe.
-BLOCK = 1 << 17
-#: Positions that a hash range of a round gets, about.
+#: Bytes of a block of the fringe, at least.
+BLOCK = 1 << 19
+#: Positions that a hash range of a round gets, about; blocks aren't longer.
 RANGE_POSITIONS = 2 << 20
+#: Positions of a block for each hash range: a round's rows, one for a block and a range, don't get short as the input grows.
+ROW_POSITIONS = 1 << 10
+#: Blocks are long rows: Parquet looks at the size of each, and a file's row groups are read by several tasks.
+LONG_ROWS = {"parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 #: Bytes whose anchors, or whose fringe, are worked on at once.
 PIECE = 1 << 19
 #: Bytes of text whose entries are sent together; repeats among them are dropped first.
@@ -77,6 +81,27 @@ def _count_kind(length: int) -> np.dtype:
     return np.min_scalar_type(length - _prefix(length) + 1).newbyteorder("<")
 
 
+def _repeated(g: np.ndarray) -> np.ndarray:
+    """Indexes, ascending, of the values that occur more than once."""
+    order = np.argsort(g)
+    same = g[order[1:]] == g[order[:-1]]
+    more = np.zeros(len(g), bool)
+    more[order[1:][same]] = True
+    more[order[:-1][same]] = True
+    return np.flatnonzero(more)
+
+
+def _kinds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first index of each distinct key, number of each entry's key, entries of each key), keys ascending."""
+    order = np.argsort(key)
+    new = np.ones(len(key), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    start = np.flatnonzero(new)
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return np.minimum.reduceat(order, start) if len(key) else start, rank, np.diff(np.append(start, len(key)))
+
+
 def anchors(x: np.ndarray, offs: np.ndarray, length: int):
     """(anchor rank, context rank, document, first window, windows) of each anchor's run of windows.
 
@@ -155,23 +180,23 @@ def _packed_entries(data, offs, doc, tie, length: int, shards: int):
         return
     g, c, d, s, n = (np.concatenate(x) for x in zip(*parts))
     # of equal contexts in this batch only the earliest competes; the others repeat it
-    order = np.lexsort((s, tie[d], doc[d], c, g))
-    g, c, d, s, n = (x[order] for x in (g, c, d, s, n))
-    again = np.zeros(len(g), bool)
-    again[1:] = (g[1:] == g[:-1]) & (c[1:] == c[:-1])
+    k = _repeated(g)
+    k = k[np.lexsort((s[k], tie[d[k]], doc[d[k]], c[k], g[k]))]
+    again = np.zeros(len(k), bool)
+    again[1:] = (g[k[1:]] == g[k[:-1]]) & (c[k[1:]] == c[k[:-1]])
     if again.any():
         # rows that repeat id, text and place are one
-        same = np.zeros(len(g), bool)
-        same[1:] = again[1:] & (s[1:] == s[:-1]) & (doc[d[1:]] == doc[d[:-1]]) & (tie[d[1:]] == tie[d[:-1]])
-        lead = np.maximum.accumulate(np.where(again, -1, np.arange(len(g))))
-        real = again & ~((s == s[lead]) & (doc[d] == doc[d[lead]]) & (tie[d] == tie[d[lead]]))
-        real &= ~same
+        at = np.stack([doc[d[k]], tie[d[k]], s[k]])
+        same = np.zeros(len(k), bool)
+        same[1:] = again[1:] & (at[:, 1:] == at[:, :-1]).all(axis=0)
+        lead = np.maximum.accumulate(np.where(again, -1, np.arange(len(k))))
+        real = k[again & ~same & ~(at == at[:, lead]).all(axis=0)]
         yield _span_rows(doc[d[real]], tie[d[real]], s[real], n[real] + length - 1, shards)
-        g, c, d, s, n = (x[~again] for x in (g, c, d, s, n))
-    order = np.argsort(d, kind="stable")  # neighbours compress well
-    g, c, d, s, n = (x[order] for x in (g, c, d, s, n))
-    shard = ((g >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
+        left = np.ones(len(g), bool)
+        left[k[again]] = False
+        g, c, d, s, n = (x[left] for x in (g, c, d, s, n))
+    shard = ((g >> U64(32)) * U64(shards) >> U64(32)).astype(np.min_scalar_type(shards))
+    order = np.argsort(shard, kind="stable")  # neighbours compress well
     cut = np.searchsorted(shard[order], np.arange(shards + 1))
     own = np.flatnonzero(np.diff(cut))
     cols: list[list[bytes]] = [[] for _ in range(7)]
@@ -206,11 +231,13 @@ def _ranked(packed: DataFrame, length: int, files: int) -> DataFrame:
         e = {name: np.frombuffer(b"".join(cols[name]), kind) for name, kind in (*ENTRY, ("n", _count_kind(length)))}
         docs, ties = (np.frombuffer(b"".join(cols[x]), "<i8") for x in ("docs", "ties"))
         shift = np.concatenate([[0], np.cumsum([len(b) // 8 for b in cols["docs"]])])[:-1]
-        d = e["d"].astype(np.int64) + np.repeat(shift, [len(b) // 4 for b in cols["d"]])
-        g, c, s, n = e["g"], e["c"], e["s"].astype(np.int64), e["n"].astype(np.int64)
+        own = _repeated(e["g"])  # strings around an anchor that occurs once are unique
+        d = (e["d"].astype(np.int64) + np.repeat(shift, [len(b) // 4 for b in cols["d"]]))[own]
+        g, c, s, n = e["g"][own], e["c"][own], e["s"][own].astype(np.int64), e["n"][own].astype(np.int64)
         doc, tie = docs[d], ties[d]
         order = np.lexsort((s, tie, doc, c, g))
         g, c, s, n, doc, tie = (x[order] for x in (g, c, s, n, doc, tie))
+        del e, d, own, cols
         fresh_g = np.ones(len(g), bool)
         fresh_g[1:] = g[1:] != g[:-1]
         fresh = fresh_g.copy()
@@ -218,7 +245,7 @@ def _ranked(packed: DataFrame, length: int, files: int) -> DataFrame:
         lead = np.maximum.accumulate(np.where(fresh, np.arange(len(g)), 0))
         again = ~fresh & ~((s == s[lead]) & (doc == doc[lead]) & (tie == tie[lead]))
         group = np.cumsum(fresh_g) - 1
-        fringe = fresh & (np.bincount(group[fresh], minlength=group[-1] + 1)[group] > 1)
+        fringe = fresh & (np.bincount(group[fresh])[group] > 1)
         spans = _span_rows(doc[again], tie[again], s[again], n[again] + length - 1, files)
         release()
         doc, tie, s, n = doc[fringe], tie[fringe], s[fringe], n[fringe]
@@ -303,8 +330,13 @@ def _contexts(docs: DataFrame, paths: dict[int, str], length: int, files: int) -
 LAYOUT = np.dtype([("size", "<u4"), ("start", "<i8"), ("doc", "<i8"), ("tie", "<i8")])
 
 
-def _blocks(contexts: DataFrame) -> DataFrame:
-    """Contexts sorted by document and place, in blocks of about BLOCK bytes: (block, layout, text). Blocks ascend in that order."""
+def _block_bytes(shards: int) -> int:
+    """Bytes of a block, so that it has enough positions for each of the hash ranges."""
+    return min(max(BLOCK, ROW_POSITIONS * shards), max(BLOCK, RANGE_POSITIONS))
+
+
+def _blocks(contexts: DataFrame, least: int) -> DataFrame:
+    """Contexts sorted by document and place, in blocks of about ``least`` bytes: (block, layout, text). Blocks ascend in that order."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -327,7 +359,7 @@ def _blocks(contexts: DataFrame) -> DataFrame:
                 last = at
                 held.append(at), texts.append(text)
                 size += len(text)
-                if size >= BLOCK:
+                if size >= least:
                     yield block()
                     held, texts, size, base = [], [], 0, base + 1
         if held:
@@ -386,13 +418,17 @@ def _pairs(state: DataFrame, size: int, after: int, shards: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     key = mix64(rank[own] * U64(0x9E3779B97F4A7C15) + mix64(rank[other] + U64(1)))
                 at = at[own]
-                u, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                earliest = at[first][back]
+                first, rank, n = _kinds(key)
+                earliest = at[first[rank]]
                 more = earliest != at
-                shard = ((u >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
-                order = np.lexsort((first, shard))
-                u, lead, many, shard = u[order], at[first][order], n[order] > 1, shard[order]
-                cut = np.searchsorted(shard, np.arange(shards + 1))
+                many = np.zeros(len(key), bool)
+                many[first] = n > 1
+                # by range, then by place
+                shard = (key[first] >> U64(32)) * U64(shards) >> U64(32)
+                mixed = np.sort(shard << U64(32) | first.astype(U64))
+                first = (mixed & U64(0xFFFFFFFF)).astype(np.int64)
+                u, lead, many = key[first], at[first], many[first]
+                cut = np.searchsorted(mixed >> U64(32), np.arange(shards + 1, dtype=U64))
                 rows = [(k, block, u[cut[k] : cut[k + 1]].tobytes(), pack([lead[cut[k] : cut[k + 1]], many[cut[k] : cut[k + 1]]], U4)) for k in np.flatnonzero(np.diff(cut)).tolist()]
                 rows.append((-1 - block % shards, block, layout, pack([at[more], earliest[more]], U4)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=[c.split()[0] for c in SENT.split(", ")])
@@ -417,7 +453,7 @@ def _reranked(sent: DataFrame, last: bool) -> DataFrame:
         at, many, size = np.concatenate(at), np.concatenate(many) > 0, [len(k) for k in keys]
         key = np.concatenate(keys)
         del keys
-        _, first, rank, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        first, rank, n = _kinds(key)
         keep = np.arange(len(key)) != first[rank] if last else many | (n[rank] > 1)
         cut = np.concatenate([[0], np.cumsum(size)])
         a, b = [], []
@@ -480,15 +516,15 @@ def _repeats(ranked: DataFrame, length: int, files: int) -> DataFrame:
 
 def _doubled(contexts: DataFrame, length: int, files: int) -> DataFrame:
     """Step 3: spans of the fringe's repeated strings, packed by file."""
-    blocks = settle(_blocks(contexts), "blocks")
-    discard(contexts)
-    total = blocks.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    total = contexts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     shards = max(files, -(-total // RANGE_POSITIONS))
+    blocks = settle(_blocks(contexts, _block_bytes(shards)), "blocks", LONG_ROWS)
+    discard(contexts)
     sizes = doubling_sizes(length)
     state = blocks
     for size, after in zip(sizes, sizes[1:]):
         ranked = _reranked(_pairs(state, size, after, shards), after == length)
-        made = settle(_repeats(ranked, length, files) if after == length else _next_state(ranked), f"rank{after}")
+        made = settle(_repeats(ranked, length, files) if after == length else _next_state(ranked), f"rank{after}", LONG_ROWS)
         discard(state)
         state = made
     return state
