@@ -57,7 +57,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     i = imports.select("file_path", "line", "specifier").filter("file_path is not null and specifier is not null").distinct()
     i = i.withColumn("stem", wanted(F.col("file_path"), F.col("specifier")))
     # rows without a stem don't meet the files: nulls would all go to one task
-    local = i.filter("stem is not null").join(answers(files), "stem", "left")
+    # merged, as the stems grow with the files: from the size of a stored file Spark takes several times as many stems for few, and broadcasts them by way of the driver
+    local = i.filter("stem is not null").join(answers(files).hint("merge"), "stem", "left")
     return local.unionByName(i.filter("stem is null").withColumn("target", F.lit(None).cast("string"))).drop("stem")
 
 

@@ -142,3 +142,15 @@ def test_edges_are_gathered_before_ids_are_made(spark):
     assert sorted((x.to_id, x.specifier) for x in e.collect()) == [("external_module:~:x", "x"), ("file:b.ts:b.ts:0", "./b.js")]
     plan = e._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(file_path" in plan and "hashpartitioning(from_id" not in plan
+
+
+def test_files_are_not_broadcast(spark, tmp_path):
+    # a stored file whose size says nothing of its stems: short numbers give long paths
+    spark.range(20000).write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files")).selectExpr("'a/' || repeat('long/', 40) || 'm' || id || '/index.ts' AS path")
+    imports = spark.range(300).selectExpr("'a/m.ts' AS file_path", "cast(id AS int) AS line", "'./' || repeat('long/', 40) || 'm' || id * 100 AS specifier")
+    r = modules.resolve_imports(imports, files)
+    assert r.filter("target is not null").count() == 200
+    assert "Broadcast" not in r._jdf.queryExecution().executedPlan().toString()
+    r.collect()
+    assert "Broadcast" not in r._jdf.queryExecution().executedPlan().toString()
